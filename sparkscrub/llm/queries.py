@@ -36,6 +36,13 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "keep_id", F.col("group_size").cast("long").alias("group_size"), "kept", F.lower(F.hex("text_digest")).alias("text_sha256"))
 
 
+def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components by 4-word shingles with a Jaccard similarity of 0.8 or more."""
+    from sparkscrub.llm.near_dedup import near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "documents"), words=4, percent=80)
+
+
 def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of personal data in every document."""
     from sparkscrub.llm.pii import KINDS, find_personal_data, listed
@@ -50,6 +57,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mix_sources": op2_mix_sources,
     "op3_decontaminate": op3_decontaminate,
     "op4_exact_dedup": op4_exact_dedup,
+    "op8_near_dedup": op8_near_dedup,
     "op10_personal_data": op10_personal_data,
 }
 
