@@ -36,6 +36,13 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "keep_id", F.col("group_size").cast("long").alias("group_size"), "kept", F.lower(F.hex("text_digest")).alias("text_sha256"))
 
 
+def op5_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words in windows of 35 words that also start elsewhere, removed from every document."""
+    from sparkscrub.llm.substrings import repeated_passages
+
+    return repeated_passages(_table(spark, sf_dir, "documents"), window=35)
+
+
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components by 4-word shingles with a Jaccard similarity of 0.8 or more."""
     from sparkscrub.llm.near_dedup import near_duplicates
@@ -57,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mix_sources": op2_mix_sources,
     "op3_decontaminate": op3_decontaminate,
     "op4_exact_dedup": op4_exact_dedup,
+    "op5_repeated_passages": op5_repeated_passages,
     "op8_near_dedup": op8_near_dedup,
     "op10_personal_data": op10_personal_data,
 }
