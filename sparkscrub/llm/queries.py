@@ -43,6 +43,30 @@ def op5_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_passages(_table(spark, sf_dir, "documents"), window=35)
 
 
+def _judged(scored: DataFrame, mod: int, rest: int) -> DataFrame:
+    from sparkscrub.llm.labelled import held_out
+
+    return scored.select("doc_id", held_out(F.col("doc_id"), mod, rest).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document by a byte-level convolutional network."""
+    from sparkscrub.llm.quality import fit_quality, score_quality
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    net = fit_quality(docs, _table(spark, sf_dir, "labels"), mod=3, rest=1)
+    return _judged(score_quality(docs, net), 3, 1)
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document by positive-unlabelled learning."""
+    from sparkscrub.llm.toxicity import fit_toxicity, score_toxicity
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = fit_toxicity(docs, _table(spark, sf_dir, "labels"), mod=5, rest=0)
+    return _judged(score_toxicity(docs, model), 5, 0)
+
+
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components by 4-word shingles with a Jaccard similarity of 0.8 or more."""
     from sparkscrub.llm.near_dedup import near_duplicates
@@ -65,6 +89,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_decontaminate": op3_decontaminate,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_repeated_passages": op5_repeated_passages,
+    "op6_quality": op6_quality,
+    "op7_toxicity": op7_toxicity,
     "op8_near_dedup": op8_near_dedup,
     "op10_personal_data": op10_personal_data,
 }
