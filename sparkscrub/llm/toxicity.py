@@ -56,8 +56,8 @@ class PuModel:
         np_, nu = len(positive), len(unlabelled)
         pc, uc = np.bincount(pb, minlength=BUCKETS), np.bincount(ub, minlength=BUCKETS)
         # only what is surely commoner among positives can speak for them
-        rate = (uc + 0.5) / nu
-        chosen = np.flatnonzero((pc >= 3) & (pc > LIFT * np_ * rate) & (pc - np_ * rate > DEVIATIONS * np.sqrt(np_ * rate)))
+        expected = np_ * (uc + 0.5) / nu
+        chosen = np.flatnonzero((pc >= 3) & (pc > LIFT * expected) & (pc - expected > DEVIATIONS * np.sqrt(expected)))
         slot = np.full(BUCKETS, -1)
         slot[chosen] = np.arange(len(chosen))
         pk, uk = slot[pb] >= 0, slot[ub] >= 0
