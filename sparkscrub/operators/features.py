@@ -55,7 +55,7 @@ class NumericalTransformer(FitTransformer):
     a grid of exponents, then on finer grids around the best, ROUNDS times.
     """
 
-    GRID, ROUNDS = 21, 4
+    GRID, ROUNDS = 9, 5
 
     def __init__(self, columns: list[str] | None = None, auto_transform: bool = True, scaling_method: str | None = "standard"):
         self.columns, self.auto_transform, self.scaling_method = columns, auto_transform, scaling_method

@@ -18,6 +18,8 @@ from sparkscrub.functions.missing import FLOATING, col, is_missing, known
 from sparkscrub.plans.stats import collect_stats
 
 log = logging.getLogger("sparkscrub")
+#: Fixed: largest change of a value that narrowing to a float may make.
+FLOAT_SLACK = 5e-4
 FLOAT_MAX = 3.4028234663852886e38
 #: Fixed: labels and the Spark types that hold them.
 LABELS = {
@@ -51,7 +53,7 @@ def _stats(df: DataFrame, exact_float: bool, categories: bool) -> dict[str, Any]
         if isinstance(f.dataType, INTEGRAL) or isinstance(f.dataType, FLOATING):
             wants |= {f"{f.name}/l": F.min(c), f"{f.name}/h": F.max(c), f"{f.name}/m": F.count_if(is_missing(f.name, f.dataType))}
         if exact_float and isinstance(f.dataType, T.DoubleType):
-            wants[f"{f.name}/x"] = F.bool_and((c.cast("float").cast("double") == c) | (F.abs(c.cast("float").cast("double") - c) <= F.abs(c) * 1e-5 + 1e-8))
+            wants[f"{f.name}/x"] = F.bool_and(F.abs(c.cast("float").cast("double") - c) <= FLOAT_SLACK)
         if categories and isinstance(f.dataType, T.StringType):
             wants[f"{f.name}/u"] = F.count_distinct(col(f.name))
             wants[f"{f.name}/n"] = F.count_if(col(f.name).isNull())
