@@ -52,7 +52,7 @@ class NumericalTransformer(FitTransformer):
     """Choose, per column, the transform that brings it nearest to normal, then scale.
 
     Exponents are found by maximum likelihood: a job evaluates the profile likelihood of all columns on
-    a grid of exponents, then on finer grids around the best, ROUNDS times.
+    a grid of exponents of both families, then on finer grids around the best, ROUNDS times.
     """
 
     GRID, ROUNDS = 9, 5
@@ -65,28 +65,31 @@ class NumericalTransformer(FitTransformer):
         """Distance from normal: |skewness| + |excess kurtosis| / 3; null when there are too few values."""
         return F.abs(corrected_skew(c)) + F.abs(corrected_kurtosis(c)) / 3
 
-    def _exponents(self, df: DataFrame, xs: dict[str, Column], which: str) -> dict[str, float]:
-        """Maximum-likelihood exponent of each column, in -2..2 for Box-Cox and -2..4 for Yeo-Johnson."""
-        bounds = {c: (-2.0, 2.0) if which == "boxcox" else (-2.0, 4.0) for c in xs}
+    def _exponents(self, df: DataFrame, xs: dict[tuple[str, str], Column]) -> dict[tuple[str, str], float]:
+        """Maximum-likelihood exponent for each (family, column): -2..2 for Box-Cox, -2..4 for Yeo-Johnson."""
+        bounds = {k: (-2.0, 2.0) if k[0] == "boxcox" else (-2.0, 4.0) for k in xs}
         best = dict.fromkeys(xs, 1.0)
         for _ in range(self.ROUNDS if xs else 0):
-            wants, grids = {}, {}
-            for c, x in xs.items():
-                lo, hi = bounds[c]
-                grids[c] = [lo + (hi - lo) * i / (self.GRID - 1) for i in range(self.GRID)]
-                logs = F.sum(F.ln(x)) if which == "boxcox" else F.sum(F.signum(x) * F.log1p(F.abs(x)))
-                f = boxcox if which == "boxcox" else yeojohnson
-                parts = []
-                for lam in grids[c]:
-                    var = F.var_pop(f(x, lam))
-                    parts.append(F.when(var > 0, -F.count(x) / 2 * F.ln(var) + F.lit(lam - 1) * logs))
-                wants[c] = F.array(*parts)
-            for c, ll in collect_stats(df, wants).items():
-                scored = [(v, -i) for i, v in enumerate(ll) if v is not None and math.isfinite(v)]
+            wants, grids, arrays = {}, {}, []
+            for j, (k, x) in enumerate(xs.items()):
+                lo, hi = bounds[k]
+                grids[k] = [lo + (hi - lo) * i / (self.GRID - 1) for i in range(self.GRID)]
+                family = boxcox if k[0] == "boxcox" else yeojohnson
+                logs = F.ln(x) if k[0] == "boxcox" else F.signum(x) * F.log1p(F.abs(x))
+                # transformed values are made once a row, in an array: moments name their argument many times
+                arrays.append(F.array(x, logs, *[family(x, lam) for lam in grids[k]]).alias(f"a{j}"))
+                a = F.col(f"a{j}")
+                wants |= {(*k, i): F.var_pop(a[i + 2]) for i in range(self.GRID)} | {(*k, "logs"): F.sum(a[1]), (*k, "n"): F.count(a[0])}
+            s = collect_stats(df.select(*arrays), wants)
+            for k, grid in grids.items():
+                scored = []
+                for i, lam in enumerate(grid):
+                    var = s[(*k, i)]
+                    if var is not None and math.isfinite(var) and var > 0:
+                        scored.append((-s[(*k, "n")] / 2 * math.log(var) + (lam - 1) * s[(*k, "logs")], -i))
                 if scored:
-                    i = -max(scored)[1]
-                    best[c], step = grids[c][i], grids[c][1] - grids[c][0]
-                    bounds[c] = (best[c] - step, best[c] + step)
+                    best[k], step = grid[-max(scored)[1]], grid[1] - grid[0]
+                    bounds[k] = (best[k] - step, best[k] + step)
         return best
 
     def fit(self, df: DataFrame) -> NumericalTransformer:
@@ -97,10 +100,10 @@ class NumericalTransformer(FitTransformer):
             low = collect_stats(df, {c: F.min(x[c]) for c in names})
             names_ok = [c for c in names if low[c] is not None]
             shift = {c: (abs(low[c]) + 1.0 if low[c] <= 0 else 0.0) for c in names_ok}
-            bc = self._exponents(df, {c: x[c] + F.lit(shift[c]) for c in names_ok}, "boxcox")
-            yj = self._exponents(df, {c: x[c] for c in names_ok}, "yeojohnson")
-            options = {c: [Fitted(), Fitted("log", shift[c]), Fitted("boxcox", shift[c], bc[c]), Fitted("yeojohnson", 0.0, yj[c])] for c in names_ok}
-            s = collect_stats(df, {f"{c}/{i}": self._normality(o.transformed(x[c])) for c, os in options.items() for i, o in enumerate(os)})
+            lam = self._exponents(df, {("boxcox", c): x[c] + F.lit(shift[c]) for c in names_ok} | {("yeojohnson", c): x[c] for c in names_ok})
+            options = {c: [Fitted(), Fitted("log", shift[c]), *(Fitted(k, shift[c] if k == "boxcox" else 0.0, lam[k, c]) for k in ("boxcox", "yeojohnson"))] for c in names_ok}
+            made = df.select(*[F.array(*[o.transformed(x[c]) for o in os]).alias(f"a{j}") for j, (c, os) in enumerate(options.items())])
+            s = collect_stats(made, {f"{c}/{i}": self._normality(F.col(f"a{j}")[i]) for j, (c, os) in enumerate(options.items()) for i in range(len(os))})
             for c, os in options.items():
                 known_scores = [(s[f"{c}/{i}"], i) for i in range(len(os)) if s[f"{c}/{i}"] is not None and math.isfinite(s[f"{c}/{i}"])]
                 if known_scores and s[f"{c}/0"] is not None:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from sparkscrub.functions.missing import col, is_missing, known
 
 
-def collect_stats(df: DataFrame, wants: dict[str, Column]) -> dict[str, Any]:
+def collect_stats(df: DataFrame, wants: dict[Any, Column]) -> dict[Any, Any]:
     """Evaluate named aggregates in one pass and give them back by name."""
     if not wants:
         return {}
