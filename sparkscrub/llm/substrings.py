@@ -5,18 +5,19 @@
    a bitmap of the others (of bounded size) marks the windows that may repeat. This is a filter
    only: surplus windows are sorted out by the automata.
 2. Segments are the maximal runs of words that such windows cover. Equal segments are one, with a
-   count; if there are two or more, every word of them is in a repeated window.
-3. Each different segment has one home among the reference shards. A shard holds a bounded number
-   of words, from which a suffix automaton with occurrence counts is built.
-4. Each different segment is streamed through the automata of the shards that hold one of its
-   anchors. Its matching statistics, cut at ``window`` words, tell for every window how often it
-   occurs there. A window occurs elsewhere if it is found in another shard, or twice at home.
+   count.
+3. Each anchor has an owner, the longest segment that holds it, and each owner a reference shard.
+   Segments are cut into pieces: runs of windows whose anchors belong to one shard. So every window,
+   wherever it occurs, comes to the shard of its anchor and to no other, and neighbouring windows
+   mostly stay together. Equal pieces are one, with a count.
+4. A shard's pieces are its reference text. A suffix automaton with occurrence counts is built from
+   them, and the pieces are streamed through it: matching statistics, cut at ``window`` words, tell how
+   often each of their windows occurs. Two occurrences or more are a repeat.
 5. The words of such windows are removed from the documents.
 
-Each occurrence of a window lies in one segment, each segment in one shard, and equal windows share
-an anchor, so that no repeat is missed. Long or hot segments go to shards in parts: a family of
-segments with one anchor is spread over as many shards as its words need, and the streams of a
-shard over as many tasks as theirs need.
+A family of segments with one owner is spread over shards by anchor when it is large. A shard that is
+still over its bound is cut into blocks with an automaton each, and all its pieces are streamed
+through every one of them; an occurrence in another block counts as well.
 """
 
 from __future__ import annotations
@@ -34,8 +35,8 @@ from sparkscrub.llm.staging import BLOCK_BITS, small_batches, stage
 from sparkscrub.llm.words import U64, hash_words, mix, runs_of, starts_of
 
 GRAM = 16
-#: Words of a reference shard, and words streamed through one copy of its automaton.
-SHARD_WORDS, STREAM_WORDS = 40_000, 200_000
+#: Words that a reference shard should have, and the words that one automaton may have at most (about).
+SHARD_WORDS, BLOCK_WORDS = 40_000, 160_000
 #: The bitmap has 64 bits for each repeated anchor, within these bounds (at most 128 MB).
 MIN_BITS, MAX_BITS = 1 << 20, 1 << 30
 
@@ -114,10 +115,17 @@ def _joined_sha(text: bytes, keep: np.ndarray | None = None) -> str:
     return hashlib.sha256(b" ".join(words)).hexdigest()
 
 
-SEGMENT_SCHEMA = (
-    "id long, n_words long, kept_sha256 string, text string, segs array<binary>, starts array<int>, sizes array<int>, "
-    "words array<binary>, anchors array<array<long>>"
-)
+SEGMENT_SCHEMA = "id long, n_words long, kept_sha256 string, text string, segs array<binary>, starts array<int>, sizes array<int>"
+
+
+def _digest(words: list[bytes]) -> bytes:
+    return hashlib.blake2b(b" ".join(words), digest_size=16).digest()
+
+
+def _runs(at: np.ndarray, gap: int) -> tuple[np.ndarray, np.ndarray]:
+    """First and last of each run of sorted positions that are at most ``gap`` apart."""
+    cut = np.flatnonzero(np.diff(at) > gap)
+    return at[np.concatenate([[0], cut + 1])], at[np.concatenate([cut, [len(at) - 1]])]
 
 
 def _segments(window: int, gram: int, bitmap, bits: int):
@@ -125,27 +133,74 @@ def _segments(window: int, gram: int, bitmap, bits: int):
         table = bitmap.value
         for batch in batches:
             texts, docs = _docs(batch, 1)
-            cols: list[list] = [[] for _ in range(9)]
+            cols: list[list] = [[] for _ in range(7)]
             for doc_id, text, words in zip(batch.column(0).to_pylist(), texts, docs, strict=True):
                 least = window_anchors(words, window, gram)[0]
                 hit = np.ones(len(least), bool)
                 for slot in _bit_slots(least, bits):
                     hit &= (table[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 > 0
-                row = [doc_id, len(words), None, None, None, None, None, None, None]
+                row = [doc_id, len(words), None, None, None, None, None]
                 if hit.any():
-                    at = np.flatnonzero(hit)
-                    cut = np.flatnonzero(np.diff(at) > window)
-                    first, last = at[np.concatenate([[0], cut + 1])], at[np.concatenate([cut, [len(at) - 1]])] + window
-                    parts = [words[a:b].tobytes() for a, b in zip(first, last, strict=True)]
-                    anchors = [np.unique(least[a : b - window + 1][hit[a : b - window + 1]]).view(np.int64) for a, b in zip(first, last, strict=True)]
-                    row[3:] = [text.decode("utf-8", "surrogatepass"), [hashlib.blake2b(p, digest_size=16).digest() for p in parts], first.tolist(), (last - first).tolist(), parts, anchors]
+                    first, last = _runs(np.flatnonzero(hit), window)
+                    last, split = last + window, text.split()
+                    row[3:] = [text.decode("utf-8", "surrogatepass"), [_digest(split[a:b]) for a, b in zip(first, last, strict=True)], first.tolist(), (last - first).tolist()]
                 else:
                     row[2] = _joined_sha(text)
                 for c, v in zip(cols, row, strict=True):
                     c.append(v)
-            types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.binary()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.binary()), pa.list_(pa.list_(pa.int64()))]
-            names = ["id", "n_words", "kept_sha256", "text", "segs", "starts", "sizes", "words", "anchors"]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names)
+            types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.binary()), pa.list_(pa.int32()), pa.list_(pa.int32())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["id", "n_words", "kept_sha256", "text", "segs", "starts", "sizes"])
+
+    return run
+
+
+def _segment_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(text, segs, starts, sizes) -> a row (seg, size, text) for each segment, once in a batch."""
+    for batch in batches:
+        found: dict[bytes, list] = {}
+        for text, segs, starts, sizes in zip(batch.column(0).cast(pa.binary()).to_pylist(), *(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
+            words = text.split()
+            for seg, a, n in zip(segs, starts, sizes, strict=True):
+                if seg in found:
+                    found[seg][2] += 1
+                else:
+                    found[seg] = [n, b" ".join(words[a : a + n]), 1]
+        rows = [(seg, n, text.decode("utf-8", "surrogatepass"), times) for seg, (n, text, times) in found.items()]
+        cols = list(zip(*rows, strict=True)) or [[]] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.binary(), pa.int64(), pa.string(), pa.int64()), strict=True)], ["seg", "size", "text", "times"])
+
+
+def _segment_anchors(window: int, gram: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            _, docs = _docs(batch, 1)
+            found = [np.unique(window_anchors(d, window, gram)[0]) for d in docs]
+            index = np.repeat(np.arange(len(docs)), [len(f) for f in found])
+            anchors = np.concatenate(found).view(np.int64) if found else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(index)), batch.column(2).take(pa.array(index)), pa.array(anchors, pa.int64())], ["seg", "size", "anchor"])
+
+    return run
+
+
+def _pieces(window: int, gram: int):
+    """(seg, text, times, anchors, shards) -> pieces of the segment: runs of windows of one shard."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, docs = _docs(batch, 1)
+            rows = []
+            for seg, text, words, times, anchors, shards in zip(batch.column(0).to_pylist(), texts, docs, *(batch.column(i).to_pylist() for i in (2, 3, 4)), strict=True):
+                anchors, shards = np.array(anchors, np.int64).view(U64), np.array(shards, np.int64)
+                order = np.argsort(anchors)
+                of = shards[order][np.searchsorted(anchors[order], window_anchors(words, window, gram)[0])]
+                cut = np.flatnonzero(np.diff(of))
+                split = text.split()
+                for a, b in zip(np.concatenate([[0], cut + 1]).tolist(), np.concatenate([cut, [len(of) - 1]]).tolist(), strict=True):
+                    part = split[a : b + window]
+                    rows.append((int(of[a]), _digest(part), len(part), times, seg, a, b" ".join(part).decode("utf-8", "surrogatepass")))
+            cols = list(zip(*rows, strict=True)) or [[]] * 7
+            types = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["shard", "piece", "size", "times", "seg", "at", "text"])
 
     return run
 
@@ -154,11 +209,11 @@ class SuffixAutomaton:
     """Suffix automaton of word sequences with occurrence counts."""
 
     def __init__(self) -> None:
-        self.next: list[dict[int, int]] = [{}]
+        self.next: list[dict[bytes | int, int]] = [{}]
         self.link, self.length, self.count = [-1], [0], [0]
         self.ends = 0
 
-    def add(self, words: list[int], times: int) -> None:
+    def add(self, words: list[bytes], times: int) -> None:
         """Add a sequence that occurs ``times`` times; no match runs on into another sequence."""
         nxt, link, length, count = self.next, self.link, self.length, self.count
         last = 0
@@ -213,7 +268,7 @@ class SuffixAutomaton:
             if self.link[v] >= 0:
                 self.count[self.link[v]] += self.count[v]
 
-    def occurrences(self, words: list[int], window: int) -> list[int]:
+    def occurrences(self, words: list[bytes], window: int) -> list[int]:
         """For each window of ``words``, how often it occurs in the sequences."""
         nxt, link, length, count = self.next, self.link, self.length, self.count
         v, n, out = 0, 0, []
@@ -233,25 +288,21 @@ class SuffixAutomaton:
 
 def _match(window: int):
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.drop_duplicates(["seg", "home"])
         automaton = SuffixAutomaton()
-        here = set()
-        for seg, words, times, home in zip(group["seg"], group["words"], group["times"], group["home"], strict=True):
+        texts = [t.encode("utf-8", "surrogatepass").split() for t in group["text"]]
+        for words, times, home in zip(texts, group["times"], group["home"], strict=True):
             if home:
-                automaton.add(np.frombuffer(words, np.int64).tolist(), int(times))
-                here.add(seg)
+                automaton.add(words, int(times))
         automaton.finish()
-        segs, spans = [], []
-        for seg, words, home in zip(group["seg"], group["words"], group["home"], strict=True):
-            if not home:
-                n = np.array(automaton.occurrences(np.frombuffer(words, np.int64).tolist(), window))
-                at = np.flatnonzero(n >= (2 if seg in here else 1))
+        pieces, spans = [], []
+        for piece, words, times, home in zip(group["piece"], texts, group["times"], group["home"], strict=True):
+            if times == 1:
+                at = np.flatnonzero(np.array(automaton.occurrences(words, window)) >= (2 if home else 1))
                 if len(at):
-                    cut = np.flatnonzero(np.diff(at) > 1)
-                    first, last = at[np.concatenate([[0], cut + 1])], at[np.concatenate([cut, [len(at) - 1]])] + window
-                    segs.append(seg)
-                    spans.append(np.stack([first, last], 1).reshape(-1).astype(np.int32).tobytes())
-        return pd.DataFrame({"seg": pd.Series(segs, dtype=object), "spans": pd.Series(spans, dtype=object)})
+                    first, last = _runs(at, 1)
+                    pieces.append(piece)
+                    spans.append(np.stack([first, last + window], 1).reshape(-1).astype(np.int32).tobytes())
+        return pd.DataFrame({"piece": pd.Series(pieces, dtype=object), "spans": pd.Series(spans, dtype=object)})
 
     return run
 
@@ -262,16 +313,17 @@ def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for text, n, parts in zip(batch.column(2).cast(pa.binary()).to_pylist(), counts.to_pylist(), batch.column(3).to_pylist(), strict=True):
             keep = np.ones(n, bool)
             for part in parts or []:
-                whole = part["spans"] is None
-                spans = np.array([0, part["size"]]) if whole else np.concatenate([np.frombuffer(s, np.int32) for s in part["spans"]] or [np.zeros(0, np.int32)])
-                for a, b in spans.reshape(-1, 2):
-                    keep[part["start"] + a : part["start"] + b] = False
+                for found in part["found"]:
+                    start = part["start"] + found["at"]
+                    spans = np.array([0, found["size"]]) if found["spans"] is None else np.frombuffer(found["spans"], np.int32)
+                    for a, b in spans.reshape(-1, 2):
+                        keep[start + a : start + b] = False
             shas.append(_joined_sha(text, keep))
             removed.append(int(n - keep.sum()))
         yield pa.RecordBatch.from_arrays([ids, counts, pa.array(removed, pa.int64()), pa.array(shas, pa.string())], ["id", "n_words", "n_removed", "kept_sha256"])
 
 
-def repeated_passages(docs: DataFrame, window: int = 35, id_col: str = "doc_id", text_col: str = "text", gram: int | None = None, shard_words: int = SHARD_WORDS, stream_words: int = STREAM_WORDS) -> DataFrame:
+def repeated_passages(docs: DataFrame, window: int = 35, id_col: str = "doc_id", text_col: str = "text", gram: int | None = None, shard_words: int = SHARD_WORDS, block_words: int = BLOCK_WORDS) -> DataFrame:
     """One row per row of ``docs``: id, n_words, n_removed, kept_sha256 (of the words left, joined by spaces).
 
     A word is removed if a window of ``window`` words that covers it also starts anywhere else, in
@@ -289,37 +341,39 @@ def repeated_passages(docs: DataFrame, window: int = 35, id_col: str = "doc_id",
     shared = spark.sparkContext.broadcast(table)
     rows = texts.mapInArrow(_segments(window, gram, shared, bits), SEGMENT_SCHEMA).withColumn("row", F.monotonically_increasing_id())
     rows = stage(rows, "passage-rows")
-
-    each = rows.where("segs is not null").select(F.explode(F.arrays_zip("segs", "sizes", "words", "anchors")).alias("s"))
-    each = each.select(F.col("s.segs").alias("seg"), F.col("s.sizes").alias("size"), F.col("s.words").alias("words"), F.col("s.anchors").alias("anchors"))
-    segs = each.groupBy("seg").agg(F.count("*").alias("times"), F.first("size").alias("size"), F.first("words").alias("words"), F.first("anchors").alias("anchors"))
-    segs = stage(segs.withColumn("least", F.array_min("anchors")), "passage-segments")
-
-    total = segs.agg(F.sum("size")).first()[0] or 0
-    shards = max(1, -(-total // shard_words))
-    family = segs.groupBy("least").agg(F.ceil(F.sum("size") / shard_words).cast("int").alias("parts"))
-    part = F.pmod(F.xxhash64("seg"), F.col("parts"))
-    homes = segs.select("seg", "size", "times", "least").join(family, "least")
-    homes = stage(homes.select("seg", "size", "times", F.pmod(F.xxhash64("least", part), F.lit(shards)).alias("shard")), "passage-homes")
-    by_anchor = segs.select("seg", F.explode("anchors").alias("anchor"))
-    holders = by_anchor.join(homes.select("seg", "shard"), "seg").select("anchor", "shard").distinct()
-    once = homes.where("times = 1").select("seg", "size")
-    routes = by_anchor.join(once, "seg").join(holders, "anchor").select("seg", "size", "shard").distinct()
-    routes = stage(routes, "passage-routes")
-    lanes = routes.groupBy("shard").agg(F.ceil(F.sum("size") / stream_words).cast("int").alias("lanes"))
-    refs = homes.join(lanes, "shard").withColumn("lane", F.explode(F.sequence(F.lit(0), F.col("lanes") - 1)))
-    refs = refs.select("seg", "shard", F.col("lane").cast("long").alias("lane"), "times", F.lit(True).alias("home"))
-    streams = routes.join(lanes, "shard").select("seg", "shard", F.pmod(F.xxhash64("seg"), F.col("lanes")).cast("long").alias("lane"), F.lit(1).cast("long").alias("times"), F.lit(False).alias("home"))
-    work = refs.unionByName(streams).join(segs.select("seg", "words"), "seg")
-    found = work.groupBy("shard", "lane").applyInPandas(_match(window), "seg binary, spans binary")
-    spans = found.groupBy("seg").agg(F.collect_list("spans").alias("spans"))
-    judged = homes.where("times > 1").select("seg", F.lit(None).cast("array<binary>").alias("spans")).unionByName(spans)
-    judged = stage(judged, "passage-spans")
-
-    parts = rows.where("segs is not null").select("row", F.explode(F.arrays_zip("segs", "starts", "sizes")).alias("s"))
-    parts = parts.select("row", F.col("s.segs").alias("seg"), F.col("s.starts").alias("start"), F.col("s.sizes").alias("size")).join(judged, "seg")
-    parts = parts.groupBy("row").agg(F.collect_list(F.struct("start", "size", "spans")).alias("parts"))
-    open_rows = rows.where("segs is not null").select("row", "id", "n_words", "text").join(parts, "row", "left")
+    live = rows.where("segs is not null")
+
+    each = live.select("text", "segs", "starts", "sizes").mapInArrow(_segment_texts, "seg binary, size long, text string, times long")
+    segs = each.groupBy("seg").agg(F.first("size").alias("size"), F.first("text").alias("text"), F.sum("times").alias("times"))
+    segs = stage(segs, "passage-segments")
+
+    by_anchor = stage(segs.select("seg", "text", "size").mapInArrow(_segment_anchors(window, gram), "seg binary, size long, anchor long"), "passage-by-anchor")
+    longest = F.shiftleft(F.lit(1 << 22) - F.least("size", F.lit((1 << 22) - 1)), 40) + F.pmod(F.xxhash64("seg"), F.lit(1 << 40))
+    owners = by_anchor.groupBy("anchor").agg(F.min(longest).alias("owner"), F.count(F.lit(1)).alias("n"))
+    owners = stage(owners, "passage-owners")
+    # an anchor stands for about half of window - gram words
+    words = F.sum("n") * max(1, (window - gram) // 2)
+    shards = max(1, -(-(owners.agg(words).first()[0] or 0) // shard_words))
+    parts = owners.groupBy("owner").agg(F.ceil(words / shard_words).cast("long").alias("parts"))
+    homes = owners.join(parts, "owner").select("anchor", F.pmod(F.xxhash64("owner", F.pmod(F.xxhash64("anchor"), "parts")), F.lit(shards)).alias("shard"))
+    routes = by_anchor.join(homes, "anchor").groupBy("seg").agg(F.collect_list("anchor").alias("anchors"), F.collect_list("shard").alias("shards"))
+    raw = segs.select("seg", "text", "times").join(routes, "seg").select("seg", "text", "times", "anchors", "shards")
+    raw = raw.mapInArrow(_pieces(window, gram), "shard long, piece binary, size long, times long, seg binary, at long, text string")
+    raw = stage(raw, "passage-pieces")
+
+    sizes = raw.groupBy("shard", "piece").agg(F.first("size").alias("size"), F.sum("times").alias("times"))
+    blocks = sizes.groupBy("shard").agg(F.ceil(F.sum("size") / block_words).cast("long").alias("blocks"))
+    work = raw.groupBy("shard", "piece").agg(F.first("text").alias("text"), F.sum("times").alias("times")).join(blocks, "shard")
+    work = work.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    work = work.withColumn("home", F.pmod(F.xxhash64("piece"), "blocks") == F.col("block")).where("home or times = 1")
+    found = work.select("shard", "block", "piece", "text", "times", "home").groupBy("shard", "block").applyInPandas(_match(window), "piece binary, spans binary")
+    found = found.unionByName(sizes.where("times > 1").select("piece", F.lit(None).cast("binary").alias("spans")))
+    found = stage(found, "passage-spans")
+    by_seg = raw.select("piece", "seg", "at", "size").join(found, "piece").groupBy("seg").agg(F.collect_list(F.struct("at", "size", "spans")).alias("found"))
+
+    parts = live.select("row", F.explode(F.arrays_zip("segs", "starts")).alias("s")).select("row", F.col("s.segs").alias("seg"), F.col("s.starts").alias("start"))
+    parts = parts.join(by_seg, "seg").groupBy("row").agg(F.collect_list(F.struct("start", "found")).alias("parts"))
+    open_rows = live.select("row", "id", "n_words", "text").join(parts, "row", "left")
     done = open_rows.select("id", "n_words", "text", "parts").mapInArrow(_finish, "id long, n_words long, n_removed long, kept_sha256 string")
     closed = rows.where("segs is null").select("id", "n_words", F.lit(0).cast("long").alias("n_removed"), "kept_sha256")
     return closed.unionByName(done).withColumnRenamed("id", id_col)
