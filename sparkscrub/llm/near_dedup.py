@@ -5,7 +5,8 @@
   functions. Tables are formed by all pairs (key of the first, key of the second): GROUPS**2
   tables, each as selective as 2*WIDTH hashes. Two sets of similarity s meet in no table only if
   all keys of one collection differ: at most 2 * (1 - s**WIDTH)**GROUPS, 5e-5 at s = 0.8.
-* Second keys are only joined to first keys that two nodes share: other tables cannot meet.
+* Second keys are only joined to first keys that two nodes share: other tables cannot meet. One
+  table of each first key is read before the others, whose edges within what it joined are not made.
 * Nodes that meet, directly or over others, form a cluster. Within clusters every pair of sets
   that a link could still join is compared in full, in blocks of bounded size. Clusters over one
   block are first compared with one pivot; members linked to it need no comparison among
@@ -158,6 +159,13 @@ def _links(rows: DataFrame, percent: int) -> DataFrame:
     return rows.groupBy("bin").applyInPandas(_compare(percent), "a long, b long")
 
 
+def _stars(rows: DataFrame) -> DataFrame:
+    """rows (label, key): edges (a, b) from the smallest label of a key to its others."""
+    rows = stage(rows, "near-tables")
+    heads = rows.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("z")).where("a < z").select("key", "a")
+    return rows.join(heads, "key").where("label <> a").select("a", F.col("label").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
     """One row per row of ``docs``: id, n_shingles, component_id (smallest id linked, directly or
     over others) and kept (the id is its component's).
@@ -177,13 +185,21 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     first = nodes.select("node", F.explode("first").alias("k1"))
     shared = first.groupBy("k1").agg(F.count("*").alias("c")).where("c > 1").select("k1")
     live = first.join(shared, "k1").groupBy("node").agg(F.collect_list("k1").alias("k1s"))
-    tables = live.join(nodes.select("node", "second"), "node").select("node", F.explode("k1s").alias("k1"), "second")
-    tables = tables.select("node", F.explode(F.transform("second", lambda k2: F.xxhash64("k1", k2))).alias("key"))
-    tables = stage(tables, "near-tables")
-    heads = tables.groupBy("key").agg(F.min("node").alias("a"), F.count("*").alias("c")).where("c > 1").select("key", "a")
-    stars = tables.join(heads, "key").where("node <> a").select("a", F.col("node").alias("b")).distinct()
-    clusters = connected_components(stars)
+    live = stage(live.join(nodes.select("node", "second"), "node"), "near-live")
+    # one table for each first key joins most of what belongs together ...
+    some = live.select(F.col("node").alias("label"), "second", F.explode("k1s").alias("k1"))
+    some = some.select("label", F.xxhash64("k1", F.col("second")[F.pmod("k1", F.lit(GROUPS)).cast("int")]).alias("key"))
+    early = connected_components(_stars(some)).withColumnRenamed("label", "joined")
+    # ... so that the tables of all pairs of keys add edges only between what is still apart
+    label = F.coalesce("joined", "node")
+    every = live.join(early, "node", "left").select(label.alias("label"), F.explode("k1s").alias("k1"), "second")
+    every = every.select("label", F.explode(F.transform("second", lambda k2: F.xxhash64("k1", k2))).alias("key"))
+    late = connected_components(_stars(every)).select(F.col("node").alias("joined"), F.col("label").alias("late"))
+    clusters = live.select("node").join(early, "node", "left").withColumn("joined", F.coalesce("joined", "node")).join(late, "joined", "left")
+    clusters = clusters.select("node", F.coalesce("late", "joined").alias("label"))
     clusters = clusters.join(nodes.select("node", "set_id", "id", "n"), "node").withColumnRenamed("label", "cluster")
+    many = clusters.groupBy("cluster").agg(F.count("*").alias("c")).where("c > 1").select("cluster")
+    clusters = stage(clusters.join(many, "cluster"), "near-clusters")
     per = clusters.groupBy("cluster").agg(F.sum("n").alias("total"), F.min("node").alias("pivot"))
     per = per.withColumn("parts", F.ceil(F.col("total") / block).cast("int")).drop("total")
     members = stage(clusters.join(per, "cluster"), "near-members")
