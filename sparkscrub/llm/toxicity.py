@@ -41,6 +41,30 @@ def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return both // BUCKETS, both % BUCKETS
 
 
+def _in_parts(texts: list[bytes], rows: int = 200) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Features of some texts at a time, which bounds memory: (index of the first, owner, bucket)."""
+    for a in range(0, len(texts), rows):
+        yield a, *features(texts[a : a + rows])
+
+
+def _counts(texts: list[bytes]) -> np.ndarray:
+    """In how many texts each bucket is."""
+    out = np.zeros(BUCKETS, np.int64)
+    for _, _, bucket in _in_parts(texts):
+        out += np.bincount(bucket, minlength=BUCKETS)
+    return out
+
+
+def _chosen(texts: list[bytes], slot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(text, slot) of the features that have a slot."""
+    owners, slots = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for a, owner, bucket in _in_parts(texts):
+        s = slot[bucket]
+        owners.append(owner[s >= 0] + a)
+        slots.append(s[s >= 0])
+    return np.concatenate(owners), np.concatenate(slots)
+
+
 class PuModel:
     """Weights of the buckets and a bias."""
 
@@ -52,16 +76,14 @@ class PuModel:
             self.bias = -4.0
             return self
         prior = float(np.clip(prior, 1e-3, 0.9))
-        (po, pb), (uo, ub) = features(positive), features(unlabelled)
         np_, nu = len(positive), len(unlabelled)
-        pc, uc = np.bincount(pb, minlength=BUCKETS), np.bincount(ub, minlength=BUCKETS)
+        pc, uc = _counts(positive), _counts(unlabelled)
         # only what is surely commoner among positives can speak for them
         expected = np_ * (uc + 0.5) / nu
         chosen = np.flatnonzero((pc >= 3) & (pc > LIFT * expected) & (pc - expected > DEVIATIONS * np.sqrt(expected)))
         slot = np.full(BUCKETS, -1)
         slot[chosen] = np.arange(len(chosen))
-        pk, uk = slot[pb] >= 0, slot[ub] >= 0
-        po, pb, uo, ub = po[pk], slot[pb[pk]], uo[uk], slot[ub[uk]]
+        (po, pb), (uo, ub) = _chosen(positive, slot), _chosen(unlabelled, slot)
         w, b = np.zeros(len(chosen)), -2.0
         m, v = np.zeros(len(chosen) + 1), np.zeros(len(chosen) + 1)
         sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -40, 40)))
