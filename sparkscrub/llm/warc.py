@@ -32,6 +32,8 @@ from pyspark.sql import functions as F
 from sparkscrub.llm.staging import new_dir, small_batches, stage
 
 MIN_REVISIT, BLOCK_LINES = 100, 512
+#: Blocks that one task reads back.
+BLOCKS_A_TASK = 8
 GAP = 1 << 16
 CAPTURE_SCHEMA = "key string, id long, file string, offset long, length long"
 
@@ -259,7 +261,9 @@ class WarcArchive:
         length and digest of its headers and a null payload.
         """
         folder = self.folder
-        parts = self.blocks.repartition("file", "offset")
+        # few bytes stand for much work: a fixed number of tasks, which adaptive execution leaves alone
+        tasks = max(1, -(-self.blocks.count() // BLOCKS_A_TASK))
+        parts = self.blocks.repartition(tasks, "file", "offset")
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in batches:
