@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sparkscrub.llm.staging import drop_rows
+
 #: Fixed masks of weight 6; ``1`` marks the positions that are hashed.
 MASKS = ("1101100101", "1010011011")
 #: Slots of the table that filters hits: 2**SLOT_BITS, whatever the size of the benchmark.
@@ -105,5 +107,5 @@ def find_contamination(
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """``docs`` without the rows whose id overlaps with any benchmark item."""
-    bad = find_contamination(docs, benchmark, id_col=id_col, **options).select(F.col(id_col).alias("__bad")).distinct()
-    return docs.join(bad, docs[id_col].eqNullSafe(bad["__bad"]), "left_anti")
+    bad = find_contamination(docs, benchmark, id_col=id_col, **options).select(F.col(id_col))
+    return drop_rows(docs, [F.col(id_col)], bad)

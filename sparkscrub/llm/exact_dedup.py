@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkscrub.llm.staging import maybe_in, new_dir, small_batches, stage
+from sparkscrub.llm.staging import drop_rows, maybe_in, new_dir, small_batches, stage
 
 RUN_SCHEMA = "run string, digest binary, keep_id long, n long"
 
@@ -124,7 +124,7 @@ class LsmDigestIndex:
         texts = self.sources[0]
         for s in self.sources[1:]:
             texts = texts.unionByName(s)
-        texts = maybe_in(texts, F.coalesce("id", F.lit(-1)), wanted, F.coalesce("id", F.lit(-1)))
+        texts = maybe_in(texts, [F.col("id")], wanted, [F.col("id")])
         texts = texts.select("id", F.coalesce("text", F.lit("")).alias("text")).withColumn("digest", text_digest(F.col("text")))
         near = (texts["digest"] == wanted["digest"]) & texts["id"].eqNullSafe(wanted["id"])
         found = texts.join(wanted, near, "left_semi").select("digest", "text")
@@ -167,5 +167,6 @@ def exact_duplicates(docs: DataFrame, keep: str = "min", id_col: str = "doc_id",
 
 def drop_exact_duplicates(docs: DataFrame, keep: str = "min", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each group of equal texts, with the columns of ``docs`` as they were."""
-    marked = exact_duplicates(docs.select(*docs.columns), keep, id_col, text_col)
-    return marked.where("kept").select(*docs.columns)
+    marked = exact_duplicates(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), keep, "id", "text")
+    gone = marked.where("not kept").select(F.col("id").cast("long"), "text_digest")
+    return drop_rows(docs, [F.col(id_col).cast("long"), text_digest(F.col(text_col))], gone)

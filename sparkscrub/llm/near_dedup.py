@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkscrub.llm.components import connected_components
-from sparkscrub.llm.staging import maybe_in, small_batches, stage
+from sparkscrub.llm.staging import drop_rows, maybe_in, small_batches, stage
 from sparkscrub.llm.words import U64, hash_words, mix, runs_of, starts_of
 
 GROUPS, WIDTH = 20, 4
@@ -204,7 +204,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     per = per.withColumn("parts", F.ceil(F.col("total") / block).cast("int")).drop("total")
     members = stage(clusters.join(per, "cluster"), "near-members")
 
-    wanted = maybe_in(texts, F.coalesce("id", F.lit(-1)), members, F.coalesce("id", F.lit(-1)))
+    wanted = maybe_in(texts, [F.col("id")], members, [F.col("id")])
     sets = wanted.select("text").mapInArrow(_full_sets(words), "set_id binary, shingles binary").where("set_id is not null")
     sets = sets.join(members.select("set_id"), "set_id", "left_semi").groupBy("set_id").agg(F.first("shingles").alias("shingles"))
     rows = stage(members.join(sets, "set_id").select("cluster", "node", "n", "parts", "pivot", "shingles"), "near-sets")
@@ -239,5 +239,5 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
 
 def drop_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with the document of the smallest id of each component; others go."""
-    gone = near_duplicates(docs, words, percent, id_col, text_col).where("not kept").select(F.col(id_col).alias("__gone")).distinct()
-    return docs.join(gone, docs[id_col] == gone["__gone"], "left_anti")
+    gone = near_duplicates(docs, words, percent, id_col, text_col).where("not kept").select(F.col(id_col))
+    return drop_rows(docs, [F.col(id_col).cast("long")], gone)

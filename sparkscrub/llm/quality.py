@@ -188,10 +188,15 @@ def score_quality(docs: DataFrame, net: ByteNet, id_col: str = "doc_id", text_co
 
 
 def keep_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows that the classifier scores under ``threshold``.
-
-    Rows are joined by id: of rows with one id, all go if any is rejected; null ids stay.
-    """
+    """``docs`` without the rows that the classifier scores under ``threshold``, in one pass and with no shuffle."""
     net = fit_quality(docs, labels, id_col=id_col, text_col=text_col)
-    bad = score_quality(docs, net, id_col, text_col).where(F.col("score") < threshold).select(F.col(id_col).alias("__bad")).distinct()
-    return docs.join(bad, docs[id_col] == bad["__bad"], "left_anti")
+    small_batches(docs.sparkSession)
+    model, at = docs.sparkSession.sparkContext.broadcast(net.params), docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = ByteNet()
+        own.params = model.value
+        for b in batches:
+            yield b.filter(pa.array(own.score([t or b"" for t in b.column(at).cast(pa.binary()).to_pylist()]) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -65,22 +65,47 @@ def small_batches(spark: SparkSession, rows: int = 500) -> None:
         spark.conf.set(key, str(rows))
 
 
-def _slot(key: Column, bits: int) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(bits))
+#: Bits for each wanted key, and bounds of a bitmap: 128 kB to 32 MB are broadcast, whatever the data.
+BITS_A_KEY, MIN_BITS, MAX_BITS = 16, 1 << 20, 1 << 28
+
+
+def _marked(df: DataFrame, keys: list[Column], wanted: DataFrame, wanted_keys: list[Column]) -> DataFrame:
+    """``df`` with ``__maybe``: false only where the keys are surely not among ``wanted``."""
+    n, bits = wanted.count(), MIN_BITS
+    while bits < BITS_A_KEY * n and bits < MAX_BITS:
+        bits *= 2
+    slot = lambda ks: F.pmod(F.xxhash64(*ks), F.lit(bits))
+    block = lambda s: F.shiftright(s, 15).cast("int")
+    blocks = wanted.select(slot(wanted_keys).alias("s")).select(block(F.col("s")).alias("__block"), (F.col("s") % BLOCK_BITS).alias("__pos"))
+    blocks = blocks.groupBy("__block").agg(F.bitmap_construct_agg("__pos").alias("__bits"))
+    byte = F.conv(F.hex(F.substring("__bits", (F.col("__slot") % BLOCK_BITS / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    hit = F.getbit(byte, (F.col("__slot") % 8).cast("int")) == 1
+    rows = df.withColumn("__slot", slot(keys)).withColumn("__block", block(F.col("__slot")))
+    out = rows.join(F.broadcast(blocks), "__block", "left").withColumn("__maybe", F.coalesce(hit, F.lit(False)))
+    return out.drop("__block", "__slot", "__bits")
 
 
-def maybe_in(df: DataFrame, key: Column, wanted: DataFrame, wanted_key: Column, bits: int = 1 << 24) -> DataFrame:
-    """Rows of ``df`` whose key may be among ``wanted``: none is lost, some may be surplus.
+def maybe_in(df: DataFrame, keys: list[Column], wanted: DataFrame, wanted_keys: list[Column]) -> DataFrame:
+    """Rows of ``df`` whose keys may be among ``wanted`` (a staged table): none is lost, some may be surplus.
 
-    A bitmap of at most ``bits`` bits (2 MB by default, whatever the data) is broadcast, so that
-    a later exact join moves few rows. Past a few million keys it only lets more rows through.
+    A bitmap of bounded size is broadcast, so that a later exact join moves few rows. With more keys
+    than it was made for it lets more rows through; results stay the same.
     """
-    slot = _slot(wanted_key, bits)
-    blocks = wanted.select((slot / BLOCK_BITS).cast("long").alias("__block"), (slot % BLOCK_BITS).alias("__pos"))
-    blocks = blocks.groupBy("__block").agg(F.bitmap_construct_agg("__pos").alias("__bits"))
-    pos = F.col("__slot") % BLOCK_BITS
-    byte = F.conv(F.hex(F.substring("__bits", (pos / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    mask = F.pow(F.lit(2), pos % 8).cast("int")
-    hit = byte.bitwiseAND(mask) != 0
-    kept = df.withColumn("__slot", _slot(key, bits)).withColumn("__block", (F.col("__slot") / BLOCK_BITS).cast("long"))
-    return kept.join(F.broadcast(blocks), "__block").where(hit).drop("__block", "__slot", "__bits")
+    return _marked(df, keys, wanted, wanted_keys).where("__maybe").drop("__maybe")
+
+
+def drop_rows(df: DataFrame, keys: list[Column], gone: DataFrame) -> DataFrame:
+    """``df`` without the rows whose keys are in ``gone``, column by column; nulls are equal.
+
+    Only rows that a bitmap of bounded size cannot clear are shuffled and joined; the others stay
+    where they were read. Keys must have the types of the columns of ``gone``.
+    """
+    gone = stage(gone.distinct(), "gone").toDF(*[f"__gone{i}" for i in range(len(keys))])
+    marked = _marked(df.withColumns({f"__key{i}": k for i, k in enumerate(keys)}), keys, gone, [F.col(c) for c in gone.columns])
+    same = [F.col(f"__key{i}").eqNullSafe(F.col(f"__gone{i}")) for i in range(len(keys))]
+    on = same[0]
+    for x in same[1:]:
+        on = on & x
+    names = [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+    rest = marked.where("__maybe").join(gone, on, "left_anti").select(*names)
+    return marked.where("not __maybe").select(*names).unionByName(rest)

@@ -54,7 +54,7 @@ def test_exact_grows_by_batches(spark, docs, rows):
 
 def test_exact_drop_keeps_columns(docs, rows, none):
     out = drop_exact_duplicates(docs)
-    assert out.columns == docs.columns
+    assert out.columns == docs.columns and {r.keep_id for r in out.collect()} == {9}
     assert {r.doc_id for r in out.collect()} == {min(i for i, t, _ in rows if (t or "") == u) for u in {t or "" for _, t, _ in rows}}
     assert exact_duplicates(none).count() == 0
 
