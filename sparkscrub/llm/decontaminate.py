@@ -43,13 +43,18 @@ def _slots(h: Column) -> tuple[Column, Column]:
 
 
 def _slot_table(seeds: DataFrame) -> Column:
-    """Literal array of booleans: the slots that test hashes take. Its size is fixed."""
+    """Literal array of 64-bit words: a bit for each slot that test hashes take. Its size is fixed (32 kB)."""
     first, second = _slots(F.col("h"))
     taken = [r[0] for r in seeds.select(F.explode(F.array(first, second)).alias("s")).distinct().collect()]
-    flags = bytearray(b"0" * (1 << SLOT_BITS))
+    words = [0] * ((1 << SLOT_BITS) // 64)
     for s in taken:
-        flags[s] = 49
-    return F.expr(f"cast(split('{','.join(flags.decode())}', ',') as array<boolean>)")
+        words[s >> 6] |= 1 << (s & 63)
+    signed = ",".join(str(w - (1 << 64) if w >> 63 else w) for w in words)
+    return F.expr(f"cast(split('{signed}', ',') as array<bigint>)")
+
+
+def _taken(table: Column, slot: Column) -> Column:
+    return F.getbit(table[F.shiftright(slot, 6)], slot.bitwiseAND(F.lit(63))) == 1
 
 
 def find_contamination(
@@ -78,9 +83,8 @@ def find_contamination(
 
     def hits(mask: str, k: int) -> Column:
         def likely(i: Column) -> Column:
-            h = _seed(F.col("th"), i, mask, k)
-            first, second = _slots(h)
-            return table[first] & table[second]
+            both = lambda h: _taken(table, _slots(h)[0]) & _taken(table, _slots(h)[1])
+            return F.exists(F.array(_seed(F.col("th"), i, mask, k)), both)  # the hash is made once
 
         near = lambda i: F.struct(
             _seed(F.col("th"), i, mask, k).alias("h"), i.alias("pos"), F.lit(len(mask)).alias("span"),
