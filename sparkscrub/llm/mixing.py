@@ -1,9 +1,10 @@
 """Mixing sources to target weights, with DataFrame functions only.
 
 Every document gets a hash-random key. Within a source, documents are ordered by that key; the
-top bits of the key are the range they fall in. Sums of sizes for (source, range) give, by a
-window over the ranges of a source, where each range starts: a distributed prefix sum. A source's
-budget is cut in exactly one range; only that range's rows are ordered one by one. Documents
+top bits of the key are the range they fall in. Sums of sizes for (source, range) give where each
+range starts: a distributed prefix sum, made level by level, first over a source's coarse ranges,
+then over the fine ranges of the coarse one that holds its cut. A source's budget is cut in
+exactly one fine range; only that range's rows are ordered one by one. Documents
 before the cut are taken once more than those after it, and the document on the cut in part, so
 that each source gives its budget to the word. Budgets over a source's size repeat it in epochs.
 
@@ -19,8 +20,9 @@ from sparkscrub.llm.staging import stage
 
 #: White space of a word count, as in ``[^\\x20\\x09-\\x0D]+``.
 SPACE = " \t\n\x0b\x0c\r"
-#: A source is cut into 16**RANGE_DIGITS ranges of its random keys.
-RANGE_DIGITS = 3
+#: Levels of ranges: a source has 16**3 coarse and 16**6 fine ranges of its random keys, so that a level's
+#: prefix sum is over 4096 rows at most, and the rows of a fine range are few in a source of any size.
+RANGE_LEVELS = (3, 6)
 
 
 def count_words(text: Column) -> Column:
@@ -60,6 +62,19 @@ def source_targets(sizes: DataFrame, source_col: str, weights: DataFrame | None,
     return free.select(source_col, "source_size", target.alias("target"))
 
 
+def _cut_ranges(sums: DataFrame, budgets: DataFrame, source_col: str) -> DataFrame:
+    """Per source with words: __src, the range __cut that holds its word ``__left``, and the words ``__at`` before that range."""
+    at = budgets.select("__src", "__left", F.lit("").alias("__cut"), F.lit(0).cast("long").alias("__at"))
+    before = Window.partitionBy("__src").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    for digits in RANGE_LEVELS:
+        inside = sums.join(at, sums[source_col].eqNullSafe(at["__src"]) & F.col("__range").startswith(F.col("__cut")))
+        parts = inside.groupBy("__src", "__left", "__at", F.left("__range", F.lit(digits)).alias("__part")).agg(F.sum("size").alias("size"))
+        starts = parts.withColumn("__start", F.col("__at") + F.coalesce(F.sum("size").over(before), F.lit(0)))
+        held = starts.where((F.col("__start") <= F.col("__left")) & (F.col("__left") < F.col("__start") + F.col("size")))
+        at = held.select("__src", "__left", F.col("__part").alias("__cut"), F.col("__start").alias("__at"))
+    return at
+
+
 def mix_sources(
     docs: DataFrame, weights: DataFrame | None = None, max_epochs: int = 3, seed: str = "mix",
     id_col: str = "doc_id", source_col: str = "source", text_col: str = "text",
@@ -73,18 +88,16 @@ def mix_sources(
     """
     docs = docs.drop("size", "source_size", "target", "taken")
     key = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col(id_col).cast("string"), F.lit("null"))))
-    keyed = docs.withColumns({"size": count_words(F.col(text_col)), "__key": key, "__range": F.left(key, F.lit(RANGE_DIGITS))})
+    keyed = docs.withColumns({"size": count_words(F.col(text_col)), "__key": key, "__range": F.left(key, F.lit(RANGE_LEVELS[-1]))})
     sums = stage(keyed.groupBy(F.col(source_col), "__range").agg(F.sum("size").alias("size")), "mix-ranges")
     targets = source_targets(sums, source_col, weights, max_epochs)
     t = targets.withColumnRenamed(source_col, "__src")
     budget = F.floor("target")
     t = t.withColumn("__epochs", F.when(F.col("source_size") > 0, F.floor(F.expr("floor(target) div source_size"))).otherwise(0).cast("long"))
     t = t.withColumn("__left", (budget - F.col("__epochs") * F.col("source_size")).cast("long"))
-    before = Window.partitionBy(source_col).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sums.withColumn("__start", F.coalesce(F.sum("size").over(before), F.lit(0)))
-    at = starts.join(t, starts[source_col].eqNullSafe(t["__src"]), "inner").where((F.col("__start") <= F.col("__left")) & (F.col("__left") < F.col("__start") + F.col("size")))
-    cuts = at.groupBy("__src").agg(F.min("__range").alias("__cut"), F.min("__start").alias("__at"))
-    cuts = t.join(cuts.withColumnRenamed("__src", "__c"), F.col("__src").eqNullSafe(F.col("__c")), "left").drop("__c")
+    t = stage(t, "mix-budgets")
+    at = _cut_ranges(sums, t, source_col).select(F.col("__src").alias("__c"), "__cut", "__at")
+    cuts = t.join(at, F.col("__src").eqNullSafe(F.col("__c")), "left").drop("__c")
     cuts = stage(cuts, "mix-cuts")
     rows = keyed.join(cuts, keyed[source_col].eqNullSafe(cuts["__src"]), "left")
     plain = F.col("size") * (F.col("__epochs") + F.when(F.col("__range") < F.col("__cut"), 1).otherwise(0))
