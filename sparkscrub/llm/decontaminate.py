@@ -73,8 +73,13 @@ def find_contamination(
     items = benchmark.select(F.col(item_col).alias("item"), F.transform(tokens(F.col(item_text_col)), lambda t: F.xxhash64(t)).alias("ith"))
     parts = []
     for k, mask in enumerate(masks):
-        at = items.select("item", "ith", F.explode(_positions(F.size("ith"), len(mask))).alias("ipos"))
-        parts.append(at.select("item", "ith", "ipos", _seed(F.col("ith"), F.col("ipos"), mask, k).alias("h")))
+        # all that a window with the seed can reach
+        around = lambda start: F.slice("ith", start + 1, F.lit(2 * window + len(mask)))
+        start = lambda i: F.greatest(i - window, F.lit(0))
+        each = F.transform(_positions(F.size("ith"), len(mask)), lambda i: F.struct(
+            i.alias("ipos"), start(i).alias("ifrom"), around(start(i)).alias("ipart"), _seed(F.col("ith"), i, mask, k).alias("h"),
+        ))
+        parts.append(items.select("item", F.size("ith").alias("isize"), F.explode(each).alias("s")).select("item", "isize", "s.*"))
     seeds = parts[0]
     for p in parts[1:]:
         seeds = seeds.unionByName(p)
@@ -97,9 +102,9 @@ def find_contamination(
     # item position of a document position p is p + ipos - pos
     shift = F.col("ipos") - F.col("pos")
     first = F.greatest(F.col("from"), -shift, F.col("pos") + F.col("span") - window)
-    last = F.least(F.col("from") + F.size("part"), F.size("ith") - shift, F.col("pos") + window)
+    last = F.least(F.col("from") + F.size("part"), F.col("isize") - shift, F.col("pos") + window)
     pairs = pairs.withColumns({"first": first, "last": last, "shift": shift})
-    same = F.transform(F.sequence(F.col("first"), F.col("last") - 1), lambda p: F.when(F.col("part")[p - F.col("from")] == F.col("ith")[p + F.col("shift")], 1).otherwise(0))
+    same = F.transform(F.sequence(F.col("first"), F.col("last") - 1), lambda p: F.when(F.col("part")[p - F.col("from")] == F.col("ipart")[p + F.col("shift") - F.col("ifrom")], 1).otherwise(0))
     pairs = pairs.select("id", "item", "first", same.alias("same"))
     width = F.least(F.lit(window), F.size("same"))
     best = F.transform(F.sequence(F.lit(0), F.size("same") - width), lambda s: F.struct(F.aggregate(F.slice("same", s + 1, width), F.lit(0), lambda a, x: a + x).alias("matched"), (-(F.col("first") + s)).alias("at")))

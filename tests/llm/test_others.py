@@ -128,6 +128,14 @@ def test_contamination(spark, words):
     assert find_contamination(df.limit(0), bench).count() == 0 and find_contamination(df, bench.limit(0)).count() == 0
 
 
+def test_contamination_by_a_long_item(spark):
+    words = [f"w{i * 7919 % 6000}" for i in range(6000)]
+    bench = spark.createDataFrame([(1, " ".join(words)), (None, " ".join(words[:15]))], "item_id long, text string")
+    docs = [(i, " ".join(["x"] * i + words[at : at + 30] + ["y"] * 30)) for i, at in enumerate((0, 1, 2990, 5970))] + [(8, "x y " * 50)]
+    got = find_contamination(spark.createDataFrame(docs, "doc_id long, text string"), bench)
+    assert {(r.doc_id, r.item_id, r.matched, r.start) for r in got.collect() if r.item_id} == {(i, 1, 20, i) for i in range(4)}
+
+
 # classifiers
 
 
