@@ -3,7 +3,8 @@
 A mask is a fixed choice of token positions; the hash of the chosen tokens ignores the others, so
 a substitution at an ignored position leaves a hit. Hits of training and test hashes (same mask)
 are joined and verified: in the alignment of the hit, some window of ``window`` tokens that
-contains the seed must agree in ``min_share`` of its positions.
+contains the seed must agree in ``min_share`` of its positions. With the default window and share no
+such window is without a hit, wherever its substitutions are (a test goes through all placements).
 
 Training positions are first tested against a fixed-size table of the test hashes' slots, so that
 only likely hits leave the scan, each with the few tokens around it; no document is shuffled.
@@ -16,11 +17,14 @@ from pyspark.sql import functions as F
 
 from sparkscrub.llm.staging import drop_rows
 
-#: Fixed masks of weight 6; ``1`` marks the positions that are hashed.
-MASKS = ("1101100101", "1010011011")
+#: Fixed masks of weight 5; ``1`` marks the positions that are hashed. Of 10 to 20 tokens of which 0.8 agree, at least
+#: one place of one mask has no substitution.
+MASKS = ("11111", "111011", "11001011")
 #: Slots of the table that filters hits: 2**SLOT_BITS, whatever the size of the benchmark.
-SLOT_BITS = 18
+SLOT_BITS = 19
 WINDOW, MIN_SHARE = 20, 0.8
+#: Tokens that are compared at least; shorter items overlap with nothing.
+MIN_TOKENS = 10
 
 
 def tokens(text: Column) -> Column:
@@ -43,7 +47,7 @@ def _slots(h: Column) -> tuple[Column, Column]:
 
 
 def _slot_table(seeds: DataFrame) -> Column:
-    """Literal array of 64-bit words: a bit for each slot that test hashes take. Its size is fixed (32 kB)."""
+    """Literal array of 64-bit words: a bit for each slot that test hashes take. Its size is fixed (64 kB)."""
     first, second = _slots(F.col("h"))
     taken = [r[0] for r in seeds.select(F.explode(F.array(first, second)).alias("s")).distinct().collect()]
     words = [0] * ((1 << SLOT_BITS) // 64)
@@ -66,11 +70,12 @@ def find_contamination(
     best window, and ``start``, the first token of the document in it.
 
     A window has ``window`` tokens, or all of a shorter item or document part that the alignment
-    covers, but never fewer than a mask's span. Items shorter than a mask's span, empty texts and
-    nulls overlap with nothing. Rows with one id (null is one) are reported together. Ties take the
+    covers, but never fewer than MIN_TOKENS. Shorter items, empty texts and nulls overlap with
+    nothing. Rows with one id (null is one) are reported together. Ties take the
     first window. Empty tables give an empty result; further columns are not read.
     """
     items = benchmark.select(F.col(item_col).alias("item"), F.transform(tokens(F.col(item_text_col)), lambda t: F.xxhash64(t)).alias("ith"))
+    items = items.where(F.size("ith") >= MIN_TOKENS)
     parts = []
     for k, mask in enumerate(masks):
         # all that a window with the seed can reach
@@ -105,12 +110,17 @@ def find_contamination(
     last = F.least(F.col("from") + F.size("part"), F.col("isize") - shift, F.col("pos") + window)
     pairs = pairs.withColumns({"first": first, "last": last, "shift": shift})
     same = F.transform(F.sequence(F.col("first"), F.col("last") - 1), lambda p: F.when(F.col("part")[p - F.col("from")] == F.col("ipart")[p + F.col("shift") - F.col("ifrom")], 1).otherwise(0))
-    pairs = pairs.select("id", "item", "first", same.alias("same"))
-    width = F.least(F.lit(window), F.size("same"))
-    best = F.transform(F.sequence(F.lit(0), F.size("same") - width), lambda s: F.struct(F.aggregate(F.slice("same", s + 1, width), F.lit(0), lambda a, x: a + x).alias("matched"), (-(F.col("first") + s)).alias("at")))
-    scored = pairs.select("id", "item", width.alias("compared"), F.array_max(best).alias("b"))
-    good = scored.where(F.col("b.matched") >= F.ceil(F.col("compared") * F.lit(min_share)))
-    top = good.groupBy("id", "item").agg(F.max(F.struct(F.col("b.matched").alias("matched"), "compared", F.col("b.at").alias("at"))).alias("m"))
+    width = lambda v: F.least(F.lit(window), F.size(v))
+    need = lambda v: F.ceil(width(v) * F.lit(min_share))
+    total = lambda v: F.aggregate(v, F.lit(0), lambda a, x: a + x)
+    windows = lambda v: F.transform(F.sequence(F.lit(0), F.size(v) - width(v)), lambda s: F.struct(
+        total(F.slice(v, s + 1, width(v))).alias("matched"), width(v).alias("compared"), (-(F.col("first") + s)).alias("at"),
+    ))
+    # an array of one, so that ``same`` is made once; few hits agree in enough places to be looked at window by window
+    possible = lambda v: (F.size(v) >= MIN_TOKENS) & (total(v) >= need(v))
+    best = F.transform(F.filter(F.array(same), possible), lambda v: F.array_max(windows(v)))
+    good = pairs.select("id", "item", F.explode(best).alias("b")).where(F.col("b.matched") >= F.ceil(F.col("b.compared") * F.lit(min_share)))
+    top = good.groupBy("id", "item").agg(F.max("b").alias("m"))
     return top.select(F.col("id").alias(id_col), F.col("item").alias(item_col), F.col("m.matched").cast("long").alias("matched"), F.col("m.compared").cast("long").alias("compared"), (-F.col("m.at")).cast("long").alias("start"))
 
 

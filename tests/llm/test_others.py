@@ -2,6 +2,8 @@
 
 import gzip
 import hashlib
+import itertools
+import math
 import os
 import random
 import re
@@ -12,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkscrub.llm import queries
-from sparkscrub.llm.decontaminate import drop_contaminated, find_contamination
+from sparkscrub.llm.decontaminate import MASKS, MIN_SHARE, MIN_TOKENS, WINDOW, drop_contaminated, find_contamination
 from sparkscrub.llm.labelled import held_out
 from sparkscrub.llm.mixing import mix_sources, taken_documents
 from sparkscrub.llm.pii import find_personal_data, listed
@@ -136,6 +138,30 @@ def test_contamination_by_a_long_item(spark):
     assert {(r.doc_id, r.item_id, r.matched, r.start) for r in got.collect() if r.item_id} == {(i, 1, 20, i) for i in range(4)}
 
 
+def test_masks_hit_all_that_verification_accepts():
+    bits = [int(m[::-1], 2) for m in MASKS]
+    for n in range(MIN_TOKENS, WINDOW + 1):
+        for changed in itertools.combinations(range(n), n - math.ceil(n * MIN_SHARE)):
+            same = (1 << n) - 1 - sum(1 << i for i in changed)
+            assert any(same >> at & m == m for m in bits for at in range(n)), (n, changed)
+
+
+def test_contamination_at_the_threshold(spark):
+    """Every fifth token of a passage changed, and short items with as many changes as are tolerated."""
+    items = [(k, [f"i{k}w{j}" for j in range(n)]) for k, n in enumerate((60, 20, 15, 10, 9))]
+    docs, want = [], set()
+    for k, words in items:
+        for phase in range(5):
+            copy = ["other" if j % 5 == phase else w for j, w in enumerate(words)]
+            docs.append((len(docs), " ".join(["a", "b", *copy, "c"])))
+            if k < 4:
+                want.add((len(docs) - 1, k))
+    docs.append((len(docs), " ".join(["a"] + ["other" if j % 4 == 0 else w for j, w in enumerate(items[0][1])])))
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in items], "item_id long, text string")
+    got = find_contamination(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == want and {(r.matched, r.compared) for r in got} == {(16, 20), (12, 15), (8, 10)}
+
+
 # classifiers
 
 
