@@ -15,6 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sparkscrub.llm.exact_dedup import text_digest
 from sparkscrub.llm.staging import drop_rows
 
 #: Fixed masks of weight 5; ``1`` marks the positions that are hashed. Of 10 to 20 tokens of which 0.8 agree, at least
@@ -61,19 +62,8 @@ def _taken(table: Column, slot: Column) -> Column:
     return F.getbit(table[F.shiftright(slot, 6)], slot.bitwiseAND(F.lit(63))) == 1
 
 
-def find_contamination(
-    docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-    item_col: str = "item_id", item_text_col: str = "text", masks: tuple[str, ...] = MASKS,
-    window: int = WINDOW, min_share: float = MIN_SHARE,
-) -> DataFrame:
-    """One row per (document, benchmark item) that overlap: ids, ``matched`` and ``compared`` of the
-    best window, and ``start``, the first token of the document in it.
-
-    A window has ``window`` tokens, or all of a shorter item or document part that the alignment
-    covers, but never fewer than MIN_TOKENS. Shorter items, empty texts and nulls overlap with
-    nothing. Rows with one id (null is one) are reported together. Ties take the
-    first window. Empty tables give an empty result; further columns are not read.
-    """
+def _overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, item_col: str, item_text_col: str, masks: tuple[str, ...], window: int, min_share: float) -> DataFrame:
+    """id, digest (of the row's text), item and ``b``, the best window, of every hit whose best window agrees enough."""
     items = benchmark.select(F.col(item_col).alias("item"), F.transform(tokens(F.col(item_text_col)), lambda t: F.xxhash64(t)).alias("ith"))
     items = items.where(F.size("ith") >= MIN_TOKENS)
     parts = []
@@ -89,7 +79,7 @@ def find_contamination(
     for p in parts[1:]:
         seeds = seeds.unionByName(p)
     table = _slot_table(seeds)
-    rows = docs.select(F.col(id_col).alias("id"), F.transform(tokens(F.col(text_col)), lambda t: F.xxhash64(t)).alias("th"))
+    rows = docs.select(F.col(id_col).alias("id"), text_digest(F.col(text_col)).alias("digest"), F.transform(tokens(F.col(text_col)), lambda t: F.xxhash64(t)).alias("th"))
 
     def hits(mask: str, k: int) -> Column:
         def likely(i: Column) -> Column:
@@ -102,7 +92,7 @@ def find_contamination(
         )
         return F.transform(F.filter(_positions(F.size("th"), len(mask)), likely), near)
 
-    found = rows.select("id", F.explode(F.concat(*[hits(m, k) for k, m in enumerate(masks)])).alias("x")).select("id", "x.*")
+    found = rows.select("id", "digest", F.explode(F.concat(*[hits(m, k) for k, m in enumerate(masks)])).alias("x")).select("id", "digest", "x.*")
     pairs = found.join(seeds, "h")
     # item position of a document position p is p + ipos - pos
     shift = F.col("ipos") - F.col("pos")
@@ -119,12 +109,32 @@ def find_contamination(
     # an array of one, so that ``same`` is made once; few hits agree in enough places to be looked at window by window
     possible = lambda v: (F.size(v) >= MIN_TOKENS) & (total(v) >= need(v))
     best = F.transform(F.filter(F.array(same), possible), lambda v: F.array_max(windows(v)))
-    good = pairs.select("id", "item", F.explode(best).alias("b")).where(F.col("b.matched") >= F.ceil(F.col("b.compared") * F.lit(min_share)))
+    good = pairs.select("id", "digest", "item", F.explode(best).alias("b"))
+    return good.where(F.col("b.matched") >= F.ceil(F.col("b.compared") * F.lit(min_share)))
+
+
+def find_contamination(
+    docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+    item_col: str = "item_id", item_text_col: str = "text", masks: tuple[str, ...] = MASKS,
+    window: int = WINDOW, min_share: float = MIN_SHARE,
+) -> DataFrame:
+    """One row per (document, benchmark item) that overlap: ids, ``matched`` and ``compared`` of the
+    best window, and ``start``, the first token of the document in it.
+
+    A window has ``window`` tokens, or all of a shorter item or document part that the alignment
+    covers, but never fewer than MIN_TOKENS. Shorter items, empty texts and nulls overlap with
+    nothing. Rows with one id (null is one) are reported together. Ties take the
+    first window. Empty tables give an empty result; further columns are not read.
+    """
+    good = _overlaps(docs, benchmark, id_col, text_col, item_col, item_text_col, masks, window, min_share)
     top = good.groupBy("id", "item").agg(F.max("b").alias("m"))
     return top.select(F.col("id").alias(id_col), F.col("item").alias(item_col), F.col("m.matched").cast("long").alias("matched"), F.col("m.compared").cast("long").alias("compared"), (-F.col("m.at")).cast("long").alias("start"))
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """``docs`` without the rows whose id overlaps with any benchmark item."""
-    bad = find_contamination(docs, benchmark, id_col=id_col, **options).select(F.col(id_col))
-    return drop_rows(docs, [F.col(id_col)], bad)
+def drop_contaminated(
+    docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
+    masks: tuple[str, ...] = MASKS, window: int = WINDOW, min_share: float = MIN_SHARE,
+) -> DataFrame:
+    """``docs`` without the rows whose text overlaps with any benchmark item; other rows of their ids stay."""
+    bad = _overlaps(docs, benchmark, id_col, text_col, item_col, item_text_col, masks, window, min_share).select("id", "digest")
+    return drop_rows(docs, [F.col(id_col), text_digest(F.col(text_col))], bad)

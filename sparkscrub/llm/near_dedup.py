@@ -21,10 +21,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkscrub.llm.components import connected_components
+from sparkscrub.llm.exact_dedup import text_digest
 from sparkscrub.llm.staging import drop_rows, maybe_in, small_batches, stage
 from sparkscrub.llm.words import U64, hash_words, mix, runs_of, starts_of
 
@@ -83,11 +84,11 @@ def _sketch(words: int):
                 first[i], second[i] = keys[row, :GROUPS], keys[row, GROUPS:]
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column(0), pa.array([len(s) for s in sets], pa.int64()),
+                    batch.column(0), batch.column(2), pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([set_id(s) if len(s) else None for s in sets], pa.binary()),
                     pa.array(first, pa.list_(pa.int64())), pa.array(second, pa.list_(pa.int64())),
                 ],
-                ["id", "n", "node", "first", "second"],
+                ["id", "digest", "n", "node", "first", "second"],
             )
 
     return run
@@ -166,19 +167,13 @@ def _stars(rows: DataFrame) -> DataFrame:
     return rows.join(heads, "key").where("label <> a").select("a", F.col("label").alias("b")).distinct()
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
-    """One row per row of ``docs``: id, n_shingles, component_id (smallest id linked, directly or
-    over others) and kept (the id is its component's).
-
-    Sets are linked when 100 * intersection >= percent * union. Texts are split at white space and
-    A-Z lower-cased. Null and empty texts have no shingles and are linked with nothing. Null ids
-    are never a component's id unless it has no other; such rows are kept. Repeated rows each get
-    a row. Columns other than id and text are not read. An empty table gives an empty result.
-    """
+def _components(docs: DataFrame, words: int, percent: int, id_col: str, text_col: str, block: int, digest: Column) -> DataFrame:
+    """id, digest, n, component_id and kept of every row; see ``near_duplicates``."""
     spark = docs.sparkSession
     small_batches(spark)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    sketch = stage(texts.mapInArrow(_sketch(words), "id long, n long, node binary, first array<long>, second array<long>"), "near-sketch")
+    sketched = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), digest.cast("binary").alias("digest"))
+    sketch = stage(sketched.mapInArrow(_sketch(words), "id long, digest binary, n long, node binary, first array<long>, second array<long>"), "near-sketch")
     nodes = sketch.where("n > 0").groupBy("node").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("first").alias("first"), F.first("second").alias("second"))
     nodes = nodes.withColumnRenamed("node", "set_id").withColumn("node", F.monotonically_increasing_id())
     nodes = stage(nodes, "near-nodes")  # once written, the numbers of nodes are fixed
@@ -232,12 +227,25 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     named = nodes.select("node", "set_id", "id").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     lowest = named.groupBy("label").agg(F.min("id").alias("component_id"))
     by_node = named.join(lowest, "label").select("set_id", "component_id")
-    out = sketch.select("id", "n", F.col("node").alias("set_id")).join(by_node, "set_id", "left")
+    out = sketch.select("id", "digest", "n", F.col("node").alias("set_id")).join(by_node, "set_id", "left")
     component = F.coalesce("component_id", "id")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
+    return out.select("id", "digest", "n", component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
+
+
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
+    """One row per row of ``docs``: id, n_shingles, component_id (smallest id linked, directly or
+    over others) and kept (the id is its component's).
+
+    Sets are linked when 100 * intersection >= percent * union. Texts are split at white space and
+    A-Z lower-cased. Null and empty texts have no shingles and are linked with nothing. Null ids
+    are never a component's id unless it has no other; only then are their rows kept. Repeated rows each get
+    a row. Columns other than id and text are not read. An empty table gives an empty result.
+    """
+    out = _components(docs, words, percent, id_col, text_col, block, F.lit(None))
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", "kept")
 
 
 def drop_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with the document of the smallest id of each component; others go."""
-    gone = near_duplicates(docs, words, percent, id_col, text_col).where("not kept").select(F.col(id_col))
-    return drop_rows(docs, [F.col(id_col).cast("long")], gone)
+    """``docs`` with the document of the smallest id of each component; others go, row by row: rows of one id and other texts stay."""
+    gone = _components(docs, words, percent, id_col, text_col, BLOCK, text_digest(F.col(text_col))).where("not kept").select("id", "digest")
+    return drop_rows(docs, [F.col(id_col).cast("long"), text_digest(F.col(text_col))], gone)

@@ -99,6 +99,13 @@ def test_near_drop(docs, rows, none):
     assert near_duplicates(none).count() == 0
 
 
+def test_near_drops_only_the_rows_judged(spark):
+    a, b = (" ".join(f"{c}{j}" for j in range(100)) for c in "ab")
+    docs = [(1, a), (None, a + " more"), (None, "clean"), (None, None), (3, a + " end"), (3, "unlike the others"), (None, b)]
+    left = drop_near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert Counter(map(tuple, left)) == Counter(d for k, d in enumerate(docs) if k not in (1, 4))
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, k) for k in range(101, 130)] + [(7, 7)]
     got = dict(connected_components(spark.createDataFrame(edges, "a long, b long")).collect())

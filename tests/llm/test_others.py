@@ -130,6 +130,14 @@ def test_contamination(spark, words):
     assert find_contamination(df.limit(0), bench).count() == 0 and find_contamination(df, bench.limit(0)).count() == 0
 
 
+def test_contamination_drops_only_the_rows_judged(spark):
+    item = " ".join(f"w{j}" for j in range(20))
+    docs = [(None, item), (None, "clean"), (None, None), (1, f"a {item}"), (1, "also clean"), (2, "clean")]
+    bench = spark.createDataFrame([(0, item)], "item_id long, text string")
+    left = drop_contaminated(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()
+    assert Counter(map(tuple, left)) == Counter(d for d in docs if item not in (d[1] or ""))
+
+
 def test_contamination_by_a_long_item(spark):
     words = [f"w{i * 7919 % 6000}" for i in range(6000)]
     bench = spark.createDataFrame([(1, " ".join(words)), (None, " ".join(words[:15]))], "item_id long, text string")
