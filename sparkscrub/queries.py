@@ -238,7 +238,6 @@ add("dedup_fuzzy_first", SUPP, _fuzzy_keep, None)
 # text ----------------------------------------------------------------------------------------------
 
 CUST = View("customer", "c_custkey", "CASE WHEN c_custkey % 9 = 0 THEN NULL ELSE concat('  ', upper(c_name), '   o''connor ', c_mktsegment, ' ') END AS t")
-DOCS = View("documents", "doc_id AS k", "substring(text, 1, 300) AS t")
 WHOLE = View("documents", "doc_id AS k", "text AS t")
 _ws = r"regexp_replace({x}, '\s+', ' ', 'g')"
 
@@ -275,7 +274,7 @@ def _html_sql(x: str) -> str:
 add("text_html", HTML, _text(fx.remove_html), f"SELECT page_id, {_html_sql('t')} AS t FROM d")
 add("text_accents", WHOLE, _text(fx.remove_accents), "SELECT k, strip_accents(t) AS t FROM d")
 add("text_accents_exact", WHOLE, _text(fx.remove_accents_exact), "SELECT k, strip_accents(t) AS t FROM d")
-add("text_normalize_unicode", DOCS, lambda df: df.select("k", F.length(fx.normalize_unicode(F.col("t"))).alias("n"), F.length("t").alias("before")), None)
+add("text_normalize_unicode", WHOLE, _text(fx.normalize_unicode), None)
 add("text_name", CUST, lambda df: s.TextCleaner().clean_names(df, "t"), f"SELECT c_custkey, strip_accents({_title_sql(_strip_sql('t'))}) AS t FROM d")
 ADDR = View("customer", "c_custkey", "concat(CAST(c_custkey AS STRING), ' Main  ', CASE WHEN c_custkey % 4 = 0 THEN 'St.' WHEN c_custkey % 4 = 1 THEN 'AVE' WHEN c_custkey % 4 = 2 THEN 'Blvd' ELSE 'Rd, Apt' END, ' ', c_mktsegment) AS t")
 _addr = f"lower({_strip_sql('t')})"

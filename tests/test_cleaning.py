@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import sparkscrub as s
+from sparkscrub import queries
 from sparkscrub.functions import text as fx
 from sparkscrub.operators.missing import carry
 
@@ -114,6 +115,15 @@ def test_fuzzy_duplicates(spark):
     assert sorted(values(h.transform(df, "first"), "n")) == [1, 3]
 
 
+def test_whole_texts_are_normalised(spark):
+    import unicodedata
+
+    sf = "/root/testdata/sf0.001"
+    text = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()}
+    got = {r.k: r.t for r in queries.QUERIES["text_normalize_unicode"](spark, sf).collect()}
+    assert got == {i: t and unicodedata.normalize("NFKD", t) for i, t in text.items()}
+
+
 def test_outliers(spark):
     df = spark.createDataFrame([(v, 1000 * v) for v in (25, 30, 28, 35, 999, 27, 33, 29, -5, 31)], "age long, income long")
     h = s.OutlierHandler()
