@@ -34,23 +34,23 @@ def running_starts(lens: Column) -> Column:
     return let(let(lens, whole), joined)
 
 
-def match_spans(text: Column, pattern: str, guard: str | None = None) -> Column:
-    """Array of (start, end, value, left) of the leftmost non-overlapping matches of ``pattern``.
+def match_spans(text: Column, pattern: str, guard: str | None = None, around: int = 80) -> Column:
+    """Array of (start, end, value, left, right) of the leftmost non-overlapping matches of ``pattern``.
 
-    Positions are code points, end exclusive; ``left`` is up to 80 code points before the match,
-    none of them in an earlier match. ``pattern`` holds no capturing group and never matches the
-    empty string or U+0001. ``guard`` is a cheaper pattern that any text with a match has.
+    Positions are code points, end exclusive; ``left`` and ``right`` are up to ``around`` code points
+    before and after the match, none of them in another match. ``pattern`` holds no capturing group and
+    never matches the empty string or U+0001. ``guard`` is a cheaper pattern that any text with a match has.
     """
     clean = F.translate(text, MARK, "\x03")
     parts = F.split(F.regexp_replace(clean, f"({pattern})", f"{MARK}$1{MARK}"), MARK)
-    none = F.array().cast("array<struct<start:int,end:int,value:string,left:string>>")
+    none = F.array().cast("array<struct<start:int,end:int,value:string,left:string,right:string>>")
 
     def found(parts: Column, at: Column) -> Column:
         return F.transform(
             F.sequence(F.lit(1), F.size(parts) - 1, F.lit(2)),
             lambda i: F.struct(
                 at[i].alias("start"), (at[i] + F.length(parts[i])).alias("end"),
-                parts[i].alias("value"), F.right(parts[i - 1], F.lit(80)).alias("left"),
+                parts[i].alias("value"), F.right(parts[i - 1], F.lit(around)).alias("left"), F.left(parts[i + 1], F.lit(around)).alias("right"),
             ),
         )
 

@@ -7,8 +7,10 @@ Only where that setting is missing (tests, a laptop) a local folder is used.
 from __future__ import annotations
 
 import atexit
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,9 +22,11 @@ _made: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder: ``spark.checkpoint.dir``, else a local one for tests."""
+    """The shared folder: ``spark.checkpoint.dir``; where it is unset, a local one, if all tasks run on this machine."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="sparkscrub-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -43,14 +47,37 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def unstage(df: DataFrame, label: str) -> None:
+    """Delete the staged table ``df`` (``label`` as given to ``stage``), which nothing unfinished may read."""
+    for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        for made in [m for m in _made if m[1].rpartition("/")[2] == path.rpartition("/")[2] and f"/{label}-" in path]:
+            _made.remove(made)
+            _delete(*made)
+
+
+@contextlib.contextmanager
+def released(keep: str | None = None) -> Iterator[None]:
+    """Delete what is staged inside when the block ends; results made inside must be written by then. ``keep``: a label that stays."""
+    before = set(_made)
+    try:
+        yield
+    finally:
+        for made in [m for m in _made if m not in before and not (keep and f"/{keep}-" in m[1])]:
+            _made.remove(made)
+            _delete(*made)
+
+
 def drop_all() -> None:
     """Delete every staged table of this driver; for callers that run many operators."""
     while _made:
-        spark, path = _made.pop()
         try:
-            jvm = spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+            _delete(*_made.pop())
         except Exception:  # the gateway may be gone at exit; the folder is then the cluster's to clean
             return
 
@@ -58,11 +85,15 @@ def drop_all() -> None:
 atexit.register(drop_all)
 
 
-def small_batches(spark: SparkSession, rows: int = 500) -> None:
-    """Hold Arrow batches to ``rows`` rows, so that very long texts fit in a Python worker."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) > rows or int(spark.conf.get(key)) <= 0:
-        spark.conf.set(key, str(rows))
+def small_batches(spark: SparkSession, rows: int = 500, size: int = 32 << 20) -> None:
+    """Hold Arrow batches to ``rows`` rows and about ``size`` bytes, so that very long texts fit in a Python worker.
+
+    Frames are lazy, so the setting has to hold when a caller runs them: it stays, and is only ever lowered.
+    """
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
+        with contextlib.suppress(Exception):  # older versions know no bound of bytes
+            if not 0 < int(spark.conf.get(key).lower().removesuffix("b")) <= most:
+                spark.conf.set(key, str(most))
 
 
 #: Bits for each wanted key, and bounds of a bitmap: 128 kB to 32 MB are broadcast, whatever the data.
@@ -94,18 +125,31 @@ def maybe_in(df: DataFrame, keys: list[Column], wanted: DataFrame, wanted_keys:
     return _marked(df, keys, wanted, wanted_keys).where("__maybe").drop("__maybe")
 
 
-def drop_rows(df: DataFrame, keys: list[Column], gone: DataFrame) -> DataFrame:
-    """``df`` without the rows whose keys are in ``gone``, column by column; nulls are equal.
+def drop_rows(df: DataFrame, keys: list[Column], gone: DataFrame, once: DataFrame | None = None) -> DataFrame:
+    """``df`` without the rows whose keys are in ``gone``, and with one row only of each key in ``once``.
 
-    Only rows that a bitmap of bounded size cannot clear are shuffled and joined; the others stay
-    where they were read. Keys must have the types of the columns of ``gone``.
+    Keys are compared column by column; nulls are equal. Only rows that a bitmap of bounded size cannot
+    clear are shuffled and joined; the others stay where they were read. Keys must have the types of the
+    columns of ``gone`` and ``once``, which share no key. Of the rows of a key in ``once`` that with the
+    smallest hash of its columns stays: an aggregate, which combines before the shuffle, picks it.
     """
-    gone = stage(gone.distinct(), "gone").toDF(*[f"__gone{i}" for i in range(len(keys))])
-    marked = _marked(df.withColumns({f"__key{i}": k for i, k in enumerate(keys)}), keys, gone, [F.col(c) for c in gone.columns])
-    same = [F.col(f"__key{i}").eqNullSafe(F.col(f"__gone{i}")) for i in range(len(keys))]
+    names = [f"__gone{i}" for i in range(len(keys))]
+    listed = gone.distinct().withColumn("__once", F.lit(False))
+    if once is not None:
+        listed = listed.unionByName(once.distinct().toDF(*gone.columns).withColumn("__once", F.lit(True)))
+    listed = stage(listed, "gone").toDF(*names, "__once")
+    marked = _marked(df.withColumns({f"__key{i}": k for i, k in enumerate(keys)}), keys, listed, [F.col(c) for c in names])
+    same = [F.col(f"__key{i}").eqNullSafe(F.col(c)) for i, c in enumerate(names)]
     on = same[0]
     for x in same[1:]:
         on = on & x
-    names = [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
-    rest = marked.where("__maybe").join(gone, on, "left_anti").select(*names)
-    return marked.where("not __maybe").select(*names).unionByName(rest)
+    columns = [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+    clear = marked.where("not __maybe").select(*columns)
+    if once is None:
+        return clear.unionByName(marked.where("__maybe").join(listed, on, "left_anti").select(*columns))
+    rest = marked.where("__maybe").join(listed, on, "left").where("__once is null or __once")
+    plain = [c for c, t in df.dtypes if "map<" not in t and t != "variant"]
+    order = F.xxhash64(*[F.col("`" + c.replace("`", "``") + "`") for c in plain])
+    picked = rest.where("__once").groupBy(*[F.col(c) for c in names]).agg(F.min_by(F.struct(*columns), order).alias("__row"))
+    picked = picked.select(*[F.col("__row")[c].alias(c) for c in df.columns])
+    return clear.unionByName(rest.where("__once is null").select(*columns)).unionByName(picked)
