@@ -6,8 +6,14 @@ are joined and verified: in the alignment of the hit, some window of ``window``
 contains the seed must agree in ``min_share`` of its positions. With the default window and share no
 such window is without a hit, wherever its substitutions are (a test goes through all placements).
 
-Training positions are first tested against a fixed-size table of the test hashes' slots, so that
-only likely hits leave the scan, each with the few tokens around it; no document is shuffled.
+Where document and item have fewer than MIN_TOKENS tokens in common places, one of them has to be whole in
+the other, without substitutions; under SHORT tokens, which turn up in clean text by chance, both have to
+be the same. Those are hashed whole.
+
+Training positions are first tested against a table of the test hashes' slots, whose size follows the
+benchmark within bounds, so that only likely hits leave the scan, each with the few tokens around it; what
+the table lets through in vain is dropped by a broadcast of the test hashes while these are few enough, and
+by the join itself beyond. No document is shuffled.
 """
 
 from __future__ import annotations
@@ -16,16 +22,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkscrub.llm.exact_dedup import text_digest
-from sparkscrub.llm.staging import drop_rows
+from sparkscrub.llm.staging import drop_rows, stage
 
 #: Fixed masks of weight 5; ``1`` marks the positions that are hashed. Of 10 to 20 tokens of which 0.8 agree, at least
 #: one place of one mask has no substitution.
 MASKS = ("11111", "111011", "11001011")
-#: Slots of the table that filters hits: 2**SLOT_BITS, whatever the size of the benchmark.
-SLOT_BITS = 19
+#: The table has 2**19 to 2**23 slots: SLOTS_A_HASH for each test hash, within these bounds (64 kB to 1 MB).
+SLOTS_A_HASH, MIN_SLOT_BITS, MAX_SLOT_BITS = 32, 19, 23
+#: Test hashes that are broadcast at most (8 bytes each).
+BROADCAST_HASHES = 1_000_000
 WINDOW, MIN_SHARE = 20, 0.8
-#: Tokens that are compared at least; shorter items overlap with nothing.
-MIN_TOKENS = 10
+#: Tokens that a window with substitutions has at least, and those that a passage has that counts inside of another text.
+MIN_TOKENS, SHORT = 10, 5
 
 
 def tokens(text: Column) -> Column:
@@ -42,57 +50,70 @@ def _positions(n: Column, span: int) -> Column:
     return F.when(n >= span, F.sequence(F.lit(0), n - span)).otherwise(F.array().cast("array<int>"))
 
 
-def _slots(h: Column) -> tuple[Column, Column]:
-    low = F.lit((1 << SLOT_BITS) - 1)
-    return h.bitwiseAND(low).cast("int"), F.shiftrightunsigned(h, SLOT_BITS).bitwiseAND(low).cast("int")
+def _whole(th: Column) -> Column:
+    """Hash of all of a short list of tokens."""
+    return F.xxhash64(F.lit(-1), th)
 
 
-def _slot_table(seeds: DataFrame) -> Column:
-    """Literal array of 64-bit words: a bit for each slot that test hashes take. Its size is fixed (64 kB)."""
-    first, second = _slots(F.col("h"))
-    taken = [r[0] for r in seeds.select(F.explode(F.array(first, second)).alias("s")).distinct().collect()]
-    words = [0] * ((1 << SLOT_BITS) // 64)
-    for s in taken:
-        words[s >> 6] |= 1 << (s & 63)
-    signed = ",".join(str(w - (1 << 64) if w >> 63 else w) for w in words)
-    return F.expr(f"cast(split('{signed}', ',') as array<bigint>)")
+def _slots(h: Column, bits: int) -> Column:
+    low = F.lit((1 << bits) - 1)
+    return F.array(h.bitwiseAND(low).cast("int"), F.shiftrightunsigned(h, bits).bitwiseAND(low).cast("int"))
 
 
-def _taken(table: Column, slot: Column) -> Column:
-    return F.getbit(table[F.shiftright(slot, 6)], slot.bitwiseAND(F.lit(63))) == 1
+def _slot_table(hashes: DataFrame, n: int) -> tuple[Column, int]:
+    """Literal array of 64-bit words, a bit for each slot that test hashes take, and the number of bits of a slot."""
+    bits = min(MAX_SLOT_BITS, max(MIN_SLOT_BITS, (n * SLOTS_A_HASH - 1).bit_length()))
+    slot = hashes.select(F.explode(_slots(F.col("h"), bits)).alias("s"))
+    taken = slot.groupBy(F.shiftright("s", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, s & 63)")).alias("bits"))
+    words = [0] * ((1 << bits) // 64)
+    for r in taken.collect():  # at most 2**17 rows
+        words[r["word"]] = r["bits"]
+    return F.split(F.lit(",".join(map(str, words))), ",").cast("array<bigint>"), bits
+
+
+def _taken(table: Column, slots: Column) -> Column:
+    return F.forall(slots, lambda s: F.getbit(table[F.shiftright(s, 6)], s.bitwiseAND(F.lit(63))) == 1)
+
+
+def _item_hashes(items: DataFrame, masks: tuple[str, ...], window: int) -> DataFrame:
+    """item, isize, h, ipos, and of the item's tokens what a window with the seed can reach: ipart, from position ifrom."""
+    start = lambda i: F.greatest(i - window, F.lit(0))
+
+    def seeds(mask: str, k: int) -> DataFrame:
+        around = lambda i: F.slice("ith", start(i) + 1, F.lit(2 * window + len(mask)))
+        each = F.transform(_positions(F.size("ith"), len(mask)), lambda i: F.struct(i.alias("ipos"), start(i).alias("ifrom"), around(i).alias("ipart"), _seed(F.col("ith"), i, mask, k).alias("h")))
+        return items.where(F.size("ith") >= SHORT).select("item", F.size("ith").alias("isize"), F.explode(each).alias("s")).select("item", "isize", "s.*")
+
+    whole = F.struct(F.lit(0).alias("ipos"), F.lit(0).alias("ifrom"), F.col("ith").alias("ipart"), _whole(F.col("ith")).alias("h"))
+    out = items.where((F.size("ith") > 0) & (F.size("ith") < SHORT)).select("item", F.size("ith").alias("isize"), whole.alias("s")).select("item", "isize", "s.*")
+    for k, mask in enumerate(masks):
+        out = out.unionByName(seeds(mask, k))
+    return out
 
 
 def _overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, item_col: str, item_text_col: str, masks: tuple[str, ...], window: int, min_share: float) -> DataFrame:
     """id, digest (of the row's text), item and ``b``, the best window, of every hit whose best window agrees enough."""
     items = benchmark.select(F.col(item_col).alias("item"), F.transform(tokens(F.col(item_text_col)), lambda t: F.xxhash64(t)).alias("ith"))
-    items = items.where(F.size("ith") >= MIN_TOKENS)
-    parts = []
-    for k, mask in enumerate(masks):
-        # all that a window with the seed can reach
-        around = lambda start: F.slice("ith", start + 1, F.lit(2 * window + len(mask)))
-        start = lambda i: F.greatest(i - window, F.lit(0))
-        each = F.transform(_positions(F.size("ith"), len(mask)), lambda i: F.struct(
-            i.alias("ipos"), start(i).alias("ifrom"), around(start(i)).alias("ipart"), _seed(F.col("ith"), i, mask, k).alias("h"),
-        ))
-        parts.append(items.select("item", F.size("ith").alias("isize"), F.explode(each).alias("s")).select("item", "isize", "s.*"))
-    seeds = parts[0]
-    for p in parts[1:]:
-        seeds = seeds.unionByName(p)
-    table = _slot_table(seeds)
+    seeds = stage(_item_hashes(items, masks, window), "test-hashes")
+    hashes = stage(seeds.select("h").distinct(), "test-keys")
+    n_hashes = hashes.count()
+    table, bits = _slot_table(hashes, n_hashes)
     rows = docs.select(F.col(id_col).alias("id"), text_digest(F.col(text_col)).alias("digest"), F.transform(tokens(F.col(text_col)), lambda t: F.xxhash64(t)).alias("th"))
+    near = lambda h, i, span: F.struct(
+        h.alias("h"), i.alias("pos"), F.lit(span).alias("span"), F.greatest(i - window, F.lit(0)).alias("from"),
+        F.slice("th", F.greatest(i - window, F.lit(0)) + 1, F.lit(2 * window + span)).alias("part"), F.size("th").alias("dsize"),
+    )
 
     def hits(mask: str, k: int) -> Column:
-        def likely(i: Column) -> Column:
-            both = lambda h: _taken(table, _slots(h)[0]) & _taken(table, _slots(h)[1])
-            return F.exists(F.array(_seed(F.col("th"), i, mask, k)), both)  # the hash is made once
-
-        near = lambda i: F.struct(
-            _seed(F.col("th"), i, mask, k).alias("h"), i.alias("pos"), F.lit(len(mask)).alias("span"),
-            F.greatest(i - window, F.lit(0)).alias("from"), F.slice("th", F.greatest(i - window, F.lit(0)) + 1, F.lit(2 * window + len(mask))).alias("part"),
-        )
-        return F.transform(F.filter(_positions(F.size("th"), len(mask)), likely), near)
-
-    found = rows.select("id", "digest", F.explode(F.concat(*[hits(m, k) for k, m in enumerate(masks)])).alias("x")).select("id", "digest", "x.*")
+        # an array of one, so that the hash is made once
+        likely = lambda i: F.exists(F.array(_seed(F.col("th"), i, mask, k)), lambda h: _taken(table, _slots(h, bits)))
+        return F.transform(F.filter(_positions(F.size("th"), len(mask)), likely), lambda i: near(_seed(F.col("th"), i, mask, k), i, len(mask)))
+
+    short = F.when((F.size("th") > 0) & (F.size("th") < SHORT), F.array(near(_whole(F.col("th")), F.lit(0), 1)))
+    every = F.concat(*[hits(m, k) for k, m in enumerate(masks)])
+    found = rows.select("id", "digest", F.explode(F.coalesce(short, every)).alias("x")).select("id", "digest", "x.*")
+    if n_hashes <= BROADCAST_HASHES:
+        found = found.join(F.broadcast(hashes), "h", "left_semi")
     pairs = found.join(seeds, "h")
     # item position of a document position p is p + ipos - pos
     shift = F.col("ipos") - F.col("pos")
@@ -107,8 +128,10 @@ def _overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str,
         total(F.slice(v, s + 1, width(v))).alias("matched"), width(v).alias("compared"), (-(F.col("first") + s)).alias("at"),
     ))
     # an array of one, so that ``same`` is made once; few hits agree in enough places to be looked at window by window
-    possible = lambda v: (F.size(v) >= MIN_TOKENS) & (total(v) >= need(v))
-    best = F.transform(F.filter(F.array(same), possible), lambda v: F.array_max(windows(v)))
+    inside = (F.col("last") - F.col("first") == F.col("isize")) | (F.col("last") - F.col("first") == F.col("dsize"))
+    alike = F.col("isize") == F.col("dsize")
+    enough = lambda v: F.when(F.size(v) >= MIN_TOKENS, total(v) >= need(v)).otherwise((total(v) == F.size(v)) & inside & ((F.size(v) >= SHORT) | alike))
+    best = F.transform(F.filter(F.array(same), enough), lambda v: F.array_max(windows(v)))
     good = pairs.select("id", "digest", "item", F.explode(best).alias("b"))
     return good.where(F.col("b.matched") >= F.ceil(F.col("b.compared") * F.lit(min_share)))
 
@@ -122,9 +145,10 @@ def find_contamination(
     best window, and ``start``, the first token of the document in it.
 
     A window has ``window`` tokens, or all of a shorter item or document part that the alignment
-    covers, but never fewer than MIN_TOKENS. Shorter items, empty texts and nulls overlap with
-    nothing. Rows with one id (null is one) are reported together. Ties take the
-    first window. Empty tables give an empty result; further columns are not read.
+    covers. Under MIN_TOKENS tokens it has to be the whole item or the whole document, unchanged, and
+    under SHORT tokens both. Empty texts and nulls overlap with nothing. Rows with one id (null is one) are
+    reported together, and so are repeated rows. Ties take the first window. Empty tables give an empty
+    result; further columns, whatever their names, are not read.
     """
     good = _overlaps(docs, benchmark, id_col, text_col, item_col, item_text_col, masks, window, min_share)
     top = good.groupBy("id", "item").agg(F.max("b").alias("m"))
@@ -135,6 +159,10 @@ def drop_contaminated(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
     masks: tuple[str, ...] = MASKS, window: int = WINDOW, min_share: float = MIN_SHARE,
 ) -> DataFrame:
-    """``docs`` without the rows whose text overlaps with any benchmark item; other rows of their ids stay."""
+    """``docs`` without the rows whose text overlaps with any benchmark item; other rows of their ids stay.
+
+    Repeated rows go or stay together; rows with null ids or texts are judged like others; columns stay as they
+    are. Empty tables are allowed: without items nothing goes.
+    """
     bad = _overlaps(docs, benchmark, id_col, text_col, item_col, item_text_col, masks, window, min_share).select("id", "digest")
     return drop_rows(docs, [F.col(id_col), text_digest(F.col(text_col))], bad)
