@@ -168,7 +168,7 @@ def _stars(rows: DataFrame) -> DataFrame:
 
 
 def _components(docs: DataFrame, words: int, percent: int, id_col: str, text_col: str, block: int, digest: Column) -> DataFrame:
-    """id, digest, n, component_id and kept of every row; see ``near_duplicates``."""
+    """id, digest, n, label (of the component; null without shingles), component_id and kept of every row; see ``near_duplicates``."""
     spark = docs.sparkSession
     small_batches(spark)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
@@ -226,10 +226,10 @@ def _components(docs: DataFrame, words: int, percent: int, id_col: str, text_col
     labels = connected_components(links)
     named = nodes.select("node", "set_id", "id").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     lowest = named.groupBy("label").agg(F.min("id").alias("component_id"))
-    by_node = named.join(lowest, "label").select("set_id", "component_id")
+    by_node = named.join(lowest, "label").select("set_id", "label", "component_id")
     out = sketch.select("id", "digest", "n", F.col("node").alias("set_id")).join(by_node, "set_id", "left")
     component = F.coalesce("component_id", "id")
-    return out.select("id", "digest", "n", component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
+    return out.select("id", "digest", "n", "label", component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
@@ -246,6 +246,17 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
 
 
 def drop_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with the document of the smallest id of each component; others go, row by row: rows of one id and other texts stay."""
-    gone = _components(docs, words, percent, id_col, text_col, BLOCK, text_digest(F.col(text_col))).where("not kept").select("id", "digest")
-    return drop_rows(docs, [F.col(id_col).cast("long"), text_digest(F.col(text_col))], gone)
+    """One row of each component, that of its smallest id, with the columns of ``docs`` as they were.
+
+    Rows are judged one by one: rows of one id with texts of other components stay. Where several rows of a
+    component have its smallest id (repeated rows, or null ids only), one of them stays. Null and empty texts are
+    linked with nothing and stay all. An empty table gives an empty result.
+    """
+    found = _components(docs, words, percent, id_col, text_col, BLOCK, text_digest(F.col(text_col)))
+    rows = found.where("label is not null").groupBy("label", "id", "digest", "kept").agg(F.count(F.lit(1)).alias("n"))
+    rows = stage(rows, "near-rows")
+    lowest = rows.where("kept").groupBy("label").agg(F.min("digest").alias("lowest"), F.sum("n").alias("all")).where("all > 1").drop("all")
+    several = rows.where("kept").join(lowest, "label")
+    gone = rows.where("not kept").select("id", "digest").unionByName(several.where("digest <> lowest").select("id", "digest"))
+    once = several.where("digest = lowest and n > 1").select("id", "digest")
+    return drop_rows(docs, [F.col(id_col).cast("long"), text_digest(F.col(text_col))], gone, once)

@@ -100,7 +100,7 @@ def small_batches(spark: SparkSession, rows: int = 500, size: int = 32 << 20) ->
 BITS_A_KEY, MIN_BITS, MAX_BITS = 16, 1 << 20, 1 << 28
 
 
-def _marked(df: DataFrame, keys: list[Column], wanted: DataFrame, wanted_keys: list[Column]) -> DataFrame:
+def marked(df: DataFrame, keys: list[Column], wanted: DataFrame, wanted_keys: list[Column]) -> DataFrame:
     """``df`` with ``__maybe``: false only where the keys are surely not among ``wanted``."""
     n, bits = wanted.count(), MIN_BITS
     while bits < BITS_A_KEY * n and bits < MAX_BITS:
@@ -122,7 +122,7 @@ def maybe_in(df: DataFrame, keys: list[Column], wanted: DataFrame, wanted_keys:
     A bitmap of bounded size is broadcast, so that a later exact join moves few rows. With more keys
     than it was made for it lets more rows through; results stay the same.
     """
-    return _marked(df, keys, wanted, wanted_keys).where("__maybe").drop("__maybe")
+    return marked(df, keys, wanted, wanted_keys).where("__maybe").drop("__maybe")
 
 
 def drop_rows(df: DataFrame, keys: list[Column], gone: DataFrame, once: DataFrame | None = None) -> DataFrame:
@@ -138,16 +138,16 @@ def drop_rows(df: DataFrame, keys: list[Column], gone: DataFrame, once: DataFram
     if once is not None:
         listed = listed.unionByName(once.distinct().toDF(*gone.columns).withColumn("__once", F.lit(True)))
     listed = stage(listed, "gone").toDF(*names, "__once")
-    marked = _marked(df.withColumns({f"__key{i}": k for i, k in enumerate(keys)}), keys, listed, [F.col(c) for c in names])
+    rows = marked(df.withColumns({f"__key{i}": k for i, k in enumerate(keys)}), keys, listed, [F.col(c) for c in names])
     same = [F.col(f"__key{i}").eqNullSafe(F.col(c)) for i, c in enumerate(names)]
     on = same[0]
     for x in same[1:]:
         on = on & x
     columns = [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
-    clear = marked.where("not __maybe").select(*columns)
+    clear = rows.where("not __maybe").select(*columns)
     if once is None:
-        return clear.unionByName(marked.where("__maybe").join(listed, on, "left_anti").select(*columns))
-    rest = marked.where("__maybe").join(listed, on, "left").where("__once is null or __once")
+        return clear.unionByName(rows.where("__maybe").join(listed, on, "left_anti").select(*columns))
+    rest = rows.where("__maybe").join(listed, on, "left").where("__once is null or __once")
     plain = [c for c, t in df.dtypes if "map<" not in t and t != "variant"]
     order = F.xxhash64(*[F.col("`" + c.replace("`", "``") + "`") for c in plain])
     picked = rest.where("__once").groupBy(*[F.col(c) for c in names]).agg(F.min_by(F.struct(*columns), order).alias("__row"))
