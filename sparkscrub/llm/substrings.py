@@ -16,8 +16,12 @@
 5. The words of such windows are removed from the documents.
 
 A family of segments with one owner is spread over shards by anchor when it is large. A shard that is
-still over its bound is cut into blocks with an automaton each, and all its pieces are streamed
-through every one of them; an occurrence in another block counts as well.
+still over its bound (one anchor in very many contexts) is cut again, by the hash of whole windows, into
+as many shards as its windows need; long runs are cut at RUN windows. So no automaton, and no group of
+rows, is made of much more than BLOCK_WORDS words, whatever the data.
+
+An automaton of all reference text cannot be broadcast: it grows with the corpus. Windows are sent to the
+automaton of their anchor's shard instead, which gives the same matching statistics from window on up.
 """
 
 from __future__ import annotations
@@ -35,8 +39,8 @@ from sparkscrub.llm.staging import BLOCK_BITS, small_batches, stage
 from sparkscrub.llm.words import U64, hash_words, mix, runs_of, starts_of
 
 GRAM = 16
-#: Words that a reference shard should have, and the words that one automaton may have at most (about).
-SHARD_WORDS, BLOCK_WORDS = 40_000, 160_000
+#: Words that a reference shard should have, the words that one automaton may have at most (about), and windows of one piece.
+SHARD_WORDS, BLOCK_WORDS, RUN = 40_000, 160_000, 4096
 #: The bitmap has 64 bits for each repeated anchor, within these bounds (at most 128 MB).
 MIN_BITS, MAX_BITS = 1 << 20, 1 << 30
 
@@ -115,7 +119,7 @@ def _joined_sha(text: bytes, keep: np.ndarray | None = None) -> str:
     return hashlib.sha256(b" ".join(words)).hexdigest()
 
 
-SEGMENT_SCHEMA = "id long, n_words long, kept_sha256 string, text string, segs array<binary>, starts array<int>, sizes array<int>"
+SEGMENT_SCHEMA = "id long, n_words long, kept_sha256 string, text binary, segs array<binary>, starts array<int>, sizes array<int>"
 
 
 def _digest(words: list[bytes]) -> bytes:
@@ -143,12 +147,12 @@ def _segments(window: int, gram: int, bitmap, bits: int):
                 if hit.any():
                     first, last = _runs(np.flatnonzero(hit), window)
                     last, split = last + window, text.split()
-                    row[3:] = [text.decode("utf-8", "surrogatepass"), [_digest(split[a:b]) for a, b in zip(first, last, strict=True)], first.tolist(), (last - first).tolist()]
+                    row[3:] = [text, [_digest(split[a:b]) for a, b in zip(first, last, strict=True)], first.tolist(), (last - first).tolist()]
                 else:
                     row[2] = _joined_sha(text)
                 for c, v in zip(cols, row, strict=True):
                     c.append(v)
-            types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.binary()), pa.list_(pa.int32()), pa.list_(pa.int32())]
+            types = [pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.list_(pa.binary()), pa.list_(pa.int32()), pa.list_(pa.int32())]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["id", "n_words", "kept_sha256", "text", "segs", "starts", "sizes"])
 
     return run
@@ -165,9 +169,9 @@ def _segment_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
                     found[seg][2] += 1
                 else:
                     found[seg] = [n, b" ".join(words[a : a + n]), 1]
-        rows = [(seg, n, text.decode("utf-8", "surrogatepass"), times) for seg, (n, text, times) in found.items()]
+        rows = [(seg, n, text, times) for seg, (n, text, times) in found.items()]
         cols = list(zip(*rows, strict=True)) or [[]] * 4
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.binary(), pa.int64(), pa.string(), pa.int64()), strict=True)], ["seg", "size", "text", "times"])
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.binary(), pa.int64(), pa.binary(), pa.int64()), strict=True)], ["seg", "size", "text", "times"])
 
 
 def _segment_anchors(window: int, gram: int):
@@ -182,25 +186,57 @@ def _segment_anchors(window: int, gram: int):
     return run
 
 
-def _pieces(window: int, gram: int):
-    """(seg, text, times, anchors, shards) -> pieces of the segment: runs of windows of one shard."""
+PIECE_SCHEMA = "shard long, piece binary, size long, times long, seg binary, at long, text binary"
+
+
+def _cut(of: np.ndarray, words: list[bytes], window: int, times: int, seg: bytes, at: int, run: int) -> list[tuple]:
+    """Pieces of a sequence of words: runs of windows of one shard, of at most ``run`` windows."""
+    edges = np.concatenate([[0], np.flatnonzero(np.diff(of)) + 1, [len(of)]])
+    starts = np.unique(np.concatenate([np.arange(a, b, run) for a, b in zip(edges[:-1], edges[1:], strict=True)]))
+    out = []
+    for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(of)], strict=True):
+        part = words[a : b + window - 1]
+        out.append((int(of[a]), _digest(part), len(part), times, seg, at + a, b" ".join(part)))
+    return out
+
+
+def _piece_batch(rows: list[tuple]) -> pa.RecordBatch:
+    cols = list(zip(*rows, strict=True)) or [[]] * 7
+    types = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["shard", "piece", "size", "times", "seg", "at", "text"])
+
+
+def _pieces(window: int, gram: int, most: int):
+    """(seg, text, times, anchors, shards) -> pieces of the segment."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, docs = _docs(batch, 1)
-            rows = []
+            rows: list[tuple] = []
             for seg, text, words, times, anchors, shards in zip(batch.column(0).to_pylist(), texts, docs, *(batch.column(i).to_pylist() for i in (2, 3, 4)), strict=True):
                 anchors, shards = np.array(anchors, np.int64).view(U64), np.array(shards, np.int64)
                 order = np.argsort(anchors)
                 of = shards[order][np.searchsorted(anchors[order], window_anchors(words, window, gram)[0])]
-                cut = np.flatnonzero(np.diff(of))
-                split = text.split()
-                for a, b in zip(np.concatenate([[0], cut + 1]).tolist(), np.concatenate([cut, [len(of) - 1]]).tolist(), strict=True):
-                    part = split[a : b + window]
-                    rows.append((int(of[a]), _digest(part), len(part), times, seg, a, b" ".join(part).decode("utf-8", "surrogatepass")))
-            cols = list(zip(*rows, strict=True)) or [[]] * 7
-            types = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["shard", "piece", "size", "times", "seg", "at", "text"])
+                rows += _cut(of, text.split(), window, times, seg, 0, most)
+            yield _piece_batch(rows)
+
+    return run
+
+
+def _recut(window: int, most: int):
+    """(shard, parts, seg, at, times, text) of pieces of crowded shards -> pieces by hashes of whole windows.
+
+    Equal windows of a shard come to one of its ``parts`` parts, which get numbers of their own.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, docs = _docs(batch, 5)
+            rows: list[tuple] = []
+            for shard, parts, seg, at, times, text, words in zip(*(batch.column(i).to_pylist() for i in range(5)), texts, docs, strict=True):
+                of = mix(runs_of(words, window) % U64(parts) + U64(shard + 1) * U64(0x9E3779B97F4A7C15)).view(np.int64)
+                rows += _cut(of, text.split(), window, times, seg, at, most)
+            yield _piece_batch(rows)
 
     return run
 
@@ -289,20 +325,20 @@ class SuffixAutomaton:
 def _match(window: int):
     def run(group: pd.DataFrame) -> pd.DataFrame:
         automaton = SuffixAutomaton()
-        texts = [t.encode("utf-8", "surrogatepass").split() for t in group["text"]]
-        for words, times, home in zip(texts, group["times"], group["home"], strict=True):
-            if home:
-                automaton.add(words, int(times))
+        texts = [t.split() for t in group["text"]]
+        for words, times in zip(texts, group["times"], strict=True):
+            automaton.add(words, int(times))
         automaton.finish()
         pieces, spans = [], []
-        for piece, words, times, home in zip(group["piece"], texts, group["times"], group["home"], strict=True):
+        for piece, words, times in zip(group["piece"], texts, group["times"], strict=True):
             if times == 1:
-                at = np.flatnonzero(np.array(automaton.occurrences(words, window)) >= (2 if home else 1))
+                at = np.flatnonzero(np.array(automaton.occurrences(words, window)) >= 2)
                 if len(at):
                     first, last = _runs(at, 1)
                     pieces.append(piece)
                     spans.append(np.stack([first, last + window], 1).reshape(-1).astype(np.int32).tobytes())
-        return pd.DataFrame({"piece": pd.Series(pieces, dtype=object), "spans": pd.Series(spans, dtype=object)})
+        shard = group["shard"].iloc[0]
+        return pd.DataFrame({"shard": pd.Series([shard] * len(pieces), dtype="int64"), "piece": pd.Series(pieces, dtype=object), "spans": pd.Series(spans, dtype=object)})
 
     return run
 
@@ -323,13 +359,14 @@ def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([ids, counts, pa.array(removed, pa.int64()), pa.array(shas, pa.string())], ["id", "n_words", "n_removed", "kept_sha256"])
 
 
-def repeated_passages(docs: DataFrame, window: int = 35, id_col: str = "doc_id", text_col: str = "text", gram: int | None = None, shard_words: int = SHARD_WORDS, block_words: int = BLOCK_WORDS) -> DataFrame:
+def repeated_passages(docs: DataFrame, window: int = 35, id_col: str = "doc_id", text_col: str = "text", gram: int | None = None, shard_words: int = SHARD_WORDS, block_words: int = BLOCK_WORDS, run: int = RUN) -> DataFrame:
     """One row per row of ``docs``: id, n_words, n_removed, kept_sha256 (of the words left, joined by spaces).
 
     A word is removed if a window of ``window`` words that covers it also starts anywhere else, in
     any row, the same one included; windows are judged on the input. Null and empty texts have no
-    words. Repeated rows repeat each other. Texts shorter than a window are left alone. Columns
-    other than id and text are not read. An empty table gives an empty result.
+    words. Repeated rows repeat each other. Texts shorter than a window are left alone. Texts are
+    bytes: those that are no valid UTF-8 are handled like others. Columns other than id and text are
+    not read. An empty table gives an empty result.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -343,7 +380,7 @@ def repeated_passages(docs: DataFrame, window: int = 35, id_col: str = "doc_id",
     rows = stage(rows, "passage-rows")
     live = rows.where("segs is not null")
 
-    each = live.select("text", "segs", "starts", "sizes").mapInArrow(_segment_texts, "seg binary, size long, text string, times long")
+    each = live.select("text", "segs", "starts", "sizes").mapInArrow(_segment_texts, "seg binary, size long, text binary, times long")
     segs = each.groupBy("seg").agg(F.first("size").alias("size"), F.first("text").alias("text"), F.sum("times").alias("times"))
     segs = stage(segs, "passage-segments")
 
@@ -358,18 +395,19 @@ def repeated_passages(docs: DataFrame, window: int = 35, id_col: str = "doc_id",
     homes = owners.join(parts, "owner").select("anchor", F.pmod(F.xxhash64("owner", F.pmod(F.xxhash64("anchor"), "parts")), F.lit(shards)).alias("shard"))
     routes = by_anchor.join(homes, "anchor").groupBy("seg").agg(F.collect_list("anchor").alias("anchors"), F.collect_list("shard").alias("shards"))
     raw = segs.select("seg", "text", "times").join(routes, "seg").select("seg", "text", "times", "anchors", "shards")
-    raw = raw.mapInArrow(_pieces(window, gram), "shard long, piece binary, size long, times long, seg binary, at long, text string")
-    raw = stage(raw, "passage-pieces")
-
-    sizes = raw.groupBy("shard", "piece").agg(F.first("size").alias("size"), F.sum("times").alias("times"))
-    blocks = sizes.groupBy("shard").agg(F.ceil(F.sum("size") / block_words).cast("long").alias("blocks"))
-    work = raw.groupBy("shard", "piece").agg(F.first("text").alias("text"), F.sum("times").alias("times")).join(blocks, "shard")
-    work = work.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    work = work.withColumn("home", F.pmod(F.xxhash64("piece"), "blocks") == F.col("block")).where("home or times = 1")
-    found = work.select("shard", "block", "piece", "text", "times", "home").groupBy("shard", "block").applyInPandas(_match(window), "piece binary, spans binary")
-    found = found.unionByName(sizes.where("times > 1").select("piece", F.lit(None).cast("binary").alias("spans")))
-    found = stage(found, "passage-spans")
-    by_seg = raw.select("piece", "seg", "at", "size").join(found, "piece").groupBy("seg").agg(F.collect_list(F.struct("at", "size", "spans")).alias("found"))
+    raw = stage(raw.mapInArrow(_pieces(window, gram, run), PIECE_SCHEMA), "passage-pieces")
+    per = raw.groupBy("shard", "piece").agg(F.first("size").alias("size")).groupBy("shard").agg(F.sum("size").alias("words"))
+    # each window stands alone at worst
+    parts = F.ceil(F.col("words") * window / block_words).cast("long")
+    crowded = stage(per.where(F.col("words") > block_words).select(F.col("shard").alias("crowd"), parts.alias("parts")), "passage-crowded")
+    again = raw.join(crowded, raw["shard"] == crowded["crowd"]).select("shard", "parts", "seg", "at", "times", "text").mapInArrow(_recut(window, run), PIECE_SCHEMA)
+    raw = stage(raw.join(crowded, raw["shard"] == crowded["crowd"], "left_anti").unionByName(again), "passage-pieces")
+
+    work = raw.groupBy("shard", "piece").agg(F.first("text").alias("text"), F.sum("times").alias("times"))
+    found = work.select("shard", "piece", "text", "times").groupBy("shard").applyInPandas(_match(window), "shard long, piece binary, spans binary")
+    whole = raw.groupBy("shard", "piece").agg(F.sum("times").alias("times")).where("times > 1").select("shard", "piece", F.lit(None).cast("binary").alias("spans"))
+    found = stage(found.unionByName(whole), "passage-spans")
+    by_seg = raw.select("shard", "piece", "seg", "at", "size").join(found, ["shard", "piece"]).groupBy("seg").agg(F.collect_list(F.struct("at", "size", "spans")).alias("found"))
 
     parts = live.select("row", F.explode(F.arrays_zip("segs", "starts")).alias("s")).select("row", F.col("s.segs").alias("seg"), F.col("s.starts").alias("start"))
     parts = parts.join(by_seg, "seg").groupBy("row").agg(F.collect_list(F.struct("start", "found")).alias("parts"))

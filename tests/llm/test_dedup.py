@@ -55,7 +55,7 @@ def test_exact_grows_by_batches(spark, docs, rows):
 def test_exact_drop_keeps_columns(docs, rows, none):
     out = drop_exact_duplicates(docs)
     assert out.columns == docs.columns and {r.keep_id for r in out.collect()} == {9}
-    assert {r.doc_id for r in out.collect()} == {min(i for i, t, _ in rows if (t or "") == u) for u in {t or "" for _, t, _ in rows}}
+    assert sorted(r.doc_id for r in out.collect()) == sorted(min(i for i, t, _ in rows if (t or "") == u) for u in {t or "" for _, t, _ in rows})
     assert exact_duplicates(none).count() == 0
 
 
@@ -93,9 +93,9 @@ def test_near(docs, rows, k, block):
 
 
 def test_near_drop(docs, rows, none):
-    want = {i for i, (_, _, kept) in brute_near(rows, 5, 80).items() if kept}
+    want = [i for i, (_, _, kept) in brute_near(rows, 5, 80).items() if kept]
     out = drop_near_duplicates(docs)
-    assert out.columns == docs.columns and {r.doc_id for r in out.collect()} == want
+    assert out.columns == docs.columns and sorted(r.doc_id for r in out.collect()) == sorted(want)
     assert near_duplicates(none).count() == 0
 
 
@@ -106,6 +106,25 @@ def test_near_drops_only_the_rows_judged(spark):
     assert Counter(map(tuple, left)) == Counter(d for k, d in enumerate(docs) if k not in (1, 4))
 
 
+def test_one_of_repeated_rows_stays(spark):
+    a, b = (" ".join(f"{c}{j}" for j in range(30)) for c in "ab")
+    data = [(1, a, "x"), (1, a, "x"), (1, a, "y"), (2, a, "x"), (None, b, None), (None, b, None), (3, None, "x"), (3, None, "x"), (4, "", "x"), (1, a + " end", "x")]
+    df = spark.createDataFrame(data, "doc_id long, text string, source string")
+    exact = Counter((r.doc_id, r.text) for r in drop_exact_duplicates(df).collect())
+    assert exact == Counter([(1, a), (None, b), (3, None), (1, a + " end")])
+    near = Counter((r.doc_id, r.text) for r in drop_near_duplicates(df).collect())
+    assert sorted(near.values(), reverse=True) == [2, 1, 1, 1] and near[(3, None)] == 2 and near[(4, "")] == 1 and near[(None, b)] == 1 and near[(1, a)] + near[(1, a + " end")] == 1
+
+
+def test_added_columns_do_not_replace_those_of_the_caller(spark):
+    df = spark.createDataFrame([(1, "a", 5, 6), (2, "b", 7, 8)], "doc_id long, text string, block long, bits long")
+    index = LsmDigestIndex(spark)
+    index.flush(df.where("doc_id = 1"))
+    index.compact()
+    assert index.unseen(df).collect() == [(2, "b", 7, 8)]
+    assert {r.doc_id: (r.keep_id, r.group_size, r.block) for r in index.probe(df).collect()} == {1: (1, 1, 5), 2: (None, None, 7)}
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, k) for k in range(101, 130)] + [(7, 7)]
     got = dict(connected_components(spark.createDataFrame(edges, "a long, b long")).collect())
@@ -135,6 +154,23 @@ def test_passages(docs, rows, window, bounds):
     assert Counter((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got) == brute_passages(rows, window)
 
 
+def test_passages_of_one_anchor_in_many_contexts(spark):
+    """One gram holds the anchor of windows of very many words: its shard is cut by whole windows."""
+    common = " ".join(f"c{j}" for j in range(8))
+    rows = [(i, " ".join(f"d{i}x{j}" for j in range(4)) + f" {common} " + " ".join(f"e{i % 7}y{j}" for j in range(4)), "") for i in range(150)]
+    rows += [(900, "z " * 3000, ""), (901, "z " * 700, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = repeated_passages(df, 10, gram=5, shard_words=60, block_words=100, run=64).collect()
+    assert Counter((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got) == brute_passages(rows, 10)
+
+
+def test_passages_of_broken_texts(spark):
+    rows = [(1, b"\xff\xfe " + b"same words here " * 20), (2, b"same words here " * 20 + b"\xe9")]
+    df = spark.createDataFrame([(i, bytearray(t)) for i, t in rows], "doc_id long, t binary").selectExpr("doc_id", "cast(t as string) as text")
+    got = {r.doc_id: (r.n_words, r.n_removed) for r in repeated_passages(df).collect()}
+    assert got == {1: (61, 60), 2: (61, 60)}
+
+
 def test_passages_empty(none):
     assert repeated_passages(none).count() == 0
 
