@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkscrub.llm.labelled import held_out, sample_texts
+from sparkscrub.llm.labelled import SAMPLE_BYTES, held_out, sample_texts
 from sparkscrub.llm.staging import small_batches
 
 BLOCK, FILTERS, WIDTH, HIDDEN = 256, 8, 4, 16
@@ -90,6 +90,24 @@ class ByteNet:
         n = np.maximum(1, size[first] + np.where(two, size[np.minimum(first + 1, len(size) - 1)], 0)).astype(np.float32)
         return total / n[:, None], n, owner[first], first, two
 
+    def _top_of_long(self, text: bytes) -> np.ndarray:
+        """Max-pooled layer 2 of one long text, walked in groups of blocks that overlap by one, so that memory stays bounded.
+
+        Each group has a block more on either side, which its filters look into.
+        """
+        n, top = -(-len(text) // BLOCK), np.zeros(HIDDEN, np.float32)
+        for a in range(0, n - 1, GROUP_BLOCKS - 1):
+            b = min(n, a + GROUP_BLOCKS)
+            codes = np.full((b - a + 2) * BLOCK, PAD, np.int16)
+            lo, hi = max(0, a - 1) * BLOCK, min(len(text), (b + 1) * BLOCK)
+            put = (max(0, a - 1) - a + 1) * BLOCK
+            codes[put : put + hi - lo] = np.frombuffer(text, np.uint8, hi - lo, lo)
+            owner = np.zeros(b - a + 2, int)
+            owner[[0, -1]] = -1
+            x = self._chunks(codes, owner, self._layer1(codes), self._shifts(codes))[0]
+            np.maximum(top, np.maximum(x @ self.params["c"] + self.params["d"], 0).max(0), out=top)
+        return top
+
     def forward(self, texts: list[bytes]):
         codes, owner = blocks_of(texts)
         layer1 = self._layer1(codes)
@@ -101,16 +119,25 @@ class ByteNet:
         return logit, (codes, layer1, x, n, of, first, two, h, top)
 
     def score(self, texts: list[bytes]) -> np.ndarray:
-        """Probability of label 1 of each text, in groups of bounded size where texts allow."""
+        """Probability of label 1 of each text, in groups of bounded size."""
         out, group, held = [], [], 0
+
+        def flush() -> None:
+            nonlocal group, held
+            if group:
+                out.append(self.forward(group)[0])
+            group, held = [], 0
+
         for t in texts:
+            if len(t) > GROUP_BLOCKS * BLOCK:
+                flush()
+                out.append((self._top_of_long(t) @ self.params["w"] + self.params["o"][0])[None])
+                continue
             group.append(t)
             held += len(t) // BLOCK + 2
             if held >= GROUP_BLOCKS:
-                out.append(self.forward(group)[0])
-                group, held = [], 0
-        if group:
-            out.append(self.forward(group)[0])
+                flush()
+        flush()
         z = np.concatenate(out).astype(np.float64) if out else np.zeros(0)
         return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
@@ -163,16 +190,23 @@ class ByteNet:
         return self
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: str = "doc_id", text_col: str = "text", mod: int = 3, rest: int = 1, sample: int = SAMPLE_PER_LABEL) -> ByteNet:
-    """Fit on at most ``sample`` rows of each label, none of them held out. Without labels the net is untrained."""
+def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: str = "doc_id", text_col: str = "text", mod: int = 3, rest: int = 1, sample: int = SAMPLE_PER_LABEL, sample_bytes: int = SAMPLE_BYTES) -> ByteNet:
+    """Fit on at most ``sample`` rows of each label, none of them held out, and ``sample_bytes`` bytes of each text.
+
+    Labels without a text, texts without a label, null ids and null labels are not used; of repeated ids one row is.
+    Null texts count as empty. Without labels, or without documents, the net is untrained.
+    """
     usable = labels.where(~held_out(F.col(id_col), mod, rest)).select(id_col, F.col(label).alias("y"))
-    parts = [sample_texts(docs, usable.where(F.col("y") == v), sample, id_col, text_col, ["y"]) for v in (0, 1)]
+    parts = [sample_texts(docs, usable.where(F.col("y") == v), sample, id_col, text_col, ["y"], sample_bytes) for v in (0, 1)]
     texts = [t if isinstance(t, bytes) else bytes(t) for p in parts for t in p["text"]]
     return ByteNet().fit(texts, np.concatenate([p["y"].to_numpy(float) for p in parts]))
 
 
 def score_quality(docs: DataFrame, net: ByteNet, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id and ``score`` of every row; null counts as empty, and an empty text has a score too."""
+    """id and ``score`` of every row; null counts as empty, and an empty text has a score too.
+
+    Repeated rows get a score each, null ids too; other columns are not read. An empty table gives an empty result.
+    """
     small_batches(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(net.params)  # some 40 kB
 
@@ -188,7 +222,11 @@ def score_quality(docs: DataFrame, net: ByteNet, id_col: str = "doc_id", text_co
 
 
 def keep_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows that the classifier scores under ``threshold``, in one pass and with no shuffle."""
+    """``docs`` without the rows that the classifier scores under ``threshold``, in one pass and with no shuffle.
+
+    Equal texts, null (as empty) and repeated ones included, are kept or dropped alike; ids may be null or repeated;
+    all columns stay as they are. An empty table gives an empty result; without labels the net is untrained.
+    """
     net = fit_quality(docs, labels, id_col=id_col, text_col=text_col)
     small_batches(docs.sparkSession)
     model, at = docs.sparkSession.sparkContext.broadcast(net.params), docs.columns.index(text_col)

@@ -82,10 +82,11 @@ def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every page written to WARC archives and read back through the capture index."""
+    """Every page written to WARC archives, looked up by its url in the two-level index and read back."""
     from sparkscrub.llm.warc import WarcArchive
 
-    records = WarcArchive(spark).write(_table(spark, sf_dir, "pages")).records()
+    pages = _table(spark, sf_dir, "pages")
+    records = WarcArchive(spark).write(pages).records(pages.select("url"))
     return records.select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", F.col("type").alias("record_type"), "refers_to")
 
 
@@ -96,7 +97,11 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = find_personal_data(_table(spark, sf_dir, "documents"))
     of = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     counts = [of(kind) for kind in KINDS]
-    return out.select("doc_id", *counts, F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(F.concat("base", "found")).alias("spans"))
+    every = F.concat("base", "found")
+    return out.select(
+        "doc_id", *counts, F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(every).alias("spans"),
+        F.size("found").cast("long").alias("n_found"), (F.size(every) > 0).alias("has_personal_data"),
+    )
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -112,6 +117,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_personal_data": op10_personal_data,
 }
 
+#: Tokens as the decontamination compares them, in SQL.
+_TOKENS = r"list_filter(string_split(regexp_replace(lower(coalesce(text, '')), '[^\p{L}\p{N}]+', ' ', 'g'), ' '), lambda x: x <> '')"
+
 ORACLES: dict[str, str] = {
     "op2_mix_sources": r"""
         WITH d AS (
@@ -151,14 +159,46 @@ ORACLES: dict[str, str] = {
             CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
             CASE WHEN page_id <> first THEN first END AS refers_to
         FROM f""",
+    "op3_decontaminate": rf"""
+        WITH d AS (SELECT doc_id, row_number() OVER () AS r, {_TOKENS} AS w FROM documents),
+        b AS (SELECT item_id, row_number() OVER () AS i, {_TOKENS} AS w FROM benchmark),
+        dt AS (SELECT r, doc_id, len(w) AS dn, unnest(w) AS t, generate_subscripts(w, 1) - 1 AS p FROM d),
+        bt AS (SELECT i, item_id, len(w) AS bn, unnest(w) AS t, generate_subscripts(w, 1) - 1 AS q FROM b),
+        a AS (  -- one row for each alignment of a document and an item with tokens in common
+            SELECT any_value(doc_id) AS doc_id, any_value(item_id) AS item_id, any_value(dn) AS dn, any_value(bn) AS bn,
+                greatest(0, any_value(p - q)) AS lo, least(any_value(dn), any_value(bn + p - q)) AS hi, list(p) AS ps
+            FROM dt JOIN bt USING (t) GROUP BY r, i, p - q),
+        c AS (SELECT *, least(20, hi - lo) AS compared FROM a WHERE len(ps) >= ceil(0.8 * least(20, hi - lo))),
+        s AS (
+            SELECT doc_id, item_id, compared, hi - lo AS n, dn, bn, s AS start, len(list_filter(ps, lambda p: p >= s AND p < s + compared)) AS matched
+            FROM (SELECT *, unnest(range(lo, hi - compared + 1)) AS s FROM c)),
+        g AS (
+            SELECT * FROM s WHERE CASE WHEN n >= 10 THEN matched >= ceil(0.8 * compared)
+                ELSE matched = n AND (n = dn OR n = bn) AND (n >= 5 OR dn = bn) END)
+        SELECT doc_id, item_id, CAST(matched AS BIGINT) AS matched, CAST(compared AS BIGINT) AS compared, CAST(start AS BIGINT) AS start
+        FROM g QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY matched DESC, compared DESC, start) = 1""",
+    "op5_repeated_passages": r"""
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        x AS (SELECT r, i, md5(array_to_string(w[i:i + 34], ' ')) AS h FROM (SELECT r, w, unnest(range(1, len(w) - 33)) AS i FROM d)),
+        f AS (SELECT r, i FROM x QUALIFY count(*) OVER (PARTITION BY h) > 1),
+        gone AS (SELECT DISTINCT r, i + k AS j FROM f, range(35) AS t(k)),
+        k AS (
+            SELECT r, count(*) AS n, string_agg(word, ' ' ORDER BY j) AS kept
+            FROM (SELECT r, unnest(w) AS word, generate_subscripts(w, 1) AS j FROM d) ANTI JOIN gone USING (r, j) GROUP BY r)
+        SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+        FROM d LEFT JOIN k USING (r)""",
+    "op8_near_dedup": r"""
+        WITH RECURSIVE d AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        s AS (
+            SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+                ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) END) AS sh FROM d),
+        e AS MATERIALIZED (SELECT doc_id, len(sh) AS n, unnest(sh) AS x FROM s),
+        links AS MATERIALIZED (
+            SELECT a.doc_id AS a, b.doc_id AS b FROM e a JOIN e b ON a.x = b.x AND a.doc_id <> b.doc_id
+            GROUP BY a.doc_id, b.doc_id HAVING 100 * count(*) >= 80 * (any_value(a.n) + any_value(b.n) - count(*))),
+        reach AS (SELECT a, a AS b FROM (SELECT DISTINCT a FROM links) UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
+        c AS (SELECT a, min(b) AS least FROM reach GROUP BY a)
+        SELECT doc_id, CAST(len(sh) AS BIGINT) AS n_shingles, coalesce(least, doc_id) AS component_id, doc_id = coalesce(least, doc_id) AS kept
+        FROM s LEFT JOIN c ON a = doc_id""",
 }
-
-
-def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole corpus pipeline over ``documents``."""
-    import corpus_pipeline
-
-    return corpus_pipeline.run(spark, sf_dir)
-
-
-QUERIES["pipeline"] = pipeline

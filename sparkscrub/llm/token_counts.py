@@ -8,8 +8,9 @@ that crosses a boundary is allocated by ``rule``:
 * ``majority``: to the section that holds most of its characters, ties to the earlier;
 * ``split``: to each section by its share of the token's characters.
 
-Under every rule the counts of a document's sections sum to its number of tokens. Sections are the
-lines of a text (a line ends after its newline), or any spans that a caller gives. Byte-level
+Under every rule the counts of sections that cover a document sum to its number of tokens. Sections are
+the lines of a text (a line ends after its newline), or any sorted spans that a caller gives. Tokens that touch
+no section (spans may leave gaps) count for none; characters in gaps have no share. Byte-level
 tokens can end within a character: a token's first character is that of its first byte, its last
 that of its last byte.
 """
@@ -73,22 +74,27 @@ def line_sections(text: str) -> np.ndarray:
     return np.array([[a, b] for a, b in zip([0, *ends[:-1]], ends, strict=True)], np.int64)
 
 
+def touched(starts: np.ndarray, ends: np.ndarray, sections: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last section that each token touches; first > last where it touches none."""
+    return np.searchsorted(sections[:, 1], starts, "right"), np.searchsorted(sections[:, 0], ends, "left") - 1
+
+
 def attribute(starts: np.ndarray, ends: np.ndarray, sections: np.ndarray, rule: str = "start") -> np.ndarray:
-    """Tokens of each section. Sections are sorted, touch each other and cover the text."""
+    """Tokens of each section. Sections are sorted and do not overlap; between them there may be gaps."""
     n = len(sections)
-    if not len(starts):
+    if n and (np.any(sections[:, 0] > sections[:, 1]) or np.any(sections[1:, 0] < sections[:-1, 1])):
+        raise ValueError("sections must be sorted and must not overlap")
+    if not len(starts) or not n:
         return np.zeros(n)
-    bounds = sections[:, 1]
-    first = np.minimum(np.searchsorted(bounds, starts, "right"), n - 1)
-    last = np.minimum(np.searchsorted(bounds, ends - 1, "right"), n - 1)
+    first, last = touched(starts, ends, sections)
     out = np.bincount(first[first == last], minlength=n).astype(float)
-    for i in np.flatnonzero(first != last):
-        touched = np.arange(first[i], last[i] + 1)
-        share = np.minimum(ends[i], sections[touched, 1]) - np.maximum(starts[i], sections[touched, 0])
+    for i in np.flatnonzero(first < last):
+        some = np.arange(first[i], last[i] + 1)
+        share = np.minimum(ends[i], sections[some, 1]) - np.maximum(starts[i], sections[some, 0])
         if rule == "split":
-            out[touched] += share / share.sum()
+            out[some] += share / share.sum()
         else:
-            out[touched[0] if rule == "start" else touched[np.argmax(share)]] += 1
+            out[some[0] if rule == "start" else some[np.argmax(share)]] += 1
     return out
 
 
@@ -96,9 +102,11 @@ def count_tokens(docs: DataFrame, rule: str = "start", vocabulary: str = VOCABUL
     """One row per section of each row: id, section (from 0), start, end, n_tokens, n_crossing and doc_tokens.
 
     ``n_tokens`` is what ``rule`` allocates, ``n_crossing`` the tokens that begin in the section and
-    end beyond it. ``sections``: a column of (start, end) arrays that cover the text, by default its
-    lines. Null text counts as empty: one empty section with no tokens. Repeated rows are counted
-    each. An empty table gives an empty result. The vocabulary file must be on every executor.
+    end beyond it. ``sections``: a column of (start, end) arrays, in characters, sorted and without overlaps (the job
+    fails on others), by default the text's lines; a null array means lines, an empty one no section, hence no row.
+    Null text counts as empty: one empty section with no tokens. Bytes that are no valid UTF-8 count as U+FFFD, as
+    Python replaces them. Repeated rows are counted each; null ids stay null; other columns are not read. An
+    empty table gives an empty result. The vocabulary file must be on every executor.
     """
     if rule not in RULES:
         raise ValueError(f"rule must be one of {RULES}")
@@ -108,14 +116,16 @@ def count_tokens(docs: DataFrame, rule: str = "start", vocabulary: str = VOCABUL
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             cols: list[list] = [[] for _ in range(7)]
-            for doc_id, text, spans in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                text = text or ""
-                parts = np.array([[s["start"], s["end"]] for s in spans], np.int64) if spans else line_sections(text)
+            texts = b.column(1).cast(pa.binary()).to_pylist()
+            for doc_id, raw, spans in zip(b.column(0).to_pylist(), texts, b.column(2).to_pylist(), strict=True):
+                text = (raw or b"").decode("utf-8", "replace")
+                parts = line_sections(text) if spans is None else np.array([[s["start"], s["end"]] for s in spans], np.int64).reshape(-1, 2)
                 starts, ends = token_spans(text, vocabulary)
                 counts = attribute(starts, ends, parts, rule)
                 cross = np.zeros(len(parts), np.int64)
-                at = np.minimum(np.searchsorted(parts[:, 1], starts, "right"), len(parts) - 1)
-                np.add.at(cross, at[ends > parts[at, 1]], 1)
+                if len(parts) and len(starts):
+                    at = np.minimum(touched(starts, ends, parts)[0], len(parts) - 1)
+                    np.add.at(cross, at[(starts >= parts[at, 0]) & (starts < parts[at, 1]) & (ends > parts[at, 1])], 1)
                 for c, v in zip(cols, ([doc_id] * len(parts), range(len(parts)), parts[:, 0].tolist(), parts[:, 1].tolist(), counts.tolist(), cross.tolist(), [len(starts)] * len(parts)), strict=True):
                     c.extend(v)
             types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()]

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkscrub.llm.labelled import held_out, sample_texts
+from sparkscrub.llm.labelled import SAMPLE_BYTES, held_out, sample_texts
 from sparkscrub.llm.staging import small_batches
 from sparkscrub.llm.words import U64, hash_words
 
@@ -115,19 +115,27 @@ class PuModel:
 
 def fit_toxicity(
     docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text", mod: int = 5, rest: int = 0,
-    prior: float | None = None, positives: int = SAMPLE_POSITIVE, unlabelled: int = SAMPLE_UNLABELLED,
+    prior: float | None = None, positives: int = SAMPLE_POSITIVE, unlabelled: int = SAMPLE_UNLABELLED, sample_bytes: int = SAMPLE_BYTES,
 ) -> PuModel:
-    """Fit on bounded samples. ``prior``: the share of toxic texts, by default that of the labelled rows not held out."""
+    """Fit on at most ``positives`` and ``unlabelled`` rows, and ``sample_bytes`` bytes of each text.
+
+    ``prior``: the share of toxic texts, by default that of the labelled rows not held out. Null ids and labels are
+    not used; of repeated ids one row is; null texts count as empty. Without toxic rows, or without documents, every
+    text gets the same low score.
+    """
     usable = labels.where(~held_out(F.col(id_col), mod, rest))
     if prior is None:
         prior = usable.agg(F.avg(F.col(label).cast("double"))).first()[0] or 0.01
-    toxic = sample_texts(docs, usable.where(F.col(label) == 1).select(id_col), positives, id_col, text_col, [])
-    some = sample_texts(docs, docs.select(id_col), unlabelled, id_col, text_col, [])
+    toxic = sample_texts(docs, usable.where(F.col(label) == 1).select(id_col), positives, id_col, text_col, [], sample_bytes)
+    some = sample_texts(docs, docs.select(id_col), unlabelled, id_col, text_col, [], sample_bytes)
     return PuModel().fit([bytes(t) for t in toxic["text"]], [bytes(t) for t in some["text"]], prior)
 
 
 def score_toxicity(docs: DataFrame, model: PuModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id and ``score`` of every row; null counts as empty, whose score is the bias alone."""
+    """id and ``score`` of every row; null counts as empty, whose score is the bias alone.
+
+    Repeated rows get a score each, null ids too; other columns are not read. An empty table gives an empty result.
+    """
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.bias))  # 4 MB
 

@@ -1,9 +1,10 @@
 """WARC archives with revisit records, and a two-level capture index over them.
 
-Archives: each write task makes one ``.warc.gz`` file, a gzip member for each record, under the
-shared folder; files get their final name when complete, so that a repeated task replaces whole
-files only. Records with equal payloads of at least MIN_REVISIT bytes are revisits of the one with
-the smallest id (their HTTP header keeps the payload's length, their WARC header its digest).
+Archives: each write task makes one ``.warc.gz`` file, a gzip member for each record, under the shared
+folder. Its name holds the number of the task's attempt, and captures name it: a repeated task writes a file
+of its own, and what a lost attempt left behind is named by no capture (``clean`` deletes it). Records with
+equal payloads of at least MIN_REVISIT bytes are revisits of the one with the smallest id (their HTTP header
+keeps the payload's length, their WARC header its digest).
 
 Index: captures are sorted by key (host reversed, then path) over all archives. Level 1 holds them in
 gzip-compressed blocks of BLOCK_LINES lines; level 2, the sparse directory, has the first key, the
@@ -18,7 +19,7 @@ from __future__ import annotations
 import bisect
 import gzip
 import hashlib
-import uuid
+import re
 from collections.abc import Iterator
 from urllib.parse import urlsplit
 
@@ -32,8 +33,8 @@ from pyspark.sql import functions as F
 from sparkscrub.llm.staging import new_dir, small_batches, stage
 
 MIN_REVISIT, BLOCK_LINES = 100, 512
-#: Blocks that one task reads back.
-BLOCKS_A_TASK = 8
+#: Blocks that one task reads back, and captures of one part of the index (a part's directory is searched in one task).
+BLOCKS_A_TASK, CAPTURES_A_PART = 8, 200_000
 GAP = 1 << 16
 CAPTURE_SCHEMA = "key string, id long, file string, offset long, length long"
 
@@ -47,15 +48,19 @@ def open_fs(uri: str) -> tuple[arrow_fs.FileSystem, str]:
     return arrow_fs.FileSystem.from_uri(uri)
 
 
-def write_whole(uri: str, data: Iterator[bytes]) -> None:
-    """Write a file under a name of its own, then give it the final one."""
+def write_file(uri: str, data: Iterator[bytes]) -> None:
+    """Write a file under a name that no other attempt uses."""
     fs, path = open_fs(uri)
     fs.create_dir(path.rpartition("/")[0], recursive=True)
-    temp = f"{path}.{uuid.uuid4().hex}.part"
-    with fs.open_output_stream(temp) as out:
+    with fs.open_output_stream(path, compression=None) as out:  # members are compressed already
         for d in data:
             out.write(d)
-    fs.move(temp, path)
+
+
+def attempt_name(prefix: str, suffix: str) -> str:
+    """File name of this attempt of this task."""
+    at = TaskContext.get()
+    return f"{prefix}-{at.partitionId():06d}-{at.stageId()}-{at.taskAttemptId()}{suffix}"
 
 
 def url_key(url: str | None) -> str:
@@ -71,7 +76,8 @@ def url_key(url: str | None) -> str:
 
 
 def _clean(value: str | None) -> str:
-    return " ".join((value or "").split())
+    """One line; other control characters, which would sort before the end of a key, as %XX."""
+    return re.sub("[\x00-\x1f]", lambda m: f"%{ord(m[0]):02X}", " ".join((value or "").split()))
 
 
 def record_bytes(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
@@ -117,7 +123,7 @@ def payload_digest(html: Column) -> Column:
 
 def _write_archives(folder: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        name, rows, at = f"part-{TaskContext.get().partitionId():06d}.warc.gz", [], 0
+        name, rows, at = attempt_name("part", ".warc.gz"), [], 0
 
         def records() -> Iterator[bytes]:
             nonlocal at
@@ -134,7 +140,7 @@ def _write_archives(folder: str):
             return
         source, batches = batches, None
         batches = (b for part in ((first,), source) for b in part)
-        write_whole(f"{folder}/{name}", records())
+        write_file(f"{folder}/{name}", records())
         cols = list(zip(*rows, strict=True)) or [[]] * 5
         types = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["key", "id", "file", "offset", "length"])
@@ -144,8 +150,7 @@ def _write_archives(folder: str):
 
 def _write_index(folder: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, blocks, lines, at = TaskContext.get().partitionId(), [], [], 0
-        name = f"cdx-{part:06d}.gz"
+        name, blocks, lines, at = attempt_name("cdx", ".gz"), [], [], 0
 
         def flush() -> bytes:
             nonlocal at, lines
@@ -166,7 +171,7 @@ def _write_index(folder: str):
         first = next(all_blocks_iter := all_blocks(), None)
         if first is None:
             return
-        write_whole(f"{folder}/{name}", (d for part_ in ((first,), all_blocks_iter) for d in part_))
+        write_file(f"{folder}/{name}", (d for part_ in ((first,), all_blocks_iter) for d in part_))
         cols = list(zip(*blocks, strict=True))
         types = [pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64()]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["first", "last", "file", "offset", "length"])
@@ -192,21 +197,34 @@ class Directory:
             self._held = {at: gzip.decompress(data).decode("utf-8", "surrogatepass").split("\n")}
         return self._held[at]
 
-    def find(self, key: str) -> list[tuple[int | None, str, int, int]]:
-        """(id, file, offset, length) of every capture of a key."""
-        out = []
-        i = max(0, bisect.bisect_left(self.firsts, key) - 1)
+    def blocks_of(self, key: str) -> list[tuple[str, str, str, int, int]]:
+        """The blocks that may hold a key, by binary search of their first keys."""
+        i, out = max(0, bisect.bisect_left(self.firsts, key) - 1), []
         while i < len(self.blocks) and self.firsts[i] <= key:
             if self.blocks[i][1] >= key:
-                lines = self._lines(self.blocks[i])
-                j = bisect.bisect_left(lines, key + "\t")
-                while j < len(lines) and lines[j].startswith(key + "\t"):
-                    _, page_id, file, offset, length = lines[j].split("\t")
-                    out.append((int(page_id) if page_id else None, file, int(offset), int(length)))
-                    j += 1
+                out.append(self.blocks[i])
             i += 1
         return out
 
+    def captures(self, block: tuple[str, str, str, int, int], key: str) -> list[tuple[int | None, str, int, int]]:
+        """(id, file, offset, length) of the captures of a key in a block, by binary search of its lines."""
+        lines, out = self._lines(block), []
+        j = bisect.bisect_left(lines, key + "\t")
+        while j < len(lines) and lines[j].startswith(key + "\t"):
+            out.append(parse_line(lines[j]))
+            j += 1
+        return out
+
+    def find(self, key: str) -> list[tuple[int | None, str, int, int]]:
+        """(id, file, offset, length) of every capture of a key."""
+        return [c for block in self.blocks_of(key) for c in self.captures(block, key)]
+
+
+def parse_line(line: str) -> tuple[int | None, str, int, int]:
+    """(id, file, offset, length) of a line of the index."""
+    _, page_id, file, offset, length = line.split("\t")
+    return int(page_id) if page_id else None, file, int(offset), int(length)
+
 
 def read_ranges(folder: str, captures: list[tuple[int | None, str, int, int]]) -> Iterator[tuple[int | None, bytes]]:
     """Records of captures, file by file in order of offset; near ranges are read at once."""
@@ -231,12 +249,13 @@ class WarcArchive:
     def __init__(self, spark: SparkSession, folder: str | None = None):
         self.spark, self.folder = spark, folder or new_dir(spark, "warc")
         self.blocks: DataFrame | None = None
+        self.captures: DataFrame | None = None
 
     def write(self, pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> WarcArchive:
-        """Write every row as a record, then the index. Null html is empty, null urls have an empty key.
+        """Write every row as a record, then the index. Null html is empty, null urls are empty ones.
 
-        Rows with null ids can be responses only; of rows with one payload and the smallest id, all
-        are responses.
+        Rows with null ids can be responses only; of rows with one payload and the smallest id, repeated or not,
+        all are responses. Columns other than the three are not read. An empty table makes empty archives.
         """
         small_batches(self.spark)
         rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
@@ -249,27 +268,47 @@ class WarcArchive:
         refers = F.when(F.col("id") > F.col("first"), F.col("first"))
         captures = marked.select("id", "url", "html", "digest", refers.alias("refers")).mapInArrow(_write_archives(f"{self.folder}/archive"), CAPTURE_SCHEMA)
         captures = stage(captures, "warc-captures")
-        ordered = captures.repartitionByRange("key").sortWithinPartitions("key", "id", "file", "offset")
-        self.blocks = stage(ordered.mapInArrow(_write_index(f"{self.folder}/index"), "first string, last string, file string, offset long, length long"), "warc-directory")
+        parts = max(1, -(-captures.count() // CAPTURES_A_PART))
+        # by key and id, so that the captures of a very common url are dealt over several parts
+        ordered = captures.repartitionByRange(parts, "key", "id", "file", "offset").sortWithinPartitions("key", "id", "file", "offset")
+        self.blocks = stage(ordered.mapInArrow(_write_index(f"{self.folder}/index"), f"{_BLOCK}"), "warc-directory")
+        self.captures = captures
         return self
 
-    def records(self) -> DataFrame:
-        """Read every record back through the index: (id, type, refers_to, payload_bytes, payload_digest, url, payload).
-
-        Blocks of the directory are dealt out; each is range-read, its captures are range-read from
-        the archives, and payloads of responses are measured and hashed anew. A revisit has the
-        length and digest of its headers and a null payload.
+    def clean(self) -> int:
+        """Delete files that lost attempts left behind; how many. One listing of file names, no data is read."""
+        gone = 0
+        for sub, used in (("archive", self.captures), ("index", self.blocks)):
+            fs, path = open_fs(f"{self.folder}/{sub}")
+            names = {r[0] for r in used.select("file").distinct().collect()}
+            for info in fs.get_file_info(arrow_fs.FileSelector(path, allow_not_found=True)):
+                if info.base_name not in names and info.base_name[:1] not in "._":
+                    fs.delete_file(info.path)
+                    gone += 1
+        return gone
+
+    def records(self, urls: DataFrame | None = None, url_col: str = "url") -> DataFrame:
+        """Records (id, type, refers_to, payload_bytes, payload_digest, url, payload) read back from the archives.
+
+        With ``urls`` (null is an empty url, repeated ones count once): every capture of those, each found by the
+        two binary searches. Without: all records, block by block of the index. Captures are range-read from the
+        archives; payloads of responses are measured and hashed anew. A revisit has the length and digest of its
+        headers and a null payload. Repeated rows of one id are a record each. An empty table gives an empty result.
         """
         folder = self.folder
+        wanted = self.blocks.select("first", "last", "file", "offset", "length", F.lit(None).cast("array<string>").alias("keys")) if urls is None else self._blocks_of(urls, url_col)
+        wanted = stage(wanted, "warc-wanted")
         # few bytes stand for much work: a fixed number of tasks, which adaptive execution leaves alone
-        tasks = max(1, -(-self.blocks.count() // BLOCKS_A_TASK))
-        parts = self.blocks.repartition(tasks, "file", "offset")
+        tasks = max(1, -(-wanted.count() // BLOCKS_A_TASK))
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in batches:
-                for block in b[["first", "last", "file", "offset", "length"]].itertuples(index=False, name=None):
-                    directory = Directory([block], f"{folder}/index")
-                    captures = [(int(x[1]) if x[1] else None, x[2], int(x[3]), int(x[4])) for x in (line.split("\t") for line in directory._lines(block))]
+                for *block, keys in b[["first", "last", "file", "offset", "length", "keys"]].itertuples(index=False, name=None):
+                    directory = Directory([tuple(block)], f"{folder}/index")
+                    if keys is None:
+                        captures = [parse_line(line) for line in directory._lines(tuple(block))]
+                    else:
+                        captures = [c for key in keys for c in directory.captures(tuple(block), key)]
                     out, held = [], 0
                     for page_id, member in read_ranges(f"{folder}/archive", captures):
                         out.append(_described(page_id, parse_record(member)))
@@ -280,41 +319,65 @@ class WarcArchive:
                     if out:
                         yield pd.DataFrame(out, columns=_COLUMNS)
 
-        return parts.mapInPandas(run, "id long, type string, refers_to long, payload_bytes long, payload_digest string, url string, payload binary")
+        return wanted.repartition(tasks, "file", "offset").mapInPandas(run, "id long, type string, refers_to long, payload_bytes long, payload_digest string, url string, payload binary")
 
-    def lookup(self, urls: DataFrame, url_col: str = "url") -> DataFrame:
-        """Captures of each url: (url, id, file, offset, length).
+    def _blocks_of(self, urls: DataFrame, url_col: str) -> DataFrame:
+        """Blocks that may hold the keys of urls, each with those keys (as many as a block has lines, at most, are there to be found).
 
-        Queries go to the index part whose keys they fall among; each task reads the directory of its
-        part only. Parts are few: their first and last keys are all that the driver sees.
+        Keys go to the parts of the index that they fall among; each task searches the directory of its part
+        only. Parts are few: their first and last keys are all that the driver sees.
         """
         bounds = sorted(self.blocks.groupBy("file").agg(F.min("first"), F.max("last")).collect(), key=lambda r: r[1])
         names, firsts, lasts = [r[0] for r in bounds], [r[1] for r in bounds], [r[2] for r in bounds]
-        folder = self.folder
+
+        def keys_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                yield pd.DataFrame({"key": [url_key(_clean(url)) for url in b["url"]]})
 
         def parts_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in batches:
                 out = []
-                for url in b["url"]:
-                    key = url_key(_clean(url))
+                for key in b["key"]:
+                    # parts may start with one and the same key
                     i = max(0, bisect.bisect_left(firsts, key) - 1)
                     while i < len(names) and firsts[i] <= key:
                         if lasts[i] >= key:
-                            out.append((names[i], key, url))
+                            out.append((names[i], key))
                         i += 1
-                yield pd.DataFrame(out, columns=["file", "key", "url"])
+                yield pd.DataFrame(out, columns=["file", "key"])
+
+        def find(blocks: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+            directory = Directory(list(blocks[["first", "last", "file", "offset", "length"]].itertuples(index=False, name=None)), "")
+            found: dict[tuple, list[str]] = {}
+            for key in asked["key"]:
+                for block in directory.blocks_of(key):
+                    found.setdefault(block, []).append(key)
+            return pd.DataFrame([(*block, keys) for block, keys in found.items()], columns=["first", "last", "file", "offset", "length", "keys"])
+
+        asked = urls.select(F.col(url_col).alias("url")).distinct().mapInPandas(keys_of, "key string").distinct().mapInPandas(parts_of, "file string, key string")
+        return self.blocks.groupBy("file").cogroup(asked.groupBy("file")).applyInPandas(find, f"{_BLOCK}, keys array<string>")
 
-        def find(blocks: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-            directory = Directory(list(blocks[["first", "last", "file", "offset", "length"]].itertuples(index=False, name=None)), f"{folder}/index")
-            out = []
-            for key, url in sorted(zip(queries["key"], queries["url"], strict=True)):
-                out += [(url, *c) for c in directory.find(key)]
-            return pd.DataFrame(out, columns=["url", "id", "file", "offset", "length"]).astype({"id": "Int64"})
+    def lookup(self, urls: DataFrame, url_col: str = "url") -> DataFrame:
+        """Captures of each url, without reading records: (url, id, file, offset, length). Null urls have none."""
+        folder = self.folder
+
+        def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                for *block, keys in b[["first", "last", "file", "offset", "length", "keys"]].itertuples(index=False, name=None):
+                    directory = Directory([tuple(block)], f"{folder}/index")
+                    out = [(key, *c) for key in keys for c in directory.captures(tuple(block), key)]
+                    yield pd.DataFrame(out, columns=["key", "id", "file", "offset", "length"]).astype({"id": "Int64"})
+
+        def keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                yield pd.DataFrame({"key": [url_key(_clean(url)) for url in b["url"]], "url": b["url"]})
 
-        asked = urls.select(F.col(url_col).alias("url")).where("url is not null").distinct().mapInPandas(parts_of, "file string, key string, url string")
-        return self.blocks.groupBy("file").cogroup(asked.groupBy("file")).applyInPandas(find, "url string, id long, file string, offset long, length long")
+        asked = urls.select(F.col(url_col).alias("url")).where("url is not null").distinct()
+        found = self._blocks_of(asked, "url").mapInPandas(find, "key string, id long, file string, offset long, length long")
+        return asked.mapInPandas(keyed, "key string, url string").join(found, "key").select("url", "id", "file", "offset", "length")
 
 
+_BLOCK = "first string, last string, file string, offset long, length long"
 _COLUMNS = ["id", "type", "refers_to", "payload_bytes", "payload_digest", "url", "payload"]
 
 

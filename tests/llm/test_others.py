@@ -13,12 +13,15 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from sparkscrub.llm import queries
 from sparkscrub.llm.decontaminate import MASKS, MIN_SHARE, MIN_TOKENS, WINDOW, drop_contaminated, find_contamination
-from sparkscrub.llm.labelled import held_out
+from sparkscrub.llm.labelled import held_out, sample_texts
 from sparkscrub.llm.mixing import mix_sources, taken_documents
+from sparkscrub.llm import pii
 from sparkscrub.llm.pii import find_personal_data, listed
-from sparkscrub.llm.quality import ByteNet, fit_quality, keep_quality, score_quality
+from sparkscrub.llm.quality import BLOCK, GROUP_BLOCKS, ByteNet, fit_quality, keep_quality, score_quality
+from sparkscrub.llm.staging import released, stage
 from sparkscrub.llm.token_counts import VOCABULARY, attribute, count_tokens, line_sections, token_spans
 from sparkscrub.llm.toxicity import PuModel, fit_toxicity, score_toxicity
 from sparkscrub.llm.warc import Directory, WarcArchive, open_fs, parse_record, read_ranges, record_bytes, url_key
@@ -59,6 +62,76 @@ def test_token_counts(docs, rows, none):
         count_tokens(docs, rule="other")
 
 
+def brute_tokens(text):
+    """(first character, end) of every token, told by decoding prefixes of the whole document's tokens."""
+    from sparkscrub.llm.token_counts import encoder
+
+    encoding, _ = encoder(VOCABULARY)
+    out, at = [], 0
+    raw = text.encode()
+    for token in encoding.encode_ordinary(text):
+        end = at + len(encoding.decode_single_token_bytes(token))
+        first = len(raw[: at + 1].decode("utf-8", "ignore")) - 1 if raw[at] & 0xC0 != 0x80 and raw[at] < 0x80 else len(raw[:at].decode("utf-8", "ignore"))
+        last = len(raw[:end].decode("utf-8", "ignore")) + (0 if end == len(raw) or raw[end] & 0xC0 != 0x80 else 1)
+        out.append((first, last))
+        at = end
+    return out
+
+
+@needs_vocabulary
+@pytest.mark.parametrize("rule", ["start", "majority", "split"])
+def test_token_query_against_brute_force(spark, rule):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("length(text) < 3000").limit(25).cache()
+    extra = spark.createDataFrame([(-1, "é à 😀日本\n\nx😀\n"), (-2, None), (-3, "")], "doc_id long, text string")
+    docs = docs.select("doc_id", "text").unionByName(extra)
+    want = {}
+    for i, text in docs.collect():
+        text, spans = text or "", []
+        at = 0
+        for line in text.split("\n"):
+            spans.append((at, min(len(text), at + len(line) + 1)))
+            at += len(line) + 1
+        if len(spans) > 1 and spans[-1][0] >= len(text):
+            spans.pop()
+        tokens = brute_tokens(text)
+        for k, (a, b) in enumerate(spans):
+            n = crossing = 0
+            for s, e in tokens:
+                share = [max(0, min(e, y) - max(s, x)) for x, y in spans]
+                if rule == "split":
+                    n += share[k] / sum(share)
+                else:
+                    n += k == (next(j for j, v in enumerate(share) if v) if rule == "start" else share.index(max(share)))
+                crossing += a <= s < b < e
+            want[i, k] = (a, b, round(n, 6), crossing, len(tokens))
+    got = {(r.doc_id, r.section): (r.start, r.end, round(r.n_tokens, 6), r.n_crossing, r.doc_tokens) for r in count_tokens(docs, rule).collect()}
+    assert got == want
+    if rule == "start":
+        full = {(r.doc_id, r.section): r.n_tokens for r in queries.QUERIES["op1_token_counts"](spark, SF).collect()}
+        assert all(full[k] == v[2] for k, v in want.items() if k[0] >= 0)
+
+
+@needs_vocabulary
+def test_given_sections(spark):
+    text = "alpha beta gamma delta"
+    df = spark.createDataFrame([(1, text, [(0, 8), (8, 16)]), (2, text, [(6, 10)]), (3, text, []), (4, text, None), (None, None, [(0, 0)])], "doc_id long, text string, parts array<struct<start:long,end:long>>")
+    got = {(r.doc_id, r.section): (r.n_tokens, r.n_crossing) for r in count_tokens(df, "start", sections="parts").collect()}
+    tokens = brute_tokens(text)
+    assert got[2, 0] == (sum(s < 10 and e > 6 for s, e in tokens), sum(6 <= s < 10 < e for s, e in tokens))  # what is in gaps counts for none
+    assert got[1, 0][0] + got[1, 1][0] == sum(s < 16 for s, _ in tokens) and got[4, 0] == (len(tokens), 0) and got[None, 0] == (0, 0)
+    assert not [k for k in got if k[0] == 3]
+    with pytest.raises(ValueError):
+        attribute(np.array([0]), np.array([5]), np.array([[0, 8], [4, 9]]))
+
+
+@needs_vocabulary
+def test_broken_text_counts_as_replaced(spark):
+    raw = [b"ok \xff\xfe bytes\n\xc3", "ok \ufffd\ufffd bytes\n\ufffd".encode()]
+    df = spark.createDataFrame([(i, bytearray(r)) for i, r in enumerate(raw)], "doc_id long, t binary").selectExpr("doc_id", "cast(t as string) as text")
+    got = {i: sorted(tuple(r)[1:] for r in count_tokens(df).collect() if r.doc_id == i) for i in (0, 1)}
+    assert got[0] == got[1]
+
+
 # mixing
 
 
@@ -146,6 +219,14 @@ def test_contamination_by_a_long_item(spark):
     assert {(r.doc_id, r.item_id, r.matched, r.start) for r in got.collect() if r.item_id} == {(i, 1, 20, i) for i in range(4)}
 
 
+def test_short_items_and_documents(spark):
+    items = [(1, "one two three four five six seven"), (2, "yes no"), (3, " ".join(f"t{j}" for j in range(30)))]
+    docs = [(1, "he said: one two three four five six seven, loud"), (2, "one two three four five six eight"), (3, "Yes, no!"), (4, "yes no maybe"), (5, "t5 t6 t7 t8 t9 t10"), (6, "t5 t6"), (7, "t5 t6 x t8 t9 t10"), (8, "yes")]
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = find_contamination(df, bench).collect()
+    assert {(r.doc_id, r.item_id, r.matched, r.start) for r in got} == {(1, 1, 7, 2), (3, 2, 2, 0), (5, 3, 6, 0)}
+
+
 def test_masks_hit_all_that_verification_accepts():
     bits = [int(m[::-1], 2) for m in MASKS]
     for n in range(MIN_TOKENS, WINDOW + 1):
@@ -198,19 +279,49 @@ def test_scores_cover_whole_texts():
     assert alone[0] == pytest.approx(together[1], abs=1e-5)
 
 
-def accuracy(df, labels, label):
-    both = df.join(labels, "doc_id").select("held_out", "predicted", label).collect()
-    held = [r.predicted == r[label] for r in both if r.held_out]
-    return sum(held) / len(held)
+def test_long_texts_score_as_if_in_one_piece():
+    rng = random.Random(8)
+    net = ByteNet().fit([b"plain words in a row " * 30] * 20 + [b"LOUD!! NOISE!! " * 40] * 20, np.array([1.0] * 20 + [0.0] * 20))
+    for n in (GROUP_BLOCKS * BLOCK + 1, (2 * GROUP_BLOCKS - 1) * BLOCK, 3 * GROUP_BLOCKS * BLOCK + 17):
+        text = bytes(rng.choice(b"abc !LOUD\n") for _ in range(n))
+        whole = 1 / (1 + np.exp(-net.forward([text])[0][0]))
+        assert net.score([b"short", text, b"x"])[1] == pytest.approx(whole, abs=1e-5)
+
+
+def test_samples_of_long_texts_span_them(spark):
+    docs = spark.createDataFrame([(1, "a" * 100 + "b" * 100_000 + "c" * 100), (2, "short"), (3, None), (2, "other")], "doc_id long, text string")
+    got = sample_texts(docs, docs.select("doc_id").distinct(), 10, "doc_id", "text", [], most=1600)
+    assert got["id"].tolist() == [1, 2, 3] and bytes(got["text"][0]) == b"a" * 100 + b"b" * 1400 + b"c" * 100
+    assert bytes(got["text"][1]) == b"other" and bytes(got["text"][2]) == b""
+
 
+def held(df, labels, label):
+    """AUC, recall, precision and accuracy over held-out rows with a label."""
+    rows = df.join(labels, "doc_id").where(f"held_out and {label} is not null").select("score", "predicted", F.col(label).alias("y")).toPandas()
+    rank, y = rows["score"].rank(), rows["y"] == 1
+    auc = (rank[y].sum() - y.sum() * (y.sum() + 1) / 2) / (y.sum() * (~y).sum())
+    hit = (rows["predicted"] == 1) & y
+    return auc, hit.sum() / y.sum(), hit.sum() / max(1, (rows["predicted"] == 1).sum()), ((rows["predicted"] == 1) == y).mean()
 
-@pytest.mark.parametrize("name,label,least", [("op6_quality", "quality", 0.95), ("op7_toxicity", "toxic", 0.85)])
-def test_held_out_accuracy(spark, name, label, least):
-    sf = SF.replace("0.001", "0.01")
+
+# a constant has an AUC of 0.5 and, for toxicity, recall or precision near 0
+@pytest.mark.parametrize("name,label,least", [("op6_quality", "quality", (0.98, 0.97, 0.97, 0.97)), ("op7_toxicity", "toxic", (0.93, 0.85, 0.85, 0.95))])
+def test_held_out_quality_of_scores(spark, name, label, least):
+    sf = SF.replace("0.001", "0.1")
     out = queries.QUERIES[name](spark, sf).cache()
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     assert out.count() == docs.count() and out.where("score < 0 or score > 1 or score is null").count() == 0
-    assert accuracy(out, spark.read.parquet(f"{sf}/labels.parquet"), label) >= least
+    got = held(out, spark.read.parquet(f"{sf}/labels.parquet"), label)
+    print(name, got)
+    assert all(g >= m for g, m in zip(got, least, strict=True)), got
+
+
+def test_toxic_words_late_in_a_long_text_count():
+    clean = lambda i: " ".join(["red", "green", "blue", "tree", "house"][(i + j) % 5] for j in range(30))
+    model = PuModel().fit([(clean(i) + " vile").encode() for i in range(60)], [clean(i).encode() for i in range(600)], 0.1)
+    long = " ".join(clean(i) for i in range(20_000)).encode()
+    s = model.score([long, long + b" vile"])
+    assert s[0] < 0.5 < s[1]
 
 
 def test_classifiers_without_labels(spark, docs, rows, none):
@@ -268,6 +379,28 @@ def test_warc(spark):
     assert WarcArchive(spark).write(pages.limit(0)).records().count() == 0
 
 
+def test_warc_common_urls_repeats_and_lost_attempts(spark):
+    data = [(i, "http://hot.example.org/" if i % 3 else f"http://x{i}.example.org/\x01", "p" * 150 if i % 2 else f"<p>{i}</p>" * 30) for i in range(1500)]
+    data += [(7, "http://again/", "p" * 150), (7, "http://again/", "p" * 150), (None, None, None)]
+    pages = spark.createDataFrame(data, "page_id long, url string, html string").repartition(5)
+    archive = WarcArchive(spark).write(pages)
+    fs, path = open_fs(archive.folder)
+    for sub in ("archive/part-000000-9-9.warc.gz", "index/cdx-000000-9-9.gz"):
+        with fs.open_output_stream(f"{path}/{sub}", compression=None) as out:
+            out.write(b"left by a lost attempt")
+    assert archive.clean() == 2 and archive.clean() == 0
+    for records in (archive.records(), archive.records(pages), archive.records(pages.unionByName(pages))):
+        got = Counter((r.id, r.type, r.refers_to, r.payload_bytes) for r in records.collect())
+        want = Counter()
+        for i, _, html in data:
+            raw = html or ""
+            again = raw == "p" * 150 and i is not None and i > 1
+            want[i, "revisit" if again else "response", 1 if again else None, len(raw)] += 1
+        assert got == want
+    some = archive.records(spark.createDataFrame([("http://again/",), ("http://hot.example.org/",), ("http://no/",)], "url string"))
+    assert some.count() == 1000 + 2
+
+
 def test_directory_finds_keys_over_blocks(tmp_path):
     lines = [f"k{i // 3:03d}\t{i}\tf\t{i}\t1" for i in range(300)]
     blocks, at = [], 0
@@ -327,50 +460,167 @@ def test_base_spans(spark):
     assert find_personal_data(df.limit(0)).count() == 0
 
 
+def brute_discovery(rows, min_seeds, min_confidence, deviations):
+    """Bootstrapping with sets and loops: (row, kind, start, end) of what is found beyond base spans."""
+    import regex
+
+    digits = lambda s: re.sub("[^0-9]", "", s)
+    spans = []
+    for i, text in rows:
+        text = text or ""
+        known = [s.split(":") for s in base(text).split(",") if s]
+        found = [(k, int(a), int(b), True, True) for k, a, b in known]
+        loose = [("secret", m.span(), True) for m in regex.finditer(pii.SECRET, text)]
+        loose += [("email", m.span(), False) for m in regex.finditer(pii.LOOSE_AT, text)] + [("ip", m.span(), False) for m in regex.finditer(pii.LOOSE_IP, text)]
+        loose += [("card" if len(digits(m[0])) >= 12 else "phone", m.span(), False) for m in regex.finditer(pii.LOOSE_NUMBER, text)]
+        loose += [("secret", m.span(), False) for m in regex.finditer(pii.LOOSE_VALUE, text) if not regex.search(pii.SECRET, m[0])]
+        found += [(k, a, b, seed, False) for k, (a, b), seed in loose if not any(a < y and x < b for _, x, y, _, _ in found if _)] if known else [(k, a, b, seed, False) for k, (a, b), seed in loose]
+        for k, a, b, seed, is_base in found:
+            plain = lambda s: re.sub("[0-9]", "#", s).lower()
+            left = re.sub("[\\s\"'(:=]+$", "", plain(text[:a])).split()
+            right = re.match("[\\s\"'),.;:!?]*(\\S+)", plain(text[b:]))
+            right = re.sub("[\"'),.;:!?]+$", "", right[1]) if right else ""
+            pats = {"l " + left[-1]} if left else set()
+            pats |= {"ll " + " ".join(left[-2:])} if len(left) > 1 else set()
+            pats |= {"r " + right} if right else set()
+            pats |= {f"lr {left[-1]} {right}"} if left and right else set()
+            spans.append((i, k, a, b, text[a:b].lower(), seed, is_base, pats))
+    graph = defaultdict(set)
+    for _, k, _, _, v, _, _, pats in spans:
+        for p in pats:
+            graph[k, p].add(v)
+    score = {(k, v): 1.0 for _, k, _, _, v, seed, _, _ in spans if seed}
+    while True:
+        new = {}
+        for (k, _), values in graph.items():
+            n, s, z = len(values), sum(score.get((k, v), 0) for v in values), deviations
+            p = s / n
+            low = (p + z * z / (2 * n) - z * math.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)
+            if low >= min_confidence and sum((k, v) in score for v in values) >= min_seeds:
+                for v in values:
+                    if (k, v) not in score:
+                        new[k, v] = max(low, new.get((k, v), 0))
+        if not new:
+            break
+        score |= new
+    return {(i, k, a, b) for i, k, a, b, v, _, is_base, _ in spans if not is_base and (k, v) in score}
+
+
 def test_contexts_discover_identifiers(spark):
     known = [f"please mail me: user{i}@site{i}.org today" for i in range(9)] + [f"call desk number +1 (555) 010-{1000 + i} now" for i in range(9)]
-    new = ["please mail me: root@localhost today", "call desk number 555-010-7788 now", "order number of 555-010-7788 parts", "the year 2024 was fine"]
-    df = spark.createDataFrame(list(enumerate(known + new)), "doc_id long, text string")
-    found = {r.doc_id: r.found for r in find_personal_data(df).where("size(found) > 0").collect()}
-    assert {i: (f[0].kind, f[0].value) for i, f in found.items()} == {18: ("email", "root@localhost"), 19: ("phone", "555-010-7788")}
+    known += [f'the token = "{hashlib.sha1(str(i).encode()).hexdigest()}" is set' for i in range(9)]
+    new = ["please mail me: root@localhost today", "call desk number 555-010-7788 now", "order number of 555-010-7788 parts", "the year 2024 was fine", 'the token = "hunter2-hunter2" is set', "the year = 'something'"]
+    # a second generation: the first names found here stand in a context that no seed has
+    known += [f"please mail me: admin{i}@intranet today" for i in range(1)] + [f"write root@localhost or op{i}@intranet soon" for i in range(2)]
+    noise = [f"page {i * 7919 + 1000000} of it a {i}.{i}.{i} x" for i in range(12)] + ["", None, "1.2.3.4 and 1.2.3.4:80 user@site", "é😀 a@b"]
+    rows = list(enumerate(known + new + noise))
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"row": F.lit(1), "kind": F.lit("k"), "seed": F.lit(2)})
+    for seeds, least, deviations in ((5, 0.6, 1.0), (2, 0.3, 1.0), (5, 0.7, 3.0)):
+        found = find_personal_data(df, min_seeds=seeds, min_confidence=least, deviations=deviations).select("doc_id", F.explode("found").alias("f")).collect()
+        got = {(r.doc_id, r.f.kind, r.f.start, r.f.end) for r in found}
+        assert got == brute_discovery(rows, seeds, least, deviations)
+        values = {r.f.value for r in found}
+        assert sum(k == "secret" for _, k, _, _ in got) >= 9 and not any(v.startswith("10") and len(v) == 7 for v in values)
+        if deviations == 1:
+            assert {"root@localhost", "555-010-7788", "hunter2-hunter2"} <= values
+
+
+def test_repeated_rows_are_found_each(spark):
+    df = spark.createDataFrame([(1, "a@b.cc"), (1, "a@b.cc"), (None, "a@b.cc"), (2, None)], "doc_id long, text string")
+    assert Counter((r.doc_id, len(r.base)) for r in find_personal_data(df).collect()) == Counter({(1, 1): 2, (None, 1): 1, (2, 0): 1})
 
 
 # pipeline
 
 
 def test_pipeline(spark):
-    import corpus_pipeline
-
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     columns, counts = docs.columns, [docs.count()]
     text = {r.doc_id: r.text for r in docs.collect()}
     labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
+    net = fit_quality(docs, spark.read.parquet(f"{SF}/labels.parquet"))
     for name, step in corpus_pipeline.STAGES:
-        before = {r.doc_id for r in docs.collect()}
+        before = [r.doc_id for r in docs.collect()]
         docs = step(spark, docs, SF).cache()
-        after = {r.doc_id for r in docs.collect()}
+        rows = docs.collect()
+        after = sorted(r.doc_id for r in rows)
         counts.append(len(after))
-        assert after <= before
         if name != "mixing":
             assert docs.columns == columns
         if name == "quality":
-            assert sum(labels.get(i) == 1 for i in before - after) <= 1
+            assert sum(labels.get(i) == 1 for i in set(before) - set(after)) <= 1
+            assert after == sorted(i for i, s in zip(before, net.score([(text[i] or "").encode() for i in before]), strict=True) if s >= 0.5)
         if name == "exact_dedup":
-            assert after == {min(i for i in before if text[i] == t) for t in {text[i] for i in before}}
+            assert after == sorted(min(i for i in before if text[i] == t) for t in {text[i] for i in before})
         if name == "near_dedup":
             from tests.llm.test_dedup import brute_near
 
-            assert after == {i for i, v in brute_near([(i, text[i], "") for i in before], 5, 80).items() if v[2]}
-    assert counts == sorted(counts, reverse=True) and docs.where("taken > 3 * size").count() == 0
-    assert {r.doc_id for r in corpus_pipeline.run(spark, SF).select("doc_id").collect()} == after
+            assert after == sorted(i for i, v in brute_near([(i, text[i], "") for i in before], 5, 80).items() if v[2])
+        if name == "decontamination":
+            assert after == sorted(set(before) - brute_contaminated({i: text[i] for i in before}, spark.read.parquet(f"{SF}/benchmark.parquet").collect()))
+        if name == "mixing":
+            taken = defaultdict(int)
+            for r in rows:
+                assert 0 < r.taken <= 3 * r.size
+                taken[r.source] += r.taken
+            assert all(taken[r.source] == int(r.target + 1e-9) for r in rows)
+    assert counts == sorted(counts, reverse=True)
+    assert sorted(r.doc_id for r in corpus_pipeline.run(spark, SF).select("doc_id").collect()) == after
+
+
+def brute_contaminated(texts, items):
+    """Ids of texts with a window of 20 tokens (or the overlap, of 10 or more) that agrees in 0.8 with an item."""
+    tokens = lambda t: re.findall(r"[^\W_]+", (t or "").lower())
+    bad, items = set(), [tokens(r.text) for r in items]
+    for i, text in texts.items():
+        w = tokens(text)
+        places = defaultdict(list)
+        for k, item in enumerate(items):
+            at = defaultdict(list)
+            for q, x in enumerate(item):
+                at[x].append(q)
+            for p, x in enumerate(w):
+                for q in at.get(x, ()):
+                    places[k, p - q].append(p)
+        for (k, shift), ps in places.items():
+            lo, hi = max(0, shift), min(len(w), len(items[k]) + shift)
+            n = min(20, hi - lo)
+            if n >= 10 and any(sum(s <= p < s + n for p in ps) >= math.ceil(0.8 * n) for s in range(lo, hi - n + 1)):
+                bad.add(i)
+    return bad
+
+
+def test_pipeline_with_nulls_repeats_and_empty_tables(spark, tmp_path):
+    words = [f"w{j}" for j in range(200)]
+    good = lambda k: " ".join(words[(k * 7 + j * (k % 11 + 1)) % 200] for j in range(60))
+    rows = [(i, good(i), "en", "a" if i % 3 else "b", 5) for i in range(30)]
+    rows += [(i, "$$$ !!! " * 40, "en", "a", 5) for i in range(100, 130)]
+    rows += [(1, good(1), "en", "a", 5), (1, good(1), "fr", "a", 5), (None, good(2), None, None, None), (None, good(77), None, None, None), (None, good(77), None, None, None), (40, None, None, "a", None), (41, "", "en", "a", 0), (42, None, None, None, None)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame(rows, schema).repartition(3).write.parquet(f"{tmp_path}/t/documents.parquet")
+    spark.createDataFrame([(i, int(i < 30), 0) for i in [*range(30), *range(100, 130)]], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/t/labels.parquet")
+    spark.createDataFrame([(1, good(5)), (2, None), (3, "")], "item_id long, text string").write.parquet(f"{tmp_path}/t/benchmark.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/t/documents.parquet")
+    for name, step in corpus_pipeline.STAGES[:-1]:
+        with released(keep="kept"):
+            docs = stage(step(spark, docs, f"{tmp_path}/t"), "kept")
+        if name == "exact_dedup":
+            got = Counter((r.doc_id, r.text) for r in docs.collect())
+            assert all(n == 1 for n in got.values()) and len({t or "" for _, t in got}) == len(got) and (None, good(77)) in got
+    left = Counter((r.doc_id, r.text) for r in docs.collect())
+    assert {t for _, t in left if t} == {good(i) for i in [*range(30), 77]} - {good(5), good(27)} and max(left.values()) == 1  # 27 overlaps with 5
+    assert {r.doc_id for r in corpus_pipeline.run(spark, f"{tmp_path}/t").collect()} <= {i for i, _ in left}
+    for t in ("documents", "labels", "benchmark"):
+        spark.read.parquet(f"{tmp_path}/t/{t}.parquet").limit(0).write.parquet(f"{tmp_path}/none/{t}.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
 
 
-@pytest.mark.parametrize("name", ["op2_mix_sources", "op4_exact_dedup", "op9_warc"])
+@pytest.mark.parametrize("name", list(queries.ORACLES))
 def test_sql(spark, name):
     import duckdb
 
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "benchmark"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     df = queries.QUERIES[name](spark, SF)
     want = con.sql(queries.ORACLES[name])
