@@ -15,31 +15,46 @@ from sparkscrub.llm.exact_dedup import drop_exact_duplicates
 from sparkscrub.llm.mixing import taken_documents
 from sparkscrub.llm.near_dedup import drop_near_duplicates
 from sparkscrub.llm.quality import keep_quality
-from sparkscrub.llm.staging import stage
+from sparkscrub.llm.staging import released, stage
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that the quality classifier rejects."""
+    """Drop documents that the quality classifier rejects.
+
+    Null texts count as empty ones; equal texts go or stay together; an empty table stays empty.
+    """
     return keep_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document of the smallest id of each group of equal texts."""
+    """Keep one row of each group of equal texts, of the smallest id; null ids come last.
+
+    Of repeated rows one stays; null and empty texts are one group; an empty table stays empty.
+    """
     return drop_exact_duplicates(docs, keep="min")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each near-duplicate group: shingles of five words, similarity 0.8 or more."""
+    """Keep one row of each near-duplicate group: shingles of five words, similarity 0.8 or more.
+
+    Texts without words are in no group and stay; rows without ids are judged by their texts; an empty table stays empty.
+    """
     return drop_near_duplicates(docs, words=5, percent=80)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that hold passages of the benchmark."""
+    """Drop documents that hold passages of the benchmark.
+
+    Texts without words stay, rows without ids are judged by their texts; without items nothing goes.
+    """
     return drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Mix sources to target weights: documents taken, with size, source_size, target and taken."""
+    """Mix sources to target weights: documents taken, with size, source_size, target and taken.
+
+    A null source is a source; texts without words are not taken; an empty table stays empty.
+    """
     return taken_documents(docs)
 
 
@@ -56,8 +71,9 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages to ``documents``, with a written table between each two."""
+    """Apply the stages to ``documents``, with a written table between each two; what a stage staged goes when it is written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, step in STAGES[:-1]:
-        docs = stage(step(spark, docs, sf_dir), f"pipeline-{name}")
+        with released(keep=f"pipeline-{name}"):
+            docs = stage(step(spark, docs, sf_dir), f"pipeline-{name}")
     return STAGES[-1][1](spark, docs, sf_dir)
