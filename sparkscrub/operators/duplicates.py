@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,10 +13,13 @@ from pyspark.sql import types as T
 
 from sparkscrub.functions.missing import FLOATING, col, is_missing, known
 from sparkscrub.operators.base import BaseTransformer, table
-from sparkscrub.plans.order import ROW, with_row_id
+from sparkscrub.plans.order import ROW, numbered, with_row_id
+from sparkscrub.plans.scratch import written
 
-#: Rows of one block that fuzzy matching, which is quadratic, accepts.
-MAX_BLOCK_ROWS = 20_000
+#: Different rows of a block that are compared with each other, or with as many others, in one task.
+PIECE_ROWS = 1000
+#: Classes of characters that are counted to bound a similarity from above.
+CLASSES = 64
 
 
 @dataclass
@@ -38,6 +42,72 @@ def row_similarity(a: tuple, b: tuple) -> float:
     return sum(map(string_similarity, a, b)) / len(a) if a else 0.0
 
 
+def _counts(cells: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
+    """Per row and column, how often each class of characters occurs, and the length (-1: null)."""
+    k = len(cells[0]) if cells else 0
+    counts, sizes = np.zeros((len(cells), k, CLASSES), np.int32), np.full((len(cells), k), -1)
+    for i, row in enumerate(cells):
+        for j, v in enumerate(row):
+            if v is not None:
+                codes = np.frombuffer(v.lower().encode("utf-32-le", "surrogatepass"), np.uint32) % CLASSES
+                counts[i, j], sizes[i, j] = np.bincount(codes, minlength=CLASSES), len(codes)
+    return counts, sizes
+
+
+def _similar(a: list[tuple], b: list[tuple], threshold: float, earlier) -> list[tuple[int, int, float]]:
+    """(i, j, similarity) of all pairs of rows with ``earlier(i)[j]`` whose similarity reaches ``threshold``.
+
+    A ratio is at most twice the characters in common, whatever their order, over all characters; only pairs that
+    this bound lets through are compared in full.
+    """
+    (ca, sa), (cb, sb), out = _counts(a), _counts(b), []
+    for i in range(len(a)):
+        both = np.minimum(ca[i], cb).sum(2)
+        total = np.maximum(sa[i], 0) + np.maximum(sb, 0)
+        bound = np.where(total > 0, 2 * both / np.maximum(total, 1), 1.0) * ((sa[i] >= 0) & (sb >= 0))
+        for j in np.flatnonzero((bound.mean(1) >= threshold - 1e-9) & earlier(i)).tolist():
+            if (s := row_similarity(a[i], b[j])) >= threshold:
+                out.append((i, j, s))
+    return out
+
+
+def _cells(group: pd.DataFrame, k: int) -> list[tuple]:
+    return list(zip(*[[None if pd.isna(v) else v for v in group[f"m{i}"]] for i in range(k)], strict=True)) if k else [()] * len(group)
+
+
+def _compared(k: int, threshold: float):
+    """Edges (a, b, score) from the earlier to the later of similar rows of one or two pieces of a block."""
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        left, right = group[group["piece"] == group["x"]], group[group["piece"] == group["y"]]
+        pos, other = left["pos"].to_numpy(), right["pos"].to_numpy()
+        a, b = _cells(left, k), _cells(right, k)
+        same = len(group) and group["x"].iloc[0] == group["y"].iloc[0]
+        out = [(pos[i], other[j], s) for i, j, s in _similar(a, b, threshold, lambda i: other > pos[i])]
+        if not same:
+            out += [(other[j], pos[i], s) for j, i, s in _similar(b, a, threshold, lambda j: pos > other[j])]
+        return pd.DataFrame(out, columns=["a", "b", "score"]).astype({"a": "int64", "b": "int64", "score": "float64"})
+
+    return run
+
+
+def _seeds(edges: DataFrame) -> DataFrame:
+    """Rows (node) that gather others when rows are taken in order and each that is not yet gathered gathers the later ones it has edges to.
+
+    In rounds: what has no earlier open neighbour gathers, and what it has edges to is gathered.
+    """
+    open_ = written(edges.select("a", "b"), "fuzzy-open")
+    seeds = None
+    while not open_.isEmpty():
+        new = written(open_.select(F.col("a").alias("node")).distinct().join(open_.select(F.col("b").alias("node")), "node", "left_anti"), "fuzzy-seeds")
+        seeds = new if seeds is None else seeds.unionByName(new)
+        gathered = open_.join(new, open_["a"] == new["node"], "left_semi").select(F.col("b").alias("node")).distinct()
+        done = written(gathered.unionByName(new), "fuzzy-done")
+        left = open_.join(done, open_["a"] == done["node"], "left_anti")
+        open_ = written(left.join(done, left["b"] == done["node"], "left_anti"), "fuzzy-open")
+    return seeds if seeds is not None else edges.select(F.col("a").alias("node")).limit(0)
+
+
 class DuplicateHandler(BaseTransformer):
     """Find duplicate groups, then keep one row of each.
 
@@ -59,58 +129,78 @@ class DuplicateHandler(BaseTransformer):
     def find_exact(self, df: DataFrame, subset: list[str] | None = None) -> DataFrame:
         """Groups of rows with equal keys (nulls are equal): the keys, group_id in key order, and size.
 
-        Nothing is computed until the result is used; ``transform`` does not need it.
+        Groups are found and numbered at once, without a task that sees them all; ``transform`` finds its own.
         """
         self._keys, self._fuzzy, self._method = list(subset or df.columns), None, "exact"
         groups = df.groupBy(*self._key_columns(df)).agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-        from pyspark.sql import Window
+        return numbered(groups, [col(k).asc_nulls_last() for k in self._keys], "group_id")
 
-        return groups.withColumn("group_id", F.row_number().over(Window.orderBy(*[col(k).asc_nulls_last() for k in self._keys])) - 1)
+    def exact_members(self, df: DataFrame, subset: list[str] | None = None) -> DataFrame:
+        """The rows of each group that ``find_exact`` finds: (group_id, row_id, score, match_type) and the columns of ``df``.
+
+        ``row_id`` is the ordinal of a row as read; all scores are 1.
+        """
+        groups = self.find_exact(df, subset).drop("size")
+        groups = groups.select(*[col(k).alias(f"__k{i}") for i, k in enumerate(self._keys)], "group_id")
+        rows = written(with_row_id(df), "rows")
+        keys = self._key_columns(rows)
+        on = F.lit(True)
+        for i, c in enumerate(keys):
+            on = on & c.eqNullSafe(F.col(f"__k{i}"))
+        names = [col(c) for c in df.columns if c != ROW]
+        return rows.join(groups, on).select("group_id", F.col(ROW).alias("row_id"), F.lit(1.0).alias("score"), F.lit("exact").alias("match_type"), *names)
 
     def _key_columns(self, df: DataFrame) -> list[Column]:
         return [known(k, df.schema[k].dataType).alias(k) if isinstance(df.schema[k].dataType, FLOATING) else col(k) for k in self._keys or []]
 
-    def find_fuzzy(self, df: DataFrame, match_columns: list[str], threshold: float = 0.85, blocking_column: str | None = None, max_block_rows: int = MAX_BLOCK_ROWS) -> DataFrame:
+    def find_fuzzy(self, df: DataFrame, match_columns: list[str], threshold: float = 0.85, blocking_column: str | None = None, piece_rows: int = PIECE_ROWS) -> DataFrame:
         """Greedy groups within blocks: (group_id, row_id, score, match_type).
 
         Rows of a block are taken in order; each that is not yet matched gathers the later ones, not
-        yet matched, whose mean similarity to it reaches ``threshold``. Comparing all pairs of a block
-        is what the operator is; a block over ``max_block_rows`` fails rather than run for days.
+        yet matched, whose mean similarity to it reaches ``threshold``. Rows with equal cells are one for
+        that. A block of any size is compared in pieces of ``piece_rows`` different rows, each with each: the work
+        grows with the square of a block's different rows, the memory of a task does not. Who gathers whom is
+        then settled in rounds over the similar pairs. Rows are written with their ordinals first, so that results
+        belong to the rows they were found for.
         """
         self._keys, self._method = None, "fuzzy"
+        self._asked = {"match_columns": list(match_columns), "threshold": threshold, "blocking_column": blocking_column, "piece_rows": piece_rows}
         names = [c for c in match_columns if c in df.columns]
-        base = with_row_id(df)
-        self._ids = base
+        self._found_in, k = df, len(names)
+        self._ids = base = written(with_row_id(df), "rows")
         block = col(blocking_column).cast("string") if blocking_column in df.columns else F.lit("")
-        rows = base.select(block.alias("block"), F.col(ROW).alias("row_id"), *[col(c).cast("string").alias(f"m{i}") for i, c in enumerate(names)], *([self._order(base)[1].alias("o")] if self.order_by else []))
-
-        def greedy(group: pd.DataFrame) -> pd.DataFrame:
-            if len(group) > max_block_rows:
-                raise ValueError(f"a block has {len(group)} rows; choose a finer blocking column")
-            group = group.sort_values("o", key=lambda s: s.map(lambda v: tuple(v.values()) if isinstance(v, dict) else tuple(v))) if "o" in group else group.sort_values("row_id")
-            ids = group["row_id"].tolist()
-            cells = list(zip(*[[None if pd.isna(v) else v for v in group[f"m{i}"]] for i in range(len(names))], strict=True)) or [()] * len(ids)
-            done, out = [False] * len(ids), []
-            for i in range(len(ids)):
-                if done[i]:
-                    continue
-                found = []
-                for j in range(i + 1, len(ids)):
-                    if not done[j] and (s := row_similarity(cells[i], cells[j])) >= threshold:
-                        found.append((ids[i], ids[j], s))
-                        done[j] = True
-                if found:
-                    done[i] = True
-                    out += [(ids[i], ids[i], 1.0), *found]
-            return pd.DataFrame(out, columns=["seed", "row_id", "score"]).astype({"seed": "int64", "row_id": "int64", "score": "float64"})
-
-        found = rows.groupBy("block").applyInPandas(greedy, "seed long, row_id long, score double")
-        self._fuzzy = found.select(F.col("seed").alias("group_id"), "row_id", "score", F.lit("fuzzy").alias("match_type"))
+        order = self._order(base)[1]
+        rows = base.select(block.alias("block"), F.col(ROW).alias("row_id"), *[col(c).cast("string").alias(f"m{i}") for i, c in enumerate(names)], order.alias("o"))
+        cells = ["block", *[f"m{i}" for i in range(k)]]
+        nodes = rows.groupBy(*cells).agg(F.min(F.struct("o", "row_id")).alias("first"), F.count(F.lit(1)).alias("n"))
+        nodes = numbered(nodes.select(*cells, "n", F.col("first.o").alias("o"), F.col("first.row_id").alias("first")), [F.col("o"), F.col("first")], "pos").drop("o")
+        nodes = written(nodes, "fuzzy-nodes")
+        sizes = nodes.groupBy(F.col("block").alias("__b")).agg(F.ceil(F.count(F.lit(1)) / piece_rows).cast("int").alias("pieces"))
+        dealt = nodes.join(sizes, F.col("block").eqNullSafe(F.col("__b"))).withColumn("piece", F.pmod(F.xxhash64("pos"), F.col("pieces")).cast("int"))
+        each = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
+        each = each.select("block", F.least("piece", "other").alias("x"), F.greatest("piece", "other").alias("y"), "piece", "pos", *cells[1:])
+        edges = written(each.groupBy("block", "x", "y").applyInPandas(_compared(k, threshold), "a long, b long, score double"), "fuzzy-edges")
+        seeds = written(_seeds(edges), "fuzzy-seeds")
+        # each that is gathered belongs to the first seed it has an edge to
+        taken = edges.join(seeds, edges["a"] == seeds["node"]).groupBy("b").agg(F.min(F.struct("a", "score")).alias("s"))
+        taken = taken.select(F.col("b").alias("pos"), F.col("s.a").alias("seed"), F.col("s.score").alias("score")).join(seeds.select(F.col("node").alias("pos")), "pos", "left_anti")
+        alike = sum((F.when(F.col(c).isNull(), 0.0).otherwise(1.0) for c in cells[1:]), F.lit(0.0)) / max(k, 1)
+        owned = nodes.withColumn("alike", alike).join(taken, "pos", "left").join(seeds.select(F.col("node").alias("pos"), F.lit(True).alias("gathers")), "pos", "left")
+        owned = owned.where("seed is not null or gathers").unionByName(owned.where(F.col("seed").isNull() & F.col("gathers").isNull() & (F.col("n") > 1) & (F.col("alike") >= threshold)))
+        firsts = nodes.select(F.col("pos").alias("__pos"), F.col("first").alias("group_id"))
+        owned = owned.join(firsts, F.coalesce("seed", "pos") == F.col("__pos")).select(*[F.col(c).alias(f"__{c}") for c in cells], "group_id", "first", "score", "alike")
+        on = F.lit(True)
+        for c in cells:
+            on = on & F.col(c).eqNullSafe(F.col(f"__{c}"))
+        score = F.when(F.col("row_id") == F.col("group_id"), 1.0).otherwise(F.coalesce("score", "alike"))
+        found = rows.join(owned, on).withColumn("score", score).where(F.col("score") >= threshold)
+        self._fuzzy = written(found.select("group_id", "row_id", "score", F.lit("fuzzy").alias("match_type")), "fuzzy-groups")
         return self._fuzzy
 
     def transform(self, df: DataFrame, survivorship: str = "most_complete") -> DataFrame:
         """One row of each group: ``first``, ``last``, ``most_complete`` or ``merge``; others count as ``first``.
 
+        After ``find_fuzzy`` another frame than the one it was given is searched anew, with the same options.
         Survivors are found by aggregates, which combine before the shuffle: a hot key is no hot task.
         """
         self._survivorship, self._before = survivorship, df
@@ -118,6 +208,8 @@ class DuplicateHandler(BaseTransformer):
             self._method, self._after = "none", df
             return df
         if self._fuzzy is not None:
+            if df is not self._found_in:
+                self.find_fuzzy(df, **self._asked)
             base = self._ids
             base = base.join(self._fuzzy.select(F.col("row_id").alias("__r"), F.col("group_id").alias("__g")), F.col(ROW) == F.col("__r"), "left")
             order = self._order(base.drop("__r", "__g"))[1] if self.order_by else F.col(ROW)

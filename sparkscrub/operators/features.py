@@ -57,8 +57,8 @@ class NumericalTransformer(FitTransformer):
 
     GRID, ROUNDS = 9, 5
 
-    def __init__(self, columns: list[str] | None = None, auto_transform: bool = True, scaling_method: str | None = "standard"):
-        self.columns, self.auto_transform, self.scaling_method = columns, auto_transform, scaling_method
+    def __init__(self, columns: list[str] | None = None, auto_transform: bool = True, scaling_method: str | None = "standard", approx: bool = False):
+        self.columns, self.auto_transform, self.scaling_method, self.approx = columns, auto_transform, scaling_method, approx
         self.model: dict[str, Fitted] = {}
 
     def _normality(self, c: Column) -> Column:
@@ -110,11 +110,10 @@ class NumericalTransformer(FitTransformer):
                     self.model[c] = os[min(known_scores)[1]]
         if self.scaling_method in SCALERS and names:
             y = {c: self.model[c].transformed(x[c]) for c in names}
-            make = {
-                "standard": lambda v: F.array(F.avg(v), F.stddev_pop(v)), "minmax": lambda v: F.array(F.min(v), F.max(v) - F.min(v)),
-                "robust": lambda v: quantiles(v, [0.5, 0.25, 0.75]),
-            }[self.scaling_method]
-            for c, v in collect_stats(df, {c: make(y[c]) for c in names}).items():
+            make = {"standard": lambda v: F.array(F.avg(v), F.stddev_pop(v)), "minmax": lambda v: F.array(F.min(v), F.max(v) - F.min(v))}
+            robust = self.scaling_method == "robust"
+            learnt = quantiles(df, {c: (y[c], [0.5, 0.25, 0.75]) for c in names}, self.approx) if robust else collect_stats(df, {c: make[self.scaling_method](y[c]) for c in names})
+            for c, v in learnt.items():
                 if v is None or v[0] is None:
                     continue
                 m = self.model[c]

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from sparkscrub.functions.missing import TEMPORAL, col, is_missing, is_numeric, known, numeric_columns
 from sparkscrub.operators.base import BaseTransformer, FitTransformer, percent, table
 from sparkscrub.plans.order import BUCKET, Ordered, ordered
-from sparkscrub.plans.stats import collect_stats, corrected_skew, missing_counts, mode_of, value
+from sparkscrub.plans.stats import collect_stats, corrected_skew, medians, missing_counts, modes, value
 
 CARRIED = ("interpolate", "ffill", "bfill")
 
@@ -95,15 +95,16 @@ class MissingValueHandler(FitTransformer):
     """Impute missing values with per-column strategies.
 
     Strategies: mean, median, mode, zero, unknown, interpolate, ffill, bfill, drop_rows, drop_column,
-    flag_missing. ``order_by`` and ``partition_by`` order rows for those that carry values.
+    flag_missing. ``order_by`` and ``partition_by`` order rows for those that carry values; ``approx`` takes
+    approximate medians.
     """
 
     def __init__(
         self, strategies: dict[str, str] | None = None, default_numeric: str = "median", default_categorical: str = "mode",
-        drop_threshold: float = 0.7, order_by: list[str] | None = None, partition_by: list[str] | None = None,
+        drop_threshold: float = 0.7, order_by: list[str] | None = None, partition_by: list[str] | None = None, approx: bool = False,
     ):
         self.strategies, self.default_numeric, self.default_categorical, self.drop_threshold = dict(strategies or {}), default_numeric, default_categorical, drop_threshold
-        self.order_by, self.partition_by = order_by, partition_by
+        self.order_by, self.partition_by, self.approx = order_by, partition_by, approx
         self.model: dict[str, tuple[str, Any]] | None = None
         self._report: list[MissingReport] = []
 
@@ -150,17 +151,15 @@ class MissingValueHandler(FitTransformer):
         return "interpolate" if isinstance(t, TEMPORAL) else self.default_categorical
 
     def fit(self, df: DataFrame) -> MissingValueHandler:
-        """Learn strategies and fill values of the columns that miss some: one job for counts, one for values."""
+        """Learn strategies and fill values of the columns that miss some: one job for counts, others for values."""
         counts = missing_counts(df)
         rows = counts.pop("")
         chosen = {c: self._pick(c, df.schema[c].dataType, n / rows) for c, n in counts.items() if n}
-        wants: dict[str, Column] = {}
-        for c, s in chosen.items():
-            if s in ("mean", "median") and is_numeric(df.schema[c].dataType):
-                wants[c] = F.avg(value(df, c)) if s == "mean" else F.median(value(df, c))
-            elif s == "mode":
-                wants[c] = F.mode(known(c, df.schema[c].dataType), True)
-        found = collect_stats(df, wants)
+        numbers = {s: {c: value(df, c) for c, x in chosen.items() if x == s and is_numeric(df.schema[c].dataType)} for s in ("mean", "median")}
+        found = collect_stats(df, {c: F.avg(v) for c, v in numbers["mean"].items()})
+        if numbers["median"]:
+            found |= medians(df, numbers["median"], self.approx)
+        found |= modes(df, {c: known(c, df.schema[c].dataType) for c, s in chosen.items() if s == "mode"})
         self.model = {}
         for c, s in chosen.items():
             fill = found.get(c)
@@ -265,4 +264,4 @@ class MissingIndicator(FitTransformer):
         return table([{"column": c, "indicator": f"{c}{self.suffix}"} for c in self.columns], ["column", "indicator"])
 
 
-__all__ = ["BaseTransformer", "MissingIndicator", "MissingReport", "MissingValueHandler", "add_missing_indicators", "carry", "drop_na", "fill_na", "mode_of", "numeric_columns"]
+__all__ = ["BaseTransformer", "MissingIndicator", "MissingReport", "MissingValueHandler", "add_missing_indicators", "carry", "drop_na", "fill_na", "numeric_columns"]

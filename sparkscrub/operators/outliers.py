@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from sparkscrub.functions.missing import col, is_numeric, known, numeric_columns
 from sparkscrub.operators.base import BaseTransformer, percent, table
-from sparkscrub.plans.stats import collect_stats, quantiles, value
+from sparkscrub.plans.stats import collect_stats, medians, quantiles, value
 
 METHODS = ("iqr", "zscore", "modified_zscore", "percentile")
 #: Fixed: makes the median absolute deviation comparable to a standard deviation.
@@ -47,15 +47,14 @@ class OutlierHandler(BaseTransformer):
         for c in names:
             v = value(df, c)
             wants[f"{c}/n"] = F.count(v)
-            if shares:
-                wants[f"{c}/q"] = quantiles(v, shares, self.approx)
-            else:
+            if not shares:
                 wants |= {f"{c}/m": F.avg(v), f"{c}/s": F.stddev_samp(v)}
         s = collect_stats(df, wants)
         names = [c for c in names if s[f"{c}/n"] >= 3]
+        if shares:
+            s |= {f"{c}/q": q for c, q in quantiles(df, {c: (value(df, c), shares) for c in names}, self.approx).items()}
         if method == "modified_zscore":
-            mad = {c: quantiles(F.abs(value(df, c) - F.lit(s[f"{c}/q"][0])), [0.5], self.approx) for c in names}
-            s |= {f"{c}/mad": q[0] for c, q in collect_stats(df, mad).items()}
+            s |= {f"{c}/mad": q for c, q in medians(df, {c: F.abs(value(df, c) - F.lit(s[f"{c}/q"][0])) for c in names}, self.approx).items()}
         self.bounds, self._flat, self._method, self._rows = {}, set(), method, []
         for c in names:
             if method == "iqr":
@@ -100,8 +99,8 @@ class OutlierHandler(BaseTransformer):
         if strategy == "flag":
             return df.withColumns({f"{c}_is_outlier": masks[c].cast("int") for c in names})
         if strategy in ("impute_mean", "impute_median"):
-            stat = F.avg if strategy == "impute_mean" else F.median
-            fill = collect_stats(df, {c: stat(F.when(~masks[c], value(df, c))) for c in names})
+            inner = {c: F.when(~masks[c], value(df, c)) for c in names}
+            fill = collect_stats(df, {c: F.avg(v) for c, v in inner.items()}) if strategy == "impute_mean" else medians(df, inner, self.approx)
             return df.withColumns({c: F.when(masks[c], F.lit(fill[c])).otherwise(col(c).cast("double")) for c in names})
         return df
 

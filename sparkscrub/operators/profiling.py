@@ -37,12 +37,13 @@ def dataset_overview(df: DataFrame, deep: bool = True, approx: bool = False) ->
 
 
 def numeric_summary(df: DataFrame, approx: bool = False) -> dict[str, dict[str, float]]:
-    """count, mean, std, min, quartiles and max of every numeric column, from one aggregation."""
+    """count, mean, std, min, quartiles and max of every numeric column."""
     wants = {}
     for c in numeric_columns(df):
         v = value(df, c)
-        wants |= {f"{c}/c": F.count(v), f"{c}/a": F.avg(v), f"{c}/s": F.stddev_samp(v), f"{c}/l": F.min(v), f"{c}/q": quantiles(v, [0.25, 0.5, 0.75], approx), f"{c}/h": F.max(v)}
+        wants |= {f"{c}/c": F.count(v), f"{c}/a": F.avg(v), f"{c}/s": F.stddev_samp(v), f"{c}/l": F.min(v), f"{c}/h": F.max(v)}
     s = collect_stats(df, wants)
+    s |= {f"{c}/q": q for c, q in quantiles(df, {c: (value(df, c), [0.25, 0.5, 0.75]) for c in numeric_columns(df)}, approx).items()}
     return {c: dict(zip(DESCRIBED, [s[f"{c}/c"], s[f"{c}/a"], s[f"{c}/s"], s[f"{c}/l"], *(s[f"{c}/q"] or [None] * 3), s[f"{c}/h"]], strict=True)) for c in numeric_columns(df)}
 
 

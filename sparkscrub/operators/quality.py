@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sparkscrub.functions.missing import col, is_missing, is_numeric, known
-from sparkscrub.plans.stats import missing_counts
+from sparkscrub.plans.stats import collect_stats
 
 #: Fixed: parts of names of columns whose values should not be round.
 MONEY = ("income", "salary", "price", "amount", "revenue")
@@ -32,13 +32,13 @@ def duplicate_rows(df: DataFrame) -> int:
 
 
 def check_quality(df: DataFrame) -> dict[str, Any]:
-    """Rows, columns, missing values, duplicate rows and completeness: one aggregation and one grouping."""
+    """Rows, columns, missing values, duplicate rows and completeness: one aggregation and one grouping, two jobs."""
     if not isinstance(df, DataFrame):
         raise TypeError("check_quality takes a Spark DataFrame")
-    counts = missing_counts(df)
-    rows = counts.pop("")
+    wants = {("", c): F.count_if(is_missing(c, df.schema[c].dataType)) for c in df.columns}
+    s = collect_stats(df, wants | {"rows": F.count(F.lit(1)), "size": F.sum(sum((byte_size(f.name, f.dataType) for f in df.schema.fields), F.lit(0)))})
+    counts, rows, size = {c: s["", c] for c in df.columns}, s["rows"], s["size"] or 0
     cells, missing = rows * len(df.columns), sum(counts.values())
-    size = df.agg(F.sum(sum((byte_size(f.name, f.dataType) for f in df.schema.fields), F.lit(0)))).first()[0] or 0
     return {
         "total_rows": rows, "total_columns": len(df.columns), "missing_values": counts, "total_missing_values": missing,
         "duplicate_rows": duplicate_rows(df), "memory_usage_mb": round(size / 2**20, 2),

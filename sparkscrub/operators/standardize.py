@@ -17,6 +17,8 @@ from sparkscrub.plans.stats import collect_stats
 
 #: Non-null values that a column's type is told from, and those of them that are tried as dates.
 SAMPLE, DATE_SAMPLE = 50, 10
+#: First rows that all columns are told from in one job; columns with too few values there take a job of their own.
+HEAD = 500
 
 
 @dataclass
@@ -73,11 +75,14 @@ class DataStandardizer(BaseTransformer):
         self.kinds: dict[str, str] = {}
 
     def analyze(self, df: DataFrame) -> dict[str, str]:
-        """Kind of each text column that has one. Reads the first values of each column only."""
+        """Kind of each text column that has one, by its first values in the order of the rows; the first rows are read once for all."""
         names = [c for c in text_columns(df) if c not in self.skip]
         kinds, self._formats = {}, {}
-        for name in names:
-            values = [r[0] for r in df.select(col(name)).where(col(name).isNotNull()).limit(SAMPLE).collect()]
+        head = df.select(*[col(c) for c in names]).limit(HEAD).collect() if names else []
+        for i, name in enumerate(names):
+            values = [r[i] for r in head if r[i] is not None][:SAMPLE]
+            if len(values) < SAMPLE and len(head) == HEAD:
+                values = [r[0] for r in df.select(col(name)).where(col(name).isNotNull()).limit(SAMPLE).collect()]
             if kind := detect_kind(values):
                 kinds[name] = kind
                 if kind == "date" and self.date_inference == "first":

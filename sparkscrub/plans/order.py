@@ -15,10 +15,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sparkscrub.functions.missing import col
+from sparkscrub.plans.scratch import written
 
 BUCKET, ROW = "__bucket", "__row_id"
-#: Buckets that an explicit order is cut into, at most.
-BUCKETS = 256
+#: Buckets that an explicit order is cut into, at most: by quantiles of a number or time, else by a sample of whole keys.
+BUCKETS, KEY_BUCKETS, KEY_SAMPLE = 256, 64, 10_000
 
 
 def _sortable(t: T.DataType) -> bool:
@@ -46,12 +47,31 @@ def with_row_id(df: DataFrame) -> DataFrame:
     return df if ROW in df.columns else df.withColumn(ROW, F.monotonically_increasing_id())
 
 
+def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """``df`` with a column of row numbers from 0 in a total order; no task sees more than a range of the rows.
+
+    Ranges are sorted and written; the rows of the ranges before one are added from one row per range.
+    """
+    at = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    rows = df.repartitionByRange(*order).sortWithinPartitions(*order).select("*", F.spark_partition_id().alias("__range"), at.alias(name))
+    rows = written(rows, "numbered")
+    sizes = sorted(tuple(r) for r in rows.groupBy("__range").agg(F.count(F.lit(1))).collect())  # one row per range
+    starts, n = [], 0
+    for part, size in sizes:
+        starts.append((part, n))
+        n += size
+    ahead = df.sparkSession.createDataFrame(starts, "__range int, __ahead long")
+    return rows.join(F.broadcast(ahead), "__range").withColumn(name, F.col(name) + F.col("__ahead")).drop("__range", "__ahead")
+
+
 def ordered(df: DataFrame, order_by: list[str] | None = None, partition_by: list[str] | None = None) -> Ordered:
     """Deal rows into buckets. With ``partition_by`` each group is a bucket of its own."""
     if not order_by:
         out = with_row_id(df)
         keys: list[Column] = [F.col(ROW)]
         helpers = [BUCKET] + [ROW] * (ROW not in df.columns)
+        if not partition_by:
+            out = written(out, "rows")  # an ordinal holds only for one way in which the rows are made
     else:
         rest = [f.name for f in df.schema.fields if f.name not in order_by and _sortable(f.dataType)]
         out, keys, helpers = df, [col(c) for c in [*order_by, *rest]], [BUCKET]
@@ -60,21 +80,35 @@ def ordered(df: DataFrame, order_by: list[str] | None = None, partition_by: list
     elif not order_by:
         bucket = F.shiftright(F.col(ROW), 33)
     else:
-        bucket = _bucket_of(df, order_by[0])
+        bucket = _bucket_of(df, order_by[0], keys)
     return Ordered(out.withColumn(BUCKET, bucket), keys, helpers)
 
 
-def _bucket_of(df: DataFrame, name: str) -> Column:
-    """Index of the range of the first order column; bounds are some quantiles of it, at most BUCKETS."""
+def _bucket_of(df: DataFrame, name: str, keys: list[Column]) -> Column:
+    """Index of a row's range of the order.
+
+    Ranges are told by quantiles of the first order column where it is a number or time with enough different
+    values; else by a sample of whole keys, tie-breakers included, so that text and constant columns are dealt
+    out too. Only rows that are the same in all sortable columns cannot be told apart.
+    """
     t = df.schema[name].dataType
-    if not isinstance(t, (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType)):
+    if isinstance(t, (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType)):
+        as_number = _number(col(name), t)
+        shares = [i / BUCKETS for i in range(1, BUCKETS)]
+        bounds = sorted(set(df.agg(F.percentile_approx(as_number, shares, 1000)).first()[0] or []))
+        if len(bounds) >= BUCKETS // 2:
+            return F.coalesce(F.size(F.filter(F.lit(bounds), lambda b: b <= as_number)), F.lit(-1))
+    n = df.count()
+    if not n:
         return F.lit(0)
-    as_number = _number(col(name), t)
-    shares = [i / BUCKETS for i in range(1, BUCKETS)]
-    bounds = sorted(set(df.agg(F.percentile_approx(as_number, shares, 1000)).first()[0] or []))
-    if not bounds:
+    named = [k.alias(f"k{i}") for i, k in enumerate(keys)]
+    some = df.select(*named).sample(min(1.0, KEY_SAMPLE / n), 7)
+    rows = some.orderBy(*some.columns).collect()  # about KEY_SAMPLE rows
+    cuts = list(dict.fromkeys(tuple(rows[len(rows) * i // KEY_BUCKETS]) for i in range(1, KEY_BUCKETS))) if rows else []
+    if not cuts:
         return F.lit(0)
-    return F.coalesce(F.size(F.filter(F.lit(bounds), lambda b: b <= as_number)), F.lit(-1))
+    lits = F.array(*[F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(cut, some.schema.fields, strict=True)]) for cut in cuts])
+    return F.size(F.filter(lits, lambda b: b <= F.struct(*named)))
 
 
 def _number(c: Column, t: T.DataType) -> Column:

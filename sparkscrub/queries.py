@@ -507,7 +507,7 @@ add("pipeline_default", PIPE, _pipeline_default, f"+t AS (SELECT o_orderkey, {_t
 def _pipeline_full(df: DataFrame) -> DataFrame:
     cleaner = s.AutomatedCleaner(
         duplicate_handler=s.DuplicateHandler(order_by=["o_orderkey"]), duplicate_subset=["cust", "pri"], duplicate_survivorship="first", outlier_columns=["total"], outlier_threshold=0.2,
-        column_types={"pri": "code"}, scale_method="minmax", extract_date_features=["year", "month"], add_missing_indicators=True, persist=False,
+        column_types={"pri": "code"}, scale_method="minmax", extract_date_features=["year", "month"], add_missing_indicators=True,
         category_standardizer=s.CategoryStandardizer(mappings={"pri": {"1-URGENT": "TOP"}}),
     )
     out, _ = cleaner.clean(df)

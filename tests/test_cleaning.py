@@ -1,6 +1,7 @@
 """Exact behaviour of the cleaning operators on small frames."""
 
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,7 +9,10 @@ from pyspark.sql import functions as F
 import sparkscrub as s
 from sparkscrub import queries
 from sparkscrub.functions import text as fx
+from sparkscrub.operators.duplicates import row_similarity
 from sparkscrub.operators.missing import carry
+from sparkscrub.plans.order import numbered, ordered
+from sparkscrub.plans.stats import MAP_ROWS, modes, quantiles
 
 
 def values(df, c):
@@ -115,6 +119,74 @@ def test_fuzzy_duplicates(spark):
     assert sorted(values(h.transform(df, "first"), "n")) == [1, 3]
 
 
+def greedy(rows, k, threshold):
+    """Groups by the definition: (first row, row, score)."""
+    out, done = set(), set()
+    for i, a in enumerate(rows):
+        if i in done:
+            continue
+        found = [(j, s) for j in range(i + 1, len(rows)) if j not in done and rows[j][0] == a[0] and (s := row_similarity(a[1:], rows[j][1:])) >= threshold]
+        done |= {j for j, _ in found}
+        if found:
+            out |= {(i, i, 1.0)} | {(i, j, round(s, 9)) for j, s in found}
+    return out
+
+
+@pytest.mark.parametrize("piece", [3, 1000])
+def test_fuzzy_blocks_of_any_size(spark, piece):
+    """One block with most rows, copies, nulls in match columns, and chains of similar rows; in pieces and in one."""
+    rng = random.Random(piece)
+    names = ["anna berg", "anna bergh", "ana berg", "bernd kohl", "bernt kohl", "carla", None, "", "karla"]
+    rows = []
+    for i in range(90):
+        v = rng.choice(names)
+        if v and rng.random() < 0.5:
+            at = rng.randrange(len(v))
+            v = v[:at] + rng.choice("abcxyz") + v[at + 1 :]
+        rows.append(("hot" if i % 4 else rng.choice(["b", None]), v, rng.choice(["x1", "x2", None])))
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i long, b string, m string, w string").repartition(5)
+    h = s.DuplicateHandler(order_by=["i"])
+    got = h.find_fuzzy(df, ["m", "w"], 0.8, "b", piece_rows=piece)
+    ids = {r["__row_id"]: r.i for r in h._ids.collect()}
+    found = {(ids[r.group_id], ids[r.row_id], round(r.score, 9)) for r in got.collect()}
+    assert found == greedy(rows, 2, 0.8)
+    members = {j for g, j, _ in found if g != j}
+    assert sorted(values(h.transform(df, "first"), "i")) == [i for i in range(90) if i not in members]
+    other = df.where("i < 20")
+    assert sorted(values(h.transform(other, "first"), "i")) == [i for i in range(20) if i not in {j for g, j, _ in greedy(rows[:20], 2, 0.8) if g != j}]
+
+
+def test_exact_members(spark):
+    df = spark.createDataFrame([("a", 1), ("b", 2), ("a", 3), (None, 4), (None, 5), ("c", 6)], "k string, v long").coalesce(1)
+    got = s.DuplicateHandler().exact_members(df, ["k"]).orderBy("v")
+    assert [(r.group_id, r.row_id, r.score, r.v) for r in got.collect()] == [(0, 0, 1.0, 1), (0, 2, 1.0, 3), (1, 3, 1.0, 4), (1, 4, 1.0, 5)]
+
+
+@pytest.mark.parametrize("rows", [MAP_ROWS - 5, 3 * MAP_ROWS])
+def test_quantiles_of_many_rows(spark, rows):
+    df = spark.range(rows).select(F.col("id"), (F.pmod(F.xxhash64("id"), F.lit(1_000_003)) / 7.0).alias("x"), (F.col("id") % 3).cast("double").alias("few"), F.lit(4.0).alias("same"), F.lit(None).cast("double").alias("none"))
+    shares = [0.0, 0.01, 0.25, 0.5, 0.5000017, 0.99, 1.0]
+    names = ["x", "few", "same", "none"]
+    got = quantiles(df, {c: (F.col(c), shares) for c in names})
+    want = {c: df.agg(F.percentile(c, F.lit(shares))).first()[0] for c in names}
+    assert all(got[c] == pytest.approx(want[c], rel=1e-9) for c in names[:3]) and got["none"] is None
+    assert modes(df, {"few": F.col("few"), "none": F.col("none")}) == {"few": 0.0, "none": None}
+
+
+def test_order_by_text_and_constant_columns_is_dealt_out(spark):
+    df = spark.range(20_000).select(F.format_string("k%07d", F.col("id")).alias("t"), F.lit(1).alias("one"), F.when(F.col("id") % 7 == 0, F.col("id").cast("double")).alias("v"))
+    for order in (["t"], ["one", "t"]):
+        sizes = ordered(df, order).df.groupBy("__bucket").count().toPandas()["count"]
+        assert len(sizes) > 20 and sizes.max() < 2000
+        got = carry(df, "v", "ffill", order).agg(F.count_if(F.col("v") != F.floor(F.substring("t", 2, 9).cast("int") / 7) * 7)).first()[0]
+        assert got == 0
+
+
+def test_row_numbers(spark):
+    df = spark.range(1000).select((F.col("id") * 7 % 1000).alias("x")).repartition(6)
+    assert numbered(df, [F.col("x")], "i").where("x <> i").count() == 0
+
+
 def test_whole_texts_are_normalised(spark):
     import unicodedata
 

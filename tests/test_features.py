@@ -91,6 +91,31 @@ def test_csv_round_trip(spark, tmp_path):
             bad()
 
 
+def test_csv_cells_over_lines(spark, tmp_path):
+    path = tmp_path / "q.csv"
+    path.write_text('a,b\n1,"two\nlines"\n2,"say ""hi"", twice\n\nover"\n3,plain\n')
+    want = [(1, "two\nlines"), (2, 'say "hi", twice\n\nover'), (3, "plain")]
+    assert s.load_csv(str(path), spark=spark).collect() == want == s.load_csv(str(path), multi_line=True, spark=spark).collect()
+    assert sorted(spark.read.parquet(s.convert_to_parquet(str(path), str(tmp_path / "q.parquet"), spark=spark)).collect()) == want
+    assert sorted(map(tuple, spark.read.parquet(s.convert_to_parquet_optimized(str(path), str(tmp_path / "r.parquet"), spark=spark)).collect())) == want
+
+
+def test_csv_in_chunks(spark, tmp_path):
+    path = tmp_path / "c.csv"
+    path.write_text("a,b\n" + "".join(f"{i},x{i}\n" for i in range(1005)))
+    parts = [p.collect() for p in s.load_csv(str(path), chunksize=250, spark=spark)]
+    assert [len(p) for p in parts] == [250] * 4 + [5] and [r.a for p in parts for r in p] == list(range(1005))
+    assert s.load_csv_polars(str(path), spark=spark).count() == 1005
+
+
+def test_logging(caplog):
+    assert s.get_logger() is None
+    s.log(None, "not said")
+    with caplog.at_level("INFO"):
+        s.log(s.get_logger(enabled=True), "said")
+    assert [r.message for r in caplog.records] == ["said"]
+
+
 def test_cli(spark, tmp_path, capsys):
     path = tmp_path / "t.csv"
     path.write_text("a,b\n1,x\n2,y\n")
