@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 from difflib import SequenceMatcher
 
@@ -54,21 +55,23 @@ def _counts(cells: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
     return counts, sizes
 
 
-def _similar(a: list[tuple], b: list[tuple], threshold: float, earlier) -> list[tuple[int, int, float]]:
-    """(i, j, similarity) of all pairs of rows with ``earlier(i)[j]`` whose similarity reaches ``threshold``.
+def _similar(a: list[tuple], b: list[tuple], threshold: float, wanted) -> Iterator[tuple[int, int, float]]:
+    """(i, j, similarity) of the pairs of rows with ``wanted(i)[j]`` whose similarity reaches ``threshold``, by i; ``wanted`` is asked when i's turn comes.
 
     A ratio is at most twice the characters in common, whatever their order, over all characters; only pairs that
     this bound lets through are compared in full.
     """
-    (ca, sa), (cb, sb), out = _counts(a), _counts(b), []
+    if not a or not b:
+        return
+    (ca, sa), (cb, sb) = _counts(a), _counts(b)
     for i in range(len(a)):
-        both = np.minimum(ca[i], cb).sum(2)
-        total = np.maximum(sa[i], 0) + np.maximum(sb, 0)
-        bound = np.where(total > 0, 2 * both / np.maximum(total, 1), 1.0) * ((sa[i] >= 0) & (sb >= 0))
-        for j in np.flatnonzero((bound.mean(1) >= threshold - 1e-9) & earlier(i)).tolist():
+        some = np.flatnonzero(wanted(i))
+        both = np.minimum(ca[i], cb[some]).sum(2)
+        total = np.maximum(sa[i], 0) + np.maximum(sb[some], 0)
+        bound = np.where(total > 0, 2 * both / np.maximum(total, 1), 1.0) * ((sa[i] >= 0) & (sb[some] >= 0))
+        for j in some[bound.mean(1) >= threshold - 1e-9].tolist():
             if (s := row_similarity(a[i], b[j])) >= threshold:
-                out.append((i, j, s))
-    return out
+                yield i, j, s
 
 
 def _cells(group: pd.DataFrame, k: int) -> list[tuple]:
@@ -91,6 +94,36 @@ def _compared(k: int, threshold: float):
     return run
 
 
+def _greedy(k: int, threshold: float):
+    """(pos, seed, score) of what is gathered among the rows of a group, and of its seeds (themselves)."""
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("pos")
+        cells, pos = _cells(group, k), group["pos"].to_numpy()
+        seed, score, place = np.arange(len(cells)), np.ones(len(cells)), np.arange(len(cells))
+        # what is gathered gathers nothing
+        for i, j, s in _similar(cells, cells, threshold, lambda i: (place > i) & (seed == place) & (seed[i] == i)):
+            seed[j], score[j] = i, s
+        return pd.DataFrame({"pos": pos, "seed": pos[seed], "score": score}).astype({"pos": "int64", "seed": "int64", "score": "float64"})
+
+    return run
+
+
+def _gathered(k: int, threshold: float):
+    """(pos, seed, score) of the rows of a slice that one of the seeds gathers: the first that is similar."""
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        seeds, rest = group[group["is_seed"]].sort_values("pos"), group[~group["is_seed"]]
+        pos, other = seeds["pos"].to_numpy(), rest["pos"].to_numpy()
+        by, score = np.full(len(rest), -1), np.zeros(len(rest))
+        for i, j, s in _similar(_cells(seeds, k), _cells(rest, k), threshold, lambda i: by < 0):
+            by[j], score[j] = i, s
+        got = by >= 0
+        return pd.DataFrame({"pos": other[got], "seed": pos[by[got]], "score": score[got]}).astype({"pos": "int64", "seed": "int64", "score": "float64"})
+
+    return run
+
+
 def _seeds(edges: DataFrame) -> DataFrame:
     """Rows (node) that gather others when rows are taken in order and each that is not yet gathered gathers the later ones it has edges to.
 
@@ -158,9 +191,9 @@ class DuplicateHandler(BaseTransformer):
 
         Rows of a block are taken in order; each that is not yet matched gathers the later ones, not
         yet matched, whose mean similarity to it reaches ``threshold``. Rows with equal cells are one for
-        that. A block of any size is compared in pieces of ``piece_rows`` different rows, each with each: the work
-        grows with the square of a block's different rows, the memory of a task does not. Who gathers whom is
-        then settled in rounds over the similar pairs. Rows are written with their ordinals first, so that results
+        that. In a block of any size the first ``piece_rows`` different rows gather first; what families of similar
+        rows leave is compared in pieces, each with each, and who gathers whom is settled in rounds over the similar
+        pairs: the work grows with the square of a block's dissimilar rows, the memory of a task does not. Rows are written with their ordinals first, so that results
         belong to the rows they were found for.
         """
         self._keys, self._method = None, "fuzzy"
@@ -175,15 +208,12 @@ class DuplicateHandler(BaseTransformer):
         nodes = rows.groupBy(*cells).agg(F.min(F.struct("o", "row_id")).alias("first"), F.count(F.lit(1)).alias("n"))
         nodes = numbered(nodes.select(*cells, "n", F.col("first.o").alias("o"), F.col("first.row_id").alias("first")), [F.col("o"), F.col("first")], "pos").drop("o")
         nodes = written(nodes, "fuzzy-nodes")
-        sizes = nodes.groupBy(F.col("block").alias("__b")).agg(F.ceil(F.count(F.lit(1)) / piece_rows).cast("int").alias("pieces"))
-        dealt = nodes.join(sizes, F.col("block").eqNullSafe(F.col("__b"))).withColumn("piece", F.pmod(F.xxhash64("pos"), F.col("pieces")).cast("int"))
-        each = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
-        each = each.select("block", F.least("piece", "other").alias("x"), F.greatest("piece", "other").alias("y"), "piece", "pos", *cells[1:])
-        edges = written(each.groupBy("block", "x", "y").applyInPandas(_compared(k, threshold), "a long, b long, score double"), "fuzzy-edges")
-        seeds = written(_seeds(edges), "fuzzy-seeds")
-        # each that is gathered belongs to the first seed it has an edge to
-        taken = edges.join(seeds, edges["a"] == seeds["node"]).groupBy("b").agg(F.min(F.struct("a", "score")).alias("s"))
-        taken = taken.select(F.col("b").alias("pos"), F.col("s.a").alias("seed"), F.col("s.score").alias("score")).join(seeds.select(F.col("node").alias("pos")), "pos", "left_anti")
+        taken, rest = self._by_first(nodes, cells, threshold, piece_rows)
+        if rest is not None:
+            taken = taken.unionByName(self._by_pieces(rest, cells, threshold, piece_rows))
+        taken = written(taken, "fuzzy-taken")
+        seeds = taken.where("seed <> pos").select(F.col("seed").alias("node")).distinct()
+        taken = taken.where("seed <> pos")
         alike = sum((F.when(F.col(c).isNull(), 0.0).otherwise(1.0) for c in cells[1:]), F.lit(0.0)) / max(k, 1)
         owned = nodes.withColumn("alike", alike).join(taken, "pos", "left").join(seeds.select(F.col("node").alias("pos"), F.lit(True).alias("gathers")), "pos", "left")
         owned = owned.where("seed is not null or gathers").unionByName(owned.where(F.col("seed").isNull() & F.col("gathers").isNull() & (F.col("n") > 1) & (F.col("alike") >= threshold)))
@@ -197,6 +227,51 @@ class DuplicateHandler(BaseTransformer):
         self._fuzzy = written(found.select("group_id", "row_id", "score", F.lit("fuzzy").alias("match_type")), "fuzzy-groups")
         return self._fuzzy
 
+    @staticmethod
+    def _by_first(nodes: DataFrame, cells: list[str], threshold: float, piece_rows: int) -> tuple[DataFrame, DataFrame | None]:
+        """What the first rows of each block gather, (pos, seed, score), and the rows that are then left.
+
+        Again while that leaves less than half: families of similar rows go in a few passes over the block. A block
+        that fits into one piece is settled here as a whole.
+        """
+        k, out, left = len(cells) - 1, None, nodes.select("pos", *cells)
+        while True:
+            left = numbered(left, [F.col("block"), F.col("pos")], "at")
+            low = left.groupBy(F.col("block").alias("__b")).agg(F.min("at").alias("low"), F.count(F.lit(1)).alias("rows"))
+            left = written(left.join(low, F.col("block").eqNullSafe(F.col("__b"))).withColumn("first", F.col("at") - F.col("low") < piece_rows).drop("at", "low", "__b"), "fuzzy-left")
+            head = written(left.where("first").groupBy("block").applyInPandas(_greedy(k, threshold), "pos long, seed long, score double"), "fuzzy-head")
+            seeds = left.where("first").join(head.where("pos = seed").select("pos"), "pos", "left_semi")
+            slices = F.ceil(F.col("rows") / piece_rows).cast("int")
+            each = seeds.withColumn("slice", F.explode(F.sequence(F.lit(0), slices - 1))).withColumn("is_seed", F.lit(True))
+            later = left.where("not first").withColumn("slice", F.pmod(F.xxhash64("pos"), slices).cast("int")).withColumn("is_seed", F.lit(False))
+            both = later.unionByName(each).select("block", "slice", "pos", "is_seed", *cells[1:])
+            found = written(both.groupBy("block", "slice").applyInPandas(_gathered(k, threshold), "pos long, seed long, score double"), "fuzzy-found")
+            new = head.unionByName(found)
+            out = new if out is None else out.unionByName(new)
+            before = left.where("not first").count()
+            if not before:
+                return out, None
+            left = written(left.where("not first").join(found.select("pos"), "pos", "left_anti").select("pos", *cells), "fuzzy-left")
+            after = left.count()
+            if not after:
+                return out, None
+            if 2 * after > before:
+                return out, left
+
+    @staticmethod
+    def _by_pieces(nodes: DataFrame, cells: list[str], threshold: float, piece_rows: int) -> DataFrame:
+        """(pos, seed, score) of rows that are gathered, by comparing all pieces of a block with each other."""
+        sizes = nodes.groupBy(F.col("block").alias("__b")).agg(F.ceil(F.count(F.lit(1)) / piece_rows).cast("int").alias("pieces"))
+        dealt = nodes.join(sizes, F.col("block").eqNullSafe(F.col("__b"))).withColumn("piece", F.pmod(F.xxhash64("pos"), F.col("pieces")).cast("int"))
+        each = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
+        each = each.select("block", F.least("piece", "other").alias("x"), F.greatest("piece", "other").alias("y"), "piece", "pos", *cells[1:])
+        edges = written(each.groupBy("block", "x", "y").applyInPandas(_compared(len(cells) - 1, threshold), "a long, b long, score double"), "fuzzy-edges")
+        seeds = _seeds(edges)
+        # each that is gathered belongs to the first seed it has an edge to
+        taken = edges.join(seeds, edges["a"] == seeds["node"]).groupBy("b").agg(F.min(F.struct("a", "score")).alias("s"))
+        taken = taken.select(F.col("b").alias("pos"), F.col("s.a").alias("seed"), F.col("s.score").alias("score"))
+        return taken.join(seeds.select(F.col("node").alias("pos")), "pos", "left_anti")
+
     def transform(self, df: DataFrame, survivorship: str = "most_complete") -> DataFrame:
         """One row of each group: ``first``, ``last``, ``most_complete`` or ``merge``; others count as ``first``.
 

@@ -235,6 +235,19 @@ SUPP = View("supplier", "s_suppkey", "s_name", "s_nationkey")
 add("dedup_fuzzy_groups", SUPP, _fuzzy, None)
 add("dedup_fuzzy_first", SUPP, _fuzzy_keep, None)
 
+
+def _fuzzy_one_block(df: DataFrame) -> DataFrame:
+    """All customers in one block: the name is compared across the whole table."""
+    h = s.DuplicateHandler(order_by=["c_custkey"])
+    groups = h.find_fuzzy(df, ["c_name", "c_mktsegment"], 0.95)
+    ids = h._ids.select("__row_id", "c_custkey")
+    seeds = ids.select(F.col("__row_id").alias("g"), F.col("c_custkey").alias("seed"))
+    return groups.join(ids, groups["row_id"] == ids["__row_id"]).join(seeds, groups["group_id"] == seeds["g"]).select("seed", "c_custkey", F.round("score", 4).alias("score"))
+
+
+add("dedup_fuzzy_one_block", View("customer", "c_custkey", "c_name", "c_mktsegment"), _fuzzy_one_block, None)
+add("dedup_members", DUP, lambda df: s.DuplicateHandler().exact_members(df, ["k", "p"]).select(F.col("group_id").cast("long").alias("group_id"), "o_orderkey", "score", "match_type"), "+g AS (SELECT k, p, row_number() OVER (ORDER BY k NULLS LAST, p NULLS LAST) - 1 AS group_id FROM d GROUP BY k, p HAVING count(*) > 1) SELECT group_id, o_orderkey, 1.0::DOUBLE AS score, 'exact' AS match_type FROM d JOIN g ON d.k IS NOT DISTINCT FROM g.k AND d.p IS NOT DISTINCT FROM g.p")
+
 # text ----------------------------------------------------------------------------------------------
 
 CUST = View("customer", "c_custkey", "CASE WHEN c_custkey % 9 = 0 THEN NULL ELSE concat('  ', upper(c_name), '   o''connor ', c_mktsegment, ' ') END AS t")
@@ -483,6 +496,32 @@ def _convert_optimized(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumns({"o_orderkey": F.col("o_orderkey").cast("long"), "price": F.round(F.col("price").cast("double"), 0)})
 
 
+LINES = View("orders", "o_orderkey", "concat(o_orderpriority, chr(10), 'said \"', o_orderstatus, '\", twice', chr(10), chr(10), 'end') AS note")
+
+
+def _csv_lines(spark: SparkSession, sf_dir: str) -> str:
+    out = scratch(spark, "csv") + ".csv"
+    LINES.df(spark, sf_dir).write.option("header", True).option("escape", '"').csv(out)
+    return out
+
+
+def _load_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of every chunk of a file read in chunks of 4,000 rows."""
+    parts = list(io.load_csv(_csv(spark, sf_dir), chunksize=4000, spark=spark))
+    out = None
+    for i, part in enumerate(parts):
+        one = part.agg(F.lit(i).cast("long").alias("chunk"), F.count(F.lit(1)).alias("n"), F.count("price").alias("prices"))
+        out = one if out is None else out.unionByName(one)
+    return out.groupBy(F.when(F.col("n") == 4000, "whole").otherwise("rest").alias("kind")).agg(F.count(F.lit(1)).alias("chunks"), F.sum("n").alias("n"))
+
+
+QUERIES |= {
+    "load_csv_cells_over_lines": lambda spark, sf_dir: io.load_csv(_csv_lines(spark, sf_dir), spark=spark),
+    "convert_csv_cells_over_lines": lambda spark, sf_dir: spark.read.parquet(io.convert_to_parquet(_csv_lines(spark, sf_dir), scratch(spark, "parquet"), spark=spark)),
+    "load_csv_chunks": _load_chunks,
+}
+ORACLES |= dict.fromkeys(("load_csv_cells_over_lines", "convert_csv_cells_over_lines"), LINES.sql)
+ORACLES["load_csv_chunks"] = "SELECT 'whole' AS kind, count(*) // 4000 AS chunks, count(*) // 4000 * 4000 AS n FROM orders HAVING count(*) >= 4000 UNION ALL SELECT 'rest', 1, count(*) % 4000 FROM orders HAVING count(*) % 4000 > 0"
 QUERIES |= {"load_csv": _load_csv, "load_csv_cached": _load_cached, "convert_to_parquet": _convert, "convert_to_parquet_optimized": _convert_optimized, "load_parquet": lambda spark, sf_dir: s.load_dataset(f"{sf_dir}/region.parquet", spark=spark)}
 ORACLES |= {k: _csv_sql for k in ("load_csv", "load_csv_cached", "convert_to_parquet")}
 ORACLES |= {"load_parquet": "SELECT * FROM region", "convert_to_parquet_optimized": _csv_sql.replace("o_totalprice END", "round(o_totalprice, 0) END")}

@@ -156,6 +156,14 @@ def test_fuzzy_blocks_of_any_size(spark, piece):
     assert sorted(values(h.transform(other, "first"), "i")) == [i for i in range(20) if i not in {j for g, j, _ in greedy(rows[:20], 2, 0.8) if g != j}]
 
 
+def test_fuzzy_over_a_whole_table(spark):
+    sf = "/root/testdata/sf0.001"
+    rows = [("", r.c_name, r.c_mktsegment) for r in spark.read.parquet(f"{sf}/customer.parquet").orderBy("c_custkey").collect()]
+    keys = [r.c_custkey for r in spark.read.parquet(f"{sf}/customer.parquet").orderBy("c_custkey").collect()]
+    got = {(r.seed, r.c_custkey, r.score) for r in queries.QUERIES["dedup_fuzzy_one_block"](spark, sf).collect()}
+    assert got == {(keys[a], keys[b], round(x, 4)) for a, b, x in greedy(rows, 2, 0.95)} and got
+
+
 def test_exact_members(spark):
     df = spark.createDataFrame([("a", 1), ("b", 2), ("a", 3), (None, 4), (None, 5), ("c", 6)], "k string, v long").coalesce(1)
     got = s.DuplicateHandler().exact_members(df, ["k"]).orderBy("v")
