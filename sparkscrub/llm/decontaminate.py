@@ -10,18 +10,21 @@ Where document and item have fewer than MIN_TOKENS tokens in common places, one
 the other, without substitutions; under SHORT tokens, which turn up in clean text by chance, both have to
 be the same. Those are hashed whole.
 
-Training positions are first tested against a table of the test hashes' slots, whose size follows the
-benchmark within bounds, so that only likely hits leave the scan, each with the few tokens around it; what
-the table lets through in vain is dropped by a broadcast of the test hashes while these are few enough, and
-by the join itself beyond. No document is shuffled.
+Training positions are first tested against tables of slots, whose sizes follow the benchmark within bounds: one of
+the tokens that all masks start with, then one of the hashes. So only likely hits leave the scan, each with the few
+tokens around it. Test hashes are broadcast while they are few, with the tokens around them or, if these are too
+many, alone, to drop what the tables let through in vain; beyond that the join does it. No document is shuffled.
 """
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkscrub.llm.exact_dedup import text_digest
+from sparkscrub.llm.spans import let
 from sparkscrub.llm.staging import drop_rows, stage
 
 #: Fixed masks of weight 5; ``1`` marks the positions that are hashed. Of 10 to 20 tokens of which 0.8 agree, at least
@@ -29,8 +32,8 @@ from sparkscrub.llm.staging import drop_rows, stage
 MASKS = ("11111", "111011", "11001011")
 #: The table has 2**19 to 2**23 slots: SLOTS_A_HASH for each test hash, within these bounds (64 kB to 1 MB).
 SLOTS_A_HASH, MIN_SLOT_BITS, MAX_SLOT_BITS = 32, 19, 23
-#: Test hashes that are broadcast at most (8 bytes each).
-BROADCAST_HASHES = 1_000_000
+#: Test hashes that are broadcast at most: with the tokens around them (some 400 bytes each), and alone (8 bytes).
+BROADCAST_SEEDS, BROADCAST_HASHES = 50_000, 1_000_000
 WINDOW, MIN_SHARE = 20, 0.8
 #: Tokens that a window with substitutions has at least, and those that a passage has that counts inside of another text.
 MIN_TOKENS, SHORT = 10, 5
@@ -55,15 +58,20 @@ def _whole(th: Column) -> Column:
     return F.xxhash64(F.lit(-1), th)
 
 
-def _slots(h: Column, bits: int) -> Column:
+def _lead(masks: tuple[str, ...]) -> list[int]:
+    """Positions that are marked in the part that all masks start with."""
+    return [i for i, bit in enumerate(os.path.commonprefix(list(masks))) if bit == "1"]
+
+
+def _slots(h: Column, bits: int) -> tuple[Column, Column]:
     low = F.lit((1 << bits) - 1)
-    return F.array(h.bitwiseAND(low).cast("int"), F.shiftrightunsigned(h, bits).bitwiseAND(low).cast("int"))
+    return h.bitwiseAND(low).cast("int"), F.shiftrightunsigned(h, bits).bitwiseAND(low).cast("int")
 
 
-def _slot_table(hashes: DataFrame, n: int) -> tuple[Column, int]:
-    """Literal array of 64-bit words, a bit for each slot that test hashes take, and the number of bits of a slot."""
+def _slot_table(hashes: DataFrame, n: int, each: int) -> tuple[Column, int]:
+    """Literal array of 64-bit words, a bit for each of the ``each`` slots of a hash, and the number of bits of a slot."""
     bits = min(MAX_SLOT_BITS, max(MIN_SLOT_BITS, (n * SLOTS_A_HASH - 1).bit_length()))
-    slot = hashes.select(F.explode(_slots(F.col("h"), bits)).alias("s"))
+    slot = hashes.select(F.explode(F.array(*_slots(F.col("h"), bits)[:each])).alias("s"))
     taken = slot.groupBy(F.shiftright("s", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, s & 63)")).alias("bits"))
     words = [0] * ((1 << bits) // 64)
     for r in taken.collect():  # at most 2**17 rows
@@ -71,8 +79,8 @@ def _slot_table(hashes: DataFrame, n: int) -> tuple[Column, int]:
     return F.split(F.lit(",".join(map(str, words))), ",").cast("array<bigint>"), bits
 
 
-def _taken(table: Column, slots: Column) -> Column:
-    return F.forall(slots, lambda s: F.getbit(table[F.shiftright(s, 6)], s.bitwiseAND(F.lit(63))) == 1)
+def _taken(table: Column, slot: Column) -> Column:
+    return F.getbit(table[F.shiftright(slot, 6)], slot.bitwiseAND(F.lit(63))) == 1
 
 
 def _item_hashes(items: DataFrame, masks: tuple[str, ...], window: int) -> DataFrame:
@@ -97,22 +105,35 @@ def _overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str,
     seeds = stage(_item_hashes(items, masks, window), "test-hashes")
     hashes = stage(seeds.select("h").distinct(), "test-keys")
     n_hashes = hashes.count()
-    table, bits = _slot_table(hashes, n_hashes)
+    table, bits = _slot_table(hashes, n_hashes, 2)
+    lead = _lead(masks)
+    start = lambda th, i: F.xxhash64(*[th[i + j] for j in lead])
+    if lead:
+        starts = items.select(F.explode(F.transform(_positions(F.size("ith"), max(lead) + 1), lambda i: start(F.col("ith"), i))).alias("h")).distinct()
+        starts = stage(starts, "test-starts")
+        lead_table, lead_bits = _slot_table(starts, starts.count(), 1)
     rows = docs.select(F.col(id_col).alias("id"), text_digest(F.col(text_col)).alias("digest"), F.transform(tokens(F.col(text_col)), lambda t: F.xxhash64(t)).alias("th"))
     near = lambda h, i, span: F.struct(
         h.alias("h"), i.alias("pos"), F.lit(span).alias("span"), F.greatest(i - window, F.lit(0)).alias("from"),
         F.slice("th", F.greatest(i - window, F.lit(0)) + 1, F.lit(2 * window + span)).alias("part"), F.size("th").alias("dsize"),
     )
 
-    def hits(mask: str, k: int) -> Column:
+    def hits(places: Column, mask: str, k: int) -> Column:
+        slots = lambda h: _slots(h, bits)
         # an array of one, so that the hash is made once
-        likely = lambda i: F.exists(F.array(_seed(F.col("th"), i, mask, k)), lambda h: _taken(table, _slots(h, bits)))
-        return F.transform(F.filter(_positions(F.size("th"), len(mask)), likely), lambda i: near(_seed(F.col("th"), i, mask, k), i, len(mask)))
+        likely = lambda i: F.exists(F.array(_seed(F.col("th"), i, mask, k)), lambda h: _taken(table, slots(h)[0]) & _taken(table, slots(h)[1]))
+        inside = lambda i: (i <= F.size("th") - len(mask)) & likely(i)
+        return F.transform(F.filter(places, inside), lambda i: near(_seed(F.col("th"), i, mask, k), i, len(mask)))
 
+    places = _positions(F.size("th"), min(map(len, masks)))
+    if lead:
+        places = F.filter(places, lambda i: _taken(lead_table, _slots(start(F.col("th"), i), lead_bits)[0]))
     short = F.when((F.size("th") > 0) & (F.size("th") < SHORT), F.array(near(_whole(F.col("th")), F.lit(0), 1)))
-    every = F.concat(*[hits(m, k) for k, m in enumerate(masks)])
+    every = let(places, lambda found: F.concat(*[hits(found, m, k) for k, m in enumerate(masks)]))
     found = rows.select("id", "digest", F.explode(F.coalesce(short, every)).alias("x")).select("id", "digest", "x.*")
-    if n_hashes <= BROADCAST_HASHES:
+    if n_hashes <= BROADCAST_SEEDS and seeds.count() <= BROADCAST_SEEDS:
+        seeds = F.broadcast(seeds)
+    elif n_hashes <= BROADCAST_HASHES:
         found = found.join(F.broadcast(hashes), "h", "left_semi")
     pairs = found.join(seeds, "h")
     # item position of a document position p is p + ipos - pos
