@@ -40,7 +40,7 @@ from sparkscrub.llm.words import U64, hash_words, mix, runs_of, starts_of
 
 GRAM = 16
 #: Words that a reference shard should have, the words that one automaton may have at most (about), and windows of one piece.
-SHARD_WORDS, BLOCK_WORDS, RUN = 40_000, 160_000, 4096
+SHARD_WORDS, BLOCK_WORDS, RUN = 60_000, 160_000, 4096
 #: The bitmap has 64 bits for each repeated anchor, within these bounds (at most 128 MB).
 MIN_BITS, MAX_BITS = 1 << 20, 1 << 30
 
@@ -178,31 +178,35 @@ def _segment_anchors(window: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             _, docs = _docs(batch, 1)
-            found = [np.unique(window_anchors(d, window, gram)[0]) for d in docs]
-            index = np.repeat(np.arange(len(docs)), [len(f) for f in found])
-            anchors = np.concatenate(found).view(np.int64) if found else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(index)), batch.column(2).take(pa.array(index)), pa.array(anchors, pa.int64())], ["seg", "size", "anchor"])
+            found = [np.unique(window_anchors(d, window, gram)[0], return_counts=True) for d in docs]
+            index = np.repeat(np.arange(len(docs)), [len(f[0]) for f in found])
+            anchors = np.concatenate([f[0] for f in found]).view(np.int64) if found else np.zeros(0, np.int64)
+            words = np.concatenate([f[1] for f in found]) + window - 1 if found else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(index)), batch.column(2).take(pa.array(index)), pa.array(anchors, pa.int64()), pa.array(words, pa.int64())], ["seg", "size", "anchor", "words"])
 
     return run
 
 
-PIECE_SCHEMA = "shard long, piece binary, size long, times long, seg binary, at long, text binary"
+PIECE_SCHEMA = "shard long, piece binary, size long, times long, seg binary, at array<int>, text binary"
 
 
-def _cut(of: np.ndarray, words: list[bytes], window: int, times: int, seg: bytes, at: int, run: int) -> list[tuple]:
-    """Pieces of a sequence of words: runs of windows of one shard, of at most ``run`` windows."""
+def _cut(of: np.ndarray, words: list[bytes], window: int, times: int, seg: bytes, at: list[int], run: int) -> list[tuple]:
+    """Different pieces of a sequence of words, each with its places: runs of windows of one shard, of at most ``run`` windows.
+
+    The sequence occurs ``times`` times, each time at all of ``at``.
+    """
     edges = np.concatenate([[0], np.flatnonzero(np.diff(of)) + 1, [len(of)]])
     starts = np.unique(np.concatenate([np.arange(a, b, run) for a, b in zip(edges[:-1], edges[1:], strict=True)]))
-    out = []
+    found: dict[tuple[int, bytes], list] = {}
     for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(of)], strict=True):
         part = words[a : b + window - 1]
-        out.append((int(of[a]), _digest(part), len(part), times, seg, at + a, b" ".join(part)))
-    return out
+        found.setdefault((int(of[a]), _digest(part)), [part, []])[1].append(a)
+    return [(shard, piece, len(part), times * len(at) * len(places), seg, [x + y for x in at for y in places], b" ".join(part)) for (shard, piece), (part, places) in found.items()]
 
 
 def _piece_batch(rows: list[tuple]) -> pa.RecordBatch:
     cols = list(zip(*rows, strict=True)) or [[]] * 7
-    types = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.binary()]
+    types = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int32()), pa.binary()]
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["shard", "piece", "size", "times", "seg", "at", "text"])
 
 
@@ -217,7 +221,7 @@ def _pieces(window: int, gram: int, most: int):
                 anchors, shards = np.array(anchors, np.int64).view(U64), np.array(shards, np.int64)
                 order = np.argsort(anchors)
                 of = shards[order][np.searchsorted(anchors[order], window_anchors(words, window, gram)[0])]
-                rows += _cut(of, text.split(), window, times, seg, 0, most)
+                rows += _cut(of, text.split(), window, times, seg, [0], most)
             yield _piece_batch(rows)
 
     return run
@@ -235,7 +239,7 @@ def _recut(window: int, most: int):
             rows: list[tuple] = []
             for shard, parts, seg, at, times, text, words in zip(*(batch.column(i).to_pylist() for i in range(5)), texts, docs, strict=True):
                 of = mix(runs_of(words, window) % U64(parts) + U64(shard + 1) * U64(0x9E3779B97F4A7C15)).view(np.int64)
-                rows += _cut(of, text.split(), window, times, seg, at, most)
+                rows += _cut(of, text.split(), window, times // len(at), seg, at, most)
             yield _piece_batch(rows)
 
     return run
@@ -350,10 +354,11 @@ def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             keep = np.ones(n, bool)
             for part in parts or []:
                 for found in part["found"]:
-                    start = part["start"] + found["at"]
                     spans = np.array([0, found["size"]]) if found["spans"] is None else np.frombuffer(found["spans"], np.int32)
-                    for a, b in spans.reshape(-1, 2):
-                        keep[start + a : start + b] = False
+                    for at in found["at"]:
+                        start = part["start"] + at
+                        for a, b in spans.reshape(-1, 2):
+                            keep[start + a : start + b] = False
             shas.append(_joined_sha(text, keep))
             removed.append(int(n - keep.sum()))
         yield pa.RecordBatch.from_arrays([ids, counts, pa.array(removed, pa.int64()), pa.array(shas, pa.string())], ["id", "n_words", "n_removed", "kept_sha256"])
@@ -384,12 +389,11 @@ def repeated_passages(docs: DataFrame, window: int = 35, id_col: str = "doc_id",
     segs = each.groupBy("seg").agg(F.first("size").alias("size"), F.first("text").alias("text"), F.sum("times").alias("times"))
     segs = stage(segs, "passage-segments")
 
-    by_anchor = stage(segs.select("seg", "text", "size").mapInArrow(_segment_anchors(window, gram), "seg binary, size long, anchor long"), "passage-by-anchor")
+    by_anchor = stage(segs.select("seg", "text", "size").mapInArrow(_segment_anchors(window, gram), "seg binary, size long, anchor long, words long"), "passage-by-anchor")
     longest = F.shiftleft(F.lit(1 << 22) - F.least("size", F.lit((1 << 22) - 1)), 40) + F.pmod(F.xxhash64("seg"), F.lit(1 << 40))
-    owners = by_anchor.groupBy("anchor").agg(F.min(longest).alias("owner"), F.count(F.lit(1)).alias("n"))
+    owners = by_anchor.groupBy("anchor").agg(F.min(longest).alias("owner"), F.sum("words").alias("n"))
     owners = stage(owners, "passage-owners")
-    # an anchor stands for about half of window - gram words
-    words = F.sum("n") * max(1, (window - gram) // 2)
+    words = F.sum("n")
     shards = max(1, -(-(owners.agg(words).first()[0] or 0) // shard_words))
     parts = owners.groupBy("owner").agg(F.ceil(words / shard_words).cast("long").alias("parts"))
     homes = owners.join(parts, "owner").select("anchor", F.pmod(F.xxhash64("owner", F.pmod(F.xxhash64("anchor"), "parts")), F.lit(shards)).alias("shard"))
