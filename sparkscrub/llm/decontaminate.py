@@ -118,7 +118,7 @@ def _overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str,
         F.slice("th", F.greatest(i - window, F.lit(0)) + 1, F.lit(2 * window + span)).alias("part"), F.size("th").alias("dsize"),
     )
 
-    def hits(places: Column, mask: str, k: int) -> Column:
+    def hits(table: Column, places: Column, mask: str, k: int) -> Column:
         slots = lambda h: _slots(h, bits)
         # an array of one, so that the hash is made once
         likely = lambda i: F.exists(F.array(_seed(F.col("th"), i, mask, k)), lambda h: _taken(table, slots(h)[0]) & _taken(table, slots(h)[1]))
@@ -127,9 +127,11 @@ def _overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str,
 
     places = _positions(F.size("th"), min(map(len, masks)))
     if lead:
-        places = F.filter(places, lambda i: _taken(lead_table, _slots(start(F.col("th"), i), lead_bits)[0]))
+        every_place = places
+        places = let(lead_table, lambda t: F.filter(every_place, lambda i: _taken(t, _slots(start(F.col("th"), i), lead_bits)[0])))
     short = F.when((F.size("th") > 0) & (F.size("th") < SHORT), F.array(near(_whole(F.col("th")), F.lit(0), 1)))
-    every = let(places, lambda found: F.concat(*[hits(found, m, k) for k, m in enumerate(masks)]))
+    # each table is in the plan once
+    every = let(table, lambda t: let(places, lambda found: F.concat(*[hits(t, found, m, k) for k, m in enumerate(masks)])))
     found = rows.select("id", "digest", F.explode(F.coalesce(short, every)).alias("x")).select("id", "digest", "x.*")
     if n_hashes <= BROADCAST_SEEDS and seeds.count() <= BROADCAST_SEEDS:
         seeds = F.broadcast(seeds)

@@ -142,9 +142,21 @@ class ByteNet:
         return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
     def gradients(self, texts: list[bytes], y: np.ndarray, weight: np.ndarray) -> dict[str, np.ndarray]:
+        """Gradients of the mean weighted loss, summed over groups of texts of bounded size."""
+        total, out, start, held = weight.sum(), {}, 0, 0
+        for i, t in enumerate(texts):
+            held += len(t) // BLOCK + 2
+            if held >= GROUP_BLOCKS or i + 1 == len(texts):
+                part = slice(start, i + 1)
+                for k, g in self._gradients(texts[part], y[part], weight[part] / total).items():
+                    out[k] = out[k] + g if k in out else g
+                start, held = i + 1, 0
+        return out
+
+    def _gradients(self, texts: list[bytes], y: np.ndarray, weight: np.ndarray) -> dict[str, np.ndarray]:
         logit, (codes, layer1, x, n, of, first, two, h, top) = self.forward(texts)
         p = self.params
-        g = ((1 / (1 + np.exp(-logit)) - y) * weight / weight.sum()).astype(np.float32)
+        g = ((1 / (1 + np.exp(-logit)) - y) * weight).astype(np.float32)
         out = {"w": top.T @ g, "o": np.array([g.sum()], np.float32)}
         dtop = g[:, None] * p["w"]
         best = (h == top[of]) & (h > 0)
