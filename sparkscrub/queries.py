@@ -6,17 +6,21 @@ The tables are clean, so queries make dirt with expressions that Spark and the S
 from __future__ import annotations
 
 from collections.abc import Callable
+from contextlib import redirect_stdout
+from io import StringIO
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import sparkscrub as s
+from sparkscrub.cli import optimize_main, profile_main
 from sparkscrub.functions import text as fx
 from sparkscrub.functions.missing import numeric_columns
-from sparkscrub.operators.features import boxcox
+from sparkscrub.operators.features import Fitted, boxcox, yeojohnson
+from sparkscrub.operators.base import table
 from sparkscrub.operators.missing import carry
-from sparkscrub.operators.schema import narrow_types
+from sparkscrub.operators.schema import detect_engine, narrow_types
 from sparkscrub.plans.scratch import scratch
 from sparkscrub.sources import io
 
@@ -246,6 +250,31 @@ def _fuzzy_one_block(df: DataFrame) -> DataFrame:
 
 
 add("dedup_fuzzy_one_block", View("customer", "c_custkey", "c_name", "c_mktsegment"), _fuzzy_one_block, None)
+STEM = "abcdefghijklmnopqrstuvwxyz"
+STEMS = View("customer", "c_custkey", "c_nationkey", f"substring('{STEM}', 1, 5 + CAST(c_custkey * 7 % 20 AS INT)) AS t", f"CASE WHEN c_custkey % 11 = 0 THEN NULL ELSE substring('{STEM}', 1, 3 + CAST(c_custkey % 6 AS INT)) END AS u")
+
+
+def _fuzzy_stems(df: DataFrame) -> DataFrame:
+    """Two columns are compared within nations; of two beginnings of one word the ratio follows from their lengths."""
+    h = s.DuplicateHandler(order_by=["c_custkey"])
+    groups = h.find_fuzzy(df, ["t", "u"], 0.8, "c_nationkey")
+    ids = h._ids.select("__row_id", "c_custkey")
+    seeds = ids.select(F.col("__row_id").alias("g"), F.col("c_custkey").alias("seed"))
+    return groups.join(ids, groups["row_id"] == ids["__row_id"]).join(seeds, groups["group_id"] == seeds["g"]).select("seed", "c_custkey", F.round("score", 4).alias("score"))
+
+
+_ratio = "coalesce(2.0::DOUBLE * least(len(x.{c}), len(o.{c})) / (len(x.{c}) + len(o.{c})), 0)"
+add("dedup_fuzzy_stems", STEMS, _fuzzy_stems, None)
+ORACLES["dedup_fuzzy_stems"] = f"""WITH RECURSIVE d AS ({STEMS.sql}), o AS (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS i FROM d),
+    w AS (
+        SELECT c_nationkey, i, c_custkey, c_custkey AS seed, 1.0::DOUBLE AS score, [{{'k': c_custkey, 't': t, 'u': u}}] AS seeds FROM o WHERE i = 1
+        UNION ALL
+        SELECT c_nationkey, i, c_custkey, coalesce(f.k, c_custkey), coalesce(f.score, 1.0), CASE WHEN f IS NULL THEN list_append(seeds, {{'k': c_custkey, 't': t, 'u': u}}) ELSE seeds END
+        FROM (
+            SELECT o.*, w.seeds, list_filter(list_transform(w.seeds, lambda x: {{'k': x.k, 'score': ({_ratio.format(c='t')} + {_ratio.format(c='u')}) / 2}}), lambda y: y.score >= 0.8)[1] AS f
+            FROM w JOIN o ON o.c_nationkey = w.c_nationkey AND o.i = w.i + 1)),
+    g AS (SELECT *, count(*) OVER (PARTITION BY seed) AS n FROM w)
+    SELECT seed, c_custkey, round(score, 4) AS score FROM g WHERE n > 1"""
 add("dedup_members", DUP, lambda df: s.DuplicateHandler().exact_members(df, ["k", "p"]).select(F.col("group_id").cast("long").alias("group_id"), "o_orderkey", "score", "match_type"), "+g AS (SELECT k, p, row_number() OVER (ORDER BY k NULLS LAST, p NULLS LAST) - 1 AS group_id FROM d GROUP BY k, p HAVING count(*) > 1) SELECT group_id, o_orderkey, 1.0::DOUBLE AS score, 'exact' AS match_type FROM d JOIN g ON d.k IS NOT DISTINCT FROM g.k AND d.p IS NOT DISTINCT FROM g.p")
 
 # text ----------------------------------------------------------------------------------------------
@@ -287,7 +316,13 @@ def _html_sql(x: str) -> str:
 add("text_html", HTML, _text(fx.remove_html), f"SELECT page_id, {_html_sql('t')} AS t FROM d")
 add("text_accents", WHOLE, _text(fx.remove_accents), "SELECT k, strip_accents(t) AS t FROM d")
 add("text_accents_exact", WHOLE, _text(fx.remove_accents_exact), "SELECT k, strip_accents(t) AS t FROM d")
-add("text_normalize_unicode", WHOLE, _text(fx.normalize_unicode), None)
+#: Fixed: composed letters of Latin-1, by the code point of the mark that follows the letter when they are taken apart.
+COMPOSED = {768: "ÀÈÌÒÙàèìòù", 769: "ÁÉÍÓÚÝáéíóúý", 770: "ÂÊÎÔÛâêîôû", 771: "ÃÑÕãñõ", 776: "ÄËÏÖÜäëïöüÿ", 778: "Åå", 807: "Çç"}
+_apart = "t"
+for _mark, _letters in COMPOSED.items():
+    for _c in _letters:
+        _apart = f"replace({_apart}, '{_c}', strip_accents('{_c}') || chr({_mark}))"
+add("text_normalize_unicode", WHOLE, _text(fx.normalize_unicode), f"SELECT k, {_apart} AS t FROM d")
 add("text_name", CUST, lambda df: s.TextCleaner().clean_names(df, "t"), f"SELECT c_custkey, strip_accents({_title_sql(_strip_sql('t'))}) AS t FROM d")
 ADDR = View("customer", "c_custkey", "concat(CAST(c_custkey AS STRING), ' Main  ', CASE WHEN c_custkey % 4 = 0 THEN 'St.' WHEN c_custkey % 4 = 1 THEN 'AVE' WHEN c_custkey % 4 = 2 THEN 'Blvd' ELSE 'Rd, Apt' END, ' ', c_mktsegment) AS t")
 _addr = f"lower({_strip_sql('t')})"
@@ -378,6 +413,21 @@ def _chosen(df: DataFrame) -> DataFrame:
 
 add("features_auto_choice", SKEW, _chosen, None)
 add("features_auto_transform", SKEW, lambda df: s.NumericalTransformer(columns=["x"], auto_transform=True, scaling_method="standard").fit_transform(df), None)
+
+
+def _normality(df: DataFrame) -> DataFrame:
+    """Distance from normal of two columns as they are, of their logarithms and of one power transform."""
+    fitted = {"none": Fitted(), "log": Fitted("log", 1.0), "yeojohnson": Fitted("yeojohnson", 0.0, 0.5)}
+    t = s.NumericalTransformer()
+    got = df.agg(*[F.round(t._normality(m.transformed(F.col(c))), 4).alias(f"{c}/{k}") for c in ("x", "y") for k, m in fitted.items()])
+    return got.select(F.explode(F.map_from_arrays(F.array(*[F.lit(c) for c in got.columns]), F.array(*[F.col(f"`{c}`") for c in got.columns])))).select(F.col("key").alias("transformed"), F.col("value").alias("score"))
+
+
+_forms = {"none": "{c}", "log": "ln({c} + 1)", "yeojohnson": "(pow({c} + 1, 0.5) - 1) / 0.5"}
+add("features_normality", SKEW, _normality, " UNION ALL ".join(f"SELECT '{c}/{k}' AS transformed, round(abs(skewness({v.format(c=c)})) + abs(kurtosis({v.format(c=c)})) / 3, 4) AS score FROM d" for c in ("x", "y") for k, v in _forms.items()))
+add("features_log", SKEW, lambda df: df.select("l_orderkey", "l_linenumber", F.round(Fitted("log", 1.0).transformed(F.col("y")), 6).alias("y")), f"SELECT {_ids}, round(ln(y + 1), 6) AS y FROM d")
+SIGNED = View("customer", "c_custkey", "c_acctbal / 1000 AS x")
+add("features_yeojohnson", SIGNED, lambda df: df.select("c_custkey", F.round(yeojohnson(F.col("x"), 0.5), 6).alias("x")), "SELECT c_custkey, round(CASE WHEN x >= 0 THEN (pow(x + 1, 0.5) - 1) / 0.5 ELSE -(pow(1 - x, 1.5) - 1) / 1.5 END, 6) AS x FROM d")
 add("features_boxcox", SKEW, lambda df: df.select("l_orderkey", "l_linenumber", F.round(boxcox(F.col("x"), 0.5), 4).alias("x")), f"SELECT {_ids}, round((pow(x, 0.5) - 1) / 0.5, 4) AS x FROM d")
 DATES = View("orders", "o_orderkey", "CASE WHEN o_orderkey % 13 = 0 THEN NULL ELSE o_orderdate END AS od")
 _month, _dow = "month(od)", "(isodow(od) - 1)"
@@ -526,6 +576,109 @@ QUERIES |= {"load_csv": _load_csv, "load_csv_cached": _load_cached, "convert_to_
 ORACLES |= {k: _csv_sql for k in ("load_csv", "load_csv_cached", "convert_to_parquet")}
 ORACLES |= {"load_parquet": "SELECT * FROM region", "convert_to_parquet_optimized": _csv_sql.replace("o_totalprice END", "round(o_totalprice, 0) END")}
 
+
+
+def _load_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """CSV and Parquet with hints; one does not fit its column, which stays as it is."""
+    out = scratch(spark, "typed")
+    hints = {"datetime64[ns]": ["day"], "float32": ["price"], "int64": ["word"], "category": ["p"], "bool": ["absent"]}
+    df = TYPED.df(spark, sf_dir)
+    df.write.option("header", True).csv(f"{out}.csv")
+    df.withColumns({c: F.col(c).cast("string") for c in ("day", "price")}).write.parquet(f"{out}.parquet")
+    both = [s.load_dataset(f"{out}{kind}", type_map=hints, spark=spark).withColumn("kind", F.lit(kind)) for kind in (".csv", ".parquet")]
+    one = both[0].unionByName(both[1])
+    return one.select("kind", F.col("o_orderkey").cast("long").alias("o_orderkey"), F.date_format("day", "yyyy-MM-dd").alias("day"), F.round(F.col("price").cast("double"), 1).alias("price"), "p", "word")
+
+
+TYPED = View("orders", "o_orderkey", "CAST(CAST(o_orderdate AS DATE) AS STRING) AS day", "o_orderkey % 64 / 2 AS price", "o_orderpriority AS p", "concat('w', CAST(o_orderkey AS STRING)) AS word")
+QUERIES["load_types"] = _load_types
+ORACLES["load_types"] = f"WITH d AS ({TYPED.sql}) SELECT kind, o_orderkey, day, round(CAST(price AS DOUBLE), 1) AS price, p, word FROM d, (VALUES ('.csv'), ('.parquet')) AS k(kind)"
+NATION = View("nation", "n_nationkey", "n_name", "n_regionkey")
+
+
+def _nation_csv(spark: SparkSession, sf_dir: str) -> str:
+    out = scratch(spark, "nation") + ".csv"
+    NATION.df(spark, sf_dir).coalesce(1).write.option("header", True).csv(out)
+    return out
+
+
+def _load_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A small table loaded in each collected format, by either file kind and any engine name."""
+    got = []
+    for kind, path in (("csv", _nation_csv(spark, sf_dir)), ("parquet", f"{sf_dir}/nation.parquet")):
+        for fmt in ("relation", "arrow", "pandas"):
+            data = s.load_dataset(path, engine="polars", spark=spark, fetch_format=fmt)
+            data = data.toPandas() if fmt == "relation" else data.to_pandas() if fmt == "arrow" else data
+            got.append((kind, fmt, len(data), int(data["n_nationkey"].sum()), str(data["n_name"].min())))
+    return rows(spark, got, "kind string, format string, n long, keys long, first_name string")
+
+
+def _estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mb = s.estimate_csv_memory(_nation_csv(spark, sf_dir), spark=spark)
+    return rows(spark, [(round(mb * 2**20),)], "bytes long")
+
+
+def _cli_convert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The command line converts with and without narrower types."""
+    path, out = _csv(spark, sf_dir), scratch(spark, "cli")
+    with redirect_stdout(StringIO()):
+        optimize_main([path, "--to-parquet", f"{out}-plain"])
+        optimize_main([path, "--to-parquet", f"{out}-narrow", "--optimize", "--compression", "zstd"])
+    both = [spark.read.parquet(f"{out}-{k}").select(F.lit(k).alias("kind"), F.col("o_orderkey").cast("long").alias("o_orderkey"), F.round(F.col("price").cast("double"), 0).alias("price"), "p", "even") for k in ("plain", "narrow")]
+    return both[0].unionByName(both[1])
+
+
+def _cli_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first line that the profiling command prints, and how many columns it lists."""
+    said = StringIO()
+    with redirect_stdout(said):
+        profile_main([f"{sf_dir}/orders.parquet"])
+    first, _, *columns = said.getvalue().strip().splitlines()
+    return rows(spark, [(int(first.split()[0]), int(first.split()[2]), len(columns))], "n long, columns long, listed long")
+
+
+def _date_report(df: DataFrame) -> DataFrame:
+    d = s.DateFeatureExtractor(["year", "is_weekend", "cyclical", "season"])
+    d.transform(df)
+    return rows(df.sparkSession, [tuple(r) for r in d.get_report()[["source", "feature", "type"]].itertuples(index=False)], "source string, feature string, type string")
+
+
+def _optimize_report(df: DataFrame) -> DataFrame:
+    types = {"uint8": ["l_linenumber"], "float32": ["l_quantity"], "int8": ["signed"]}
+    with redirect_stdout(StringIO()):
+        a, b, saved = s.optimization_report(df, s.apply_optimization(df, types), types)
+    return rows(df.sparkSession, [(detect_engine(df), round(a * 2**20), round(b * 2**20), round(saved, 4))], "engine string, bytes_before long, bytes_after long, saved_pct double")
+
+
+class Centred(s.FitTransformer):
+    """A step of a user's own: a column less its mean."""
+
+    def __init__(self, column: str):
+        self.column, self.mean = column, 0.0
+
+    def fit(self, df: DataFrame) -> Centred:
+        self.mean = df.agg(F.avg(self.column)).first()[0] or 0.0
+        return self
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        return df.withColumn(self.column, F.col(self.column) - F.lit(self.mean))
+
+    def get_report(self) -> Any:
+        return table([{"column": self.column, "mean": self.mean}], ["column", "mean"])
+
+
+QUERIES |= {"load_formats": _load_formats, "estimate_csv_memory": _estimate, "cli_optimize": _cli_convert, "cli_profile": _cli_profile}
+ORACLES |= {
+    "load_formats": "SELECT kind, format, count(*) AS n, CAST(sum(n_nationkey) AS BIGINT) AS keys, min(n_name) AS first_name FROM nation, (VALUES ('csv'), ('parquet')) AS k(kind), (VALUES ('relation'), ('arrow'), ('pandas')) AS f(format) GROUP BY kind, format",
+    "estimate_csv_memory": "SELECT CAST(len('n_nationkey,n_name,n_regionkey') + 1 + sum(len(CAST(n_nationkey AS VARCHAR)) + strlen(n_name) + len(CAST(n_regionkey AS VARCHAR)) + 3) AS BIGINT) AS bytes FROM nation",
+    "cli_optimize": f"WITH d AS ({_csv_sql}) SELECT kind, o_orderkey, round(price, 0) AS price, p, even FROM d, (VALUES ('plain'), ('narrow')) AS k(kind)",
+    "cli_profile": "SELECT count(*) AS n, (SELECT count(*) FROM (DESCRIBE orders)) AS columns, (SELECT count(*) FROM (DESCRIBE orders)) AS listed FROM orders",
+}
+add("date_report", DATES, _date_report, "SELECT 'od' AS source, 'od_' || f AS feature, t AS type FROM (VALUES ('year', 'basic'), ('is_weekend', 'flag'), ('month_sin', 'cyclical'), ('month_cos', 'cyclical'), ('weekday_sin', 'cyclical'), ('weekday_cos', 'cyclical'), ('season', 'season')) AS v(f, t)")
+SIZED = View("lineitem", "CAST(l_orderkey AS BIGINT) AS l_orderkey", "CAST(l_linenumber AS INT) AS l_linenumber", "CAST(l_linenumber - 4 AS INT) AS signed", "CAST(l_quantity AS DOUBLE) AS l_quantity", "l_returnflag")
+add("optimize_report", SIZED, _optimize_report, "SELECT 'spark' AS engine, CAST(sum(32 + strlen(l_returnflag)) AS BIGINT) AS bytes_before, CAST(sum(23 + strlen(l_returnflag)) AS BIGINT) AS bytes_after, round((1 - sum(23 + strlen(l_returnflag))::DOUBLE / sum(32 + strlen(l_returnflag))) * 100, 4) AS saved_pct FROM d")
+add("custom_transformer", NUM, lambda df: rounded(Centred("x").fit_transform(df), "x", to=2), "SELECT c_custkey, round(x - (SELECT avg(x) FROM d), 2) AS x FROM d")
+
 # pipeline ------------------------------------------------------------------------------------------
 
 PIPE = View(
