@@ -1,7 +1,9 @@
 """Features, schema, sources, streams and command lines."""
 
 import math
+import pathlib
 import random
+from urllib.parse import urlparse
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,6 +11,7 @@ from pyspark.sql import functions as F
 import sparkscrub as s
 from sparkscrub import cli
 from sparkscrub.operators.schema import smallest_int_label
+from sparkscrub.plans.scratch import drop_scratch, scratch, written
 from sparkscrub.streaming import clean_stream
 
 
@@ -124,6 +127,17 @@ def test_cli(spark, tmp_path, capsys):
     assert "1 rows, 2 columns" in capsys.readouterr().out
 
 
+def test_scratch_tables_go(spark):
+    df = written(spark.range(10), "kept")
+    beside = scratch(spark, "beside") + ".csv"
+    spark.range(3).write.csv(beside)
+    paths = [pathlib.Path(urlparse(p).path) for p in (df.inputFiles()[0], beside)]
+    assert df.count() == 10 and all(p.exists() for p in paths)
+    drop_scratch()
+    assert not any(p.exists() for p in paths)
+    assert written(spark.range(4), "again").count() == 4
+
+
 def test_stream(spark, tmp_path):
     src = str(tmp_path / "in")
     train = spark.createDataFrame([(1.0,), (None,), (3.0,)], "x double")
