@@ -11,6 +11,7 @@ import contextlib
 import tempfile
 import uuid
 from collections.abc import Iterator
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,7 +19,8 @@ from pyspark.sql import functions as F
 #: Bits of one block made by ``bitmap_construct_agg`` (fixed by Spark).
 BLOCK_BITS = 32768
 
-_made: list[tuple[SparkSession, str]] = []
+#: Gateway, file system and path of each folder; the file system is held, so that a session that was stopped is no obstacle.
+_made: list[tuple[Any, Any, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -35,7 +37,8 @@ def shared_dir(spark: SparkSession) -> str:
 def new_dir(spark: SparkSession, label: str) -> str:
     """A new folder name in the shared folder, removed when the driver ends."""
     path = f"{shared_dir(spark)}/sparkscrub/{label}-{uuid.uuid4().hex}"
-    _made.append((spark, path))
+    jvm = spark.sparkContext._jvm
+    _made.append((jvm, jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path))
     return path
 
 
@@ -47,16 +50,14 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def _delete(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+def _delete(jvm: Any, fs: Any, path: str) -> None:
+    fs.delete(jvm.org.apache.hadoop.fs.Path(path), True)
 
 
 def unstage(df: DataFrame, label: str) -> None:
     """Delete the staged table ``df`` (``label`` as given to ``stage``), which nothing unfinished may read."""
     for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        for made in [m for m in _made if m[1].rpartition("/")[2] == path.rpartition("/")[2] and f"/{label}-" in path]:
+        for made in [m for m in _made if m[2].rpartition("/")[2] == path.rpartition("/")[2] and f"/{label}-" in path]:
             _made.remove(made)
             _delete(*made)
 
@@ -64,11 +65,11 @@ def unstage(df: DataFrame, label: str) -> None:
 @contextlib.contextmanager
 def released(keep: str | None = None) -> Iterator[None]:
     """Delete what is staged inside when the block ends; results made inside must be written by then. ``keep``: a label that stays."""
-    before = set(_made)
+    before = {path for _, _, path in _made}
     try:
         yield
     finally:
-        for made in [m for m in _made if m not in before and not (keep and f"/{keep}-" in m[1])]:
+        for made in [m for m in _made if m[2] not in before and not (keep and f"/{keep}-" in m[2])]:
             _made.remove(made)
             _delete(*made)
 
