@@ -411,8 +411,30 @@ def _chosen(df: DataFrame) -> DataFrame:
     return rows(df.sparkSession, [(c, m.transform, round(m.shift, 4), round(m.lam, 2)) for c, m in t.model.items()], "column string, transform string, shift double, lambda double")
 
 
-add("features_auto_choice", SKEW, _chosen, None)
-add("features_auto_transform", SKEW, lambda df: s.NumericalTransformer(columns=["x"], auto_transform=True, scaling_method="standard").fit_transform(df), None)
+_box = "CASE WHEN abs(lam) < 1e-9 THEN ln(v) ELSE (pow(v, lam) - 1) / lam END"
+_yeo = "CASE WHEN v < 0 THEN CASE WHEN abs(lam - 2) < 1e-9 THEN -ln(1 - v) ELSE -(pow(1 - v, 2 - lam) - 1) / (2 - lam) END WHEN abs(lam) < 1e-9 THEN ln(1 + v) ELSE (pow(v + 1, lam) - 1) / lam END"
+_power = f"CASE f WHEN 'none' THEN v WHEN 'log' THEN ln(v) WHEN 'boxcox' THEN {_box} ELSE {_yeo} END"
+_auto = """+u AS (
+    SELECT c, f, CASE WHEN f IN ('log', 'boxcox') THEN v + shift ELSE v END AS v, CASE WHEN f IN ('log', 'boxcox') THEN shift ELSE 0 END AS shift
+    FROM (SELECT c, v, CASE WHEN min(v) OVER (PARTITION BY c) <= 0 THEN abs(min(v) OVER (PARTITION BY c)) + 1.0 ELSE 0.0 END::DOUBLE AS shift FROM (SELECT 'x' AS c, x AS v FROM d UNION ALL SELECT 'y', y FROM d)),
+        (VALUES ('none'), ('log'), ('boxcox'), ('yeojohnson')) AS forms(f)),
+    l AS (SELECT c, f, CASE f WHEN 'boxcox' THEN sum(ln(v)) ELSE sum(sign(v) * ln(1 + abs(v))) END AS logs, count(v) AS n FROM u WHERE f IN ('boxcox', 'yeojohnson') GROUP BY c, f),
+    b0 AS (SELECT c, f, -2.0::DOUBLE AS lo, CASE f WHEN 'boxcox' THEN 2.0 ELSE 4.0 END::DOUBLE AS hi, 1.0::DOUBLE AS lam FROM l)"""
+for _i in range(s.NumericalTransformer.ROUNDS):  # the grid of exponents that the fit goes through, round by round
+    _auto += f""",
+    g{_i} AS (SELECT c, f, hi - lo AS wide, i, lo + (hi - lo) * i / 8 AS lam FROM b{_i}, range(9) AS t(i)),
+    b{_i + 1} AS (
+        SELECT c, f, lam - wide / 8 AS lo, lam + wide / 8 AS hi, lam FROM (SELECT c, f, wide, i, lam, var_pop({_power}) AS spread FROM g{_i} JOIN u USING (c, f) GROUP BY ALL) JOIN l USING (c, f)
+        QUALIFY row_number() OVER (PARTITION BY c, f ORDER BY -n / 2.0::DOUBLE * ln(spread) + (lam - 1) * logs DESC, i) = 1)"""
+_auto += f""",
+    o AS (SELECT c, f, shift, coalesce(lam, 0) AS lam, skewness({_power}) AS skew, kurtosis({_power}) AS kurt FROM u LEFT JOIN (SELECT c, f, lam FROM b{s.NumericalTransformer.ROUNDS}) USING (c, f) GROUP BY c, f, shift, lam),
+    best AS (SELECT * FROM o QUALIFY row_number() OVER (PARTITION BY c ORDER BY abs(skew) + abs(kurt) / 3, list_position(['none', 'log', 'boxcox', 'yeojohnson'], f)) = 1)"""
+add("features_auto_choice", SKEW, _chosen, _auto + " SELECT c AS \"column\", f AS transform, round(shift, 4) AS shift, round(lam, 2) AS lambda FROM best")
+_changed = f"(SELECT l_orderkey, l_linenumber, y, {_power} AS x FROM (SELECT d.* EXCLUDE (x), d.x + shift AS v, f, lam FROM d, best WHERE c = 'x'))"
+add(
+    "features_auto_transform", SKEW, lambda df: rounded(s.NumericalTransformer(columns=["x"], auto_transform=True, scaling_method="standard").fit_transform(df), "x"),
+    _auto + f" SELECT l_orderkey, l_linenumber, round((x - avg(x) OVER ()) / stddev_pop(x) OVER (), 4) AS x, y FROM {_changed}",
+)
 
 
 def _normality(df: DataFrame) -> DataFrame:
