@@ -58,8 +58,10 @@ def carry(df: DataFrame, name: str, how: str, order_by: list[str] | None = None,
         out = out.join(n, F.col(BUCKET).eqNullSafe(F.col("__c")), "left").withColumn("__i", F.col("__i") + F.col("__o")).drop("__c", "__o")
     c = known(name, t)
     pair = F.when(c.isNotNull(), F.struct(c.alias("v"), F.col("__i").alias("i")))
-    back, ahead = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
-    out = out.withColumns({"__p": F.last(pair, True).over(back), "__n": F.first(pair, True).over(ahead)})
+    # what lies ahead is read backwards: a frame that ends with the bucket is gone through again for every row
+    turned = Window.partitionBy(BUCKET).orderBy(F.col("__i").desc())
+    back, ahead = (x.rowsBetween(Window.unboundedPreceding, 0) for x in (w, turned))
+    out = out.withColumns({"__p": F.last(pair, True).over(back), "__n": F.last(pair, True).over(ahead)})
     if not partition_by:
         ends, side = _before_and_after(name, t, Ordered(out, o.order, o.helpers), F.col("__i"))
         out = out.join(ends, F.col(BUCKET).eqNullSafe(F.col("__b")), "left")

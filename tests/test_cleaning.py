@@ -92,6 +92,22 @@ def test_carry_in_source_order(spark):
         assert got[i] == last
 
 
+@pytest.mark.parametrize("how", ["ffill", "bfill"])
+def test_long_groups_are_gone_through_once(spark, how):
+    """A frame that ends with the group costs the square of the group's rows."""
+    n, step = 20_000, 1_000
+    df = spark.range(n).select("id", F.lit(0).alias("g"), F.when((F.col("id") % step == 7) & (F.col("id") < n - step), F.col("id").cast("double")).alias("v")).repartition(3)
+    out = carry(df, "v", how, ["id"], ["g"])
+    assert "unboundedfollowing" not in out._jdf.queryExecution().optimizedPlan().toString().lower()
+    last = n - 2 * step + 7
+    back = lambda i: (i - 7) // step * step + 7.0 if i >= 7 else None
+    want = {
+        "ffill": lambda i: min(back(i), last) if i >= 7 else None,
+        "bfill": lambda i: None if i > last else 7.0 if i <= 7 else back(i - 1) + step,
+    }[how]
+    assert {r.id: r.v for r in out.collect()} == {i: want(i) for i in range(n)}
+
+
 def test_drop_and_fill(spark):
     df = spark.createDataFrame([(1, None, None), (None, "a", None), (None, None, None)], "x long, y string, d date")
     assert s.drop_na(df, how="all", subset=["x", "y"]).count() == 2
