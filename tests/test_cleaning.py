@@ -92,7 +92,7 @@ def test_carry_in_source_order(spark):
         assert got[i] == last
 
 
-@pytest.mark.parametrize("how", ["ffill", "bfill"])
+@pytest.mark.parametrize("how", ["ffill", "bfill", "interpolate"])
 def test_long_groups_are_gone_through_once(spark, how):
     """A frame that ends with the group costs the square of the group's rows."""
     n, step = 20_000, 1_000
@@ -104,6 +104,7 @@ def test_long_groups_are_gone_through_once(spark, how):
     want = {
         "ffill": lambda i: min(back(i), last) if i >= 7 else None,
         "bfill": lambda i: None if i > last else 7.0 if i <= 7 else back(i - 1) + step,
+        "interpolate": lambda i: None if i < 7 else float(min(i, last)),
     }[how]
     assert {r.id: r.v for r in out.collect()} == {i: want(i) for i in range(n)}
 
