@@ -5,6 +5,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 from difflib import SequenceMatcher
+from functools import lru_cache
+from itertools import combinations
+from math import ceil, comb
 
 import numpy as np
 import pandas as pd
@@ -21,6 +24,8 @@ from sparkscrub.plans.scratch import written
 PIECE_ROWS = 1000
 #: Classes of characters that are counted to bound a similarity from above.
 CLASSES = 64
+#: Parts of a cell by which rows of a large block may meet; different cells of the other columns that are put into classes; similar pairs that one task settles.
+CELL_PARTS, CLASS_ROWS, TASK_EDGES = 100, 2000, 2_000_000
 
 
 @dataclass
@@ -124,14 +129,73 @@ def _gathered(k: int, threshold: float):
     return run
 
 
+def _parts(lengths: list[int], least: float) -> dict[int, list[tuple[int, int, int]]] | None:
+    """Per length of a cell, (shorter, longer, size): cells of these two lengths whose ratio reaches ``least`` have a part of ``size`` characters in common, in order.
+
+    None where a cell has more than CELL_PARTS such parts, or nothing is excluded.
+    """
+    out: dict[int, list[tuple[int, int, int]]] = {}
+    if least <= 0 or len(lengths) > CELL_PARTS:
+        return None
+    for n in lengths:
+        sizes = [(min(n, m), max(n, m), ceil(least * (n + m) / 2 - 1e-6)) for m in lengths]
+        out[n] = [x for x in sizes if x[2] <= x[0]]
+        if sum(comb(n, x[2]) for x in out[n]) > CELL_PARTS:
+            return None
+    return out
+
+
+def _parted(parts: dict[int, list[tuple[int, int, int]]]):
+    """Rows with each part of their key cell."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            at, found = [], []
+            for i, v in enumerate(frame["cell"]):
+                v = v.lower()
+                for lo, hi, size in parts[len(v)]:
+                    new = {f"{lo} {hi} {''.join(x)}" for x in combinations(v, size)}
+                    at += [i] * len(new)
+                    found += new
+            yield frame.iloc[at].assign(size=frame["cell"].str.lower().str.len().iloc[at], part=found).drop(columns="cell")
+
+    return run
+
+
+def _confirmed(k: int, threshold: float):
+    """Edges (a, b, score) of those pairs of rows that are similar."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ratio = lru_cache(100_000)(string_similarity)
+        for frame in frames:
+            cells = [list(zip(*[[None if pd.isna(v) else v for v in frame[f"{side}{i}"]] for i in range(k)], strict=True)) for side in "mo"]
+            score = np.array([sum(map(ratio, x, y)) / k for x, y in zip(*cells, strict=True)], float)
+            yield frame[["a", "b"]].assign(score=score)[score >= threshold]
+
+    return run
+
+
+def _settled(group: pd.DataFrame) -> pd.DataFrame:
+    """Rows that gather others, by all pairs left."""
+    group, gathered, seeds = group.sort_values("a"), set(), {}
+    for a, b in zip(group["a"].tolist(), group["b"].tolist(), strict=True):
+        if a not in gathered:
+            seeds[a] = True
+            gathered.add(b)
+    return pd.DataFrame({"node": list(seeds)}, dtype="int64")
+
+
 def _seeds(edges: DataFrame) -> DataFrame:
     """Rows (node) that gather others when rows are taken in order and each that is not yet gathered gathers the later ones it has edges to.
 
-    In rounds: what has no earlier open neighbour gathers, and what it has edges to is gathered.
+    In rounds: what has no earlier open neighbour gathers, and what it has edges to is gathered. The last TASK_EDGES pairs are settled in one task.
     """
     open_ = written(edges.select("a", "b"), "fuzzy-open")
     seeds = None
-    while not open_.isEmpty():
+    while n := open_.count():
+        if n <= TASK_EDGES:
+            last = written(open_.groupBy().applyInPandas(_settled, "node long"), "fuzzy-seeds")
+            return last if seeds is None else seeds.unionByName(last)
         new = written(open_.select(F.col("a").alias("node")).distinct().join(open_.select(F.col("b").alias("node")), "node", "left_anti"), "fuzzy-seeds")
         seeds = new if seeds is None else seeds.unionByName(new)
         gathered = open_.join(new, open_["a"] == new["node"], "left_semi").select(F.col("b").alias("node")).distinct()
@@ -141,6 +205,28 @@ def _seeds(edges: DataFrame) -> DataFrame:
     return seeds if seeds is not None else edges.select(F.col("a").alias("node")).limit(0)
 
 
+def _classes(nodes: DataFrame, names: list[str], k: int, threshold: float) -> Column:
+    """A number by the cells of some of the k match columns: rows with different numbers are not similar. 0 for all where there are many different cells."""
+    if not names:
+        return F.lit(0)
+    found = [tuple(r) for r in nodes.select(*names).distinct().limit(CLASS_ROWS + 1).collect()]
+    if len(found) > CLASS_ROWS:
+        return F.lit(0)
+    group = list(range(len(found)))
+    counts, sizes = _counts(found)
+    for i in range(len(found)):
+        both = np.minimum(counts[i], counts).sum(2)
+        total = np.maximum(sizes[i], 0) + np.maximum(sizes, 0)
+        bound = np.where(total > 0, 2 * both / np.maximum(total, 1), 1.0) * ((sizes[i] >= 0) & (sizes >= 0))
+        near = {group[j] for j in np.flatnonzero(bound.sum(1) >= k * threshold - (k - len(names)) - 1e-9)} | {group[i]}
+        if len(near) > 1:
+            group = [min(near) if g in near else g for g in group]
+    if len(set(group)) < 2:
+        return F.lit(0)
+    numbers = F.create_map(*[x for cells, g in zip(found, group, strict=True) for x in (F.to_json(F.array(*[F.lit(v).cast("string") for v in cells])), F.lit(g))])
+    return F.element_at(numbers, F.to_json(F.array(*[F.col(c) for c in names])))
+
+
 class DuplicateHandler(BaseTransformer):
     """Find duplicate groups, then keep one row of each.
 
@@ -191,7 +277,8 @@ class DuplicateHandler(BaseTransformer):
 
         Rows of a block are taken in order; each that is not yet matched gathers the later ones, not
         yet matched, whose mean similarity to it reaches ``threshold``. Rows with equal cells are one for
-        that. In a block of any size the first ``piece_rows`` different rows gather first; what families of similar
+        that. In a block of more than ``piece_rows`` different rows, rows are compared that share such a part of a cell as similar rows have to
+        share. Where such parts are many or exclude little, the first ``piece_rows`` different rows gather first; what families of similar
         rows leave is compared in pieces, each with each, and who gathers whom is settled in rounds over the similar
         pairs: the work grows with the square of a block's dissimilar rows, the memory of a task does not. Rows are written with their ordinals first, so that results
         belong to the rows they were found for.
@@ -208,9 +295,14 @@ class DuplicateHandler(BaseTransformer):
         nodes = rows.groupBy(*cells).agg(F.min(F.struct("o", "row_id")).alias("first"), F.count(F.lit(1)).alias("n"))
         nodes = numbered(nodes.select(*cells, "n", F.col("first.o").alias("o"), F.col("first.row_id").alias("first")), [F.col("o"), F.col("first")], "pos").drop("o")
         nodes = written(nodes, "fuzzy-nodes")
-        taken, rest = self._by_first(nodes, cells, threshold, piece_rows)
+        large = nodes.groupBy(F.col("block").alias("__b")).agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > piece_rows)
+        inside = F.col("block").eqNullSafe(F.col("__b"))
+        by_parts = self._by_parts(nodes.join(large, inside, "left_semi"), cells, threshold, piece_rows)
+        taken, rest = self._by_first(nodes if by_parts is None else nodes.join(large, inside, "left_anti"), cells, threshold, piece_rows)
         if rest is not None:
             taken = taken.unionByName(self._by_pieces(rest, cells, threshold, piece_rows))
+        if by_parts is not None:
+            taken = taken.unionByName(by_parts)
         taken = written(taken, "fuzzy-taken")
         seeds = taken.where("seed <> pos").select(F.col("seed").alias("node")).distinct()
         taken = taken.where("seed <> pos")
@@ -265,7 +357,50 @@ class DuplicateHandler(BaseTransformer):
         dealt = nodes.join(sizes, F.col("block").eqNullSafe(F.col("__b"))).withColumn("piece", F.pmod(F.xxhash64("pos"), F.col("pieces")).cast("int"))
         each = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
         each = each.select("block", F.least("piece", "other").alias("x"), F.greatest("piece", "other").alias("y"), "piece", "pos", *cells[1:])
-        edges = written(each.groupBy("block", "x", "y").applyInPandas(_compared(len(cells) - 1, threshold), "a long, b long, score double"), "fuzzy-edges")
+        return DuplicateHandler._by_edges(written(each.groupBy("block", "x", "y").applyInPandas(_compared(len(cells) - 1, threshold), "a long, b long, score double"), "fuzzy-edges"))
+
+    @staticmethod
+    def _by_parts(nodes: DataFrame, cells: list[str], threshold: float, piece_rows: int) -> DataFrame | None:
+        """(pos, seed, score) of rows that are gathered, by comparing rows that share a part of a cell; None where that excludes too little.
+
+        With a mean of ``threshold`` no column's ratio is below a bound, and a ratio is made of characters that both
+        cells hold in the same order: similar rows share one of the parts of that size of their cells. Parts are taken from the column
+        with the most different cells. Few different cells of the other columns are put into classes between which nothing is similar.
+        """
+        k = len(cells) - 1
+        least = k * threshold - (k - 1)
+        if not k or least <= 0 or nodes.isEmpty():
+            return None
+        spread = nodes.agg(*[F.approx_count_distinct(c) for c in cells[1:]]).first()
+        key = cells[1:][max(range(k), key=lambda i: spread[i])]
+        rest = [c for c in cells[1:] if c != key]
+        known_ = nodes.where(F.col(key).isNotNull())  # a null is similar to nothing
+        lengths = [r[0] for r in known_.select(F.length(F.lower(key))).distinct().limit(CELL_PARTS + 1).collect()]
+        # lower case may be longer or shorter in Python, which tells lengths where a row is made
+        if known_.where(F.col(key).rlike("[^\\x00-\\x7f]")).isEmpty():
+            parts = _parts(sorted(lengths), least)
+        else:
+            parts = None
+        if parts is None:
+            return None
+        classes = _classes(known_, rest, k, threshold)
+        named = known_.select("pos", "block", *cells[1:], F.col(key).alias("cell"), classes.alias("class"))
+        fields = [f for f in named.schema.fields if f.name != "cell"]
+        schema = T.StructType([*fields, T.StructField("size", T.LongType()), T.StructField("part", T.StringType())])
+        keys = written(named.mapInPandas(_parted(parts), schema), "fuzzy-parts")
+        met, most = keys.groupBy("block", "class", "part").agg(F.count(F.lit(1)).alias("n")).agg(F.sum(F.col("n") * (F.col("n") - 1) / 2), F.max("n")).first()
+        n = known_.count()
+        if met and (most > piece_rows or met > n * n / 20):
+            return None
+        other = keys.select(F.col("pos").alias("b"), F.col("block").alias("__b"), F.col("class").alias("__c"), F.col("part").alias("__p"), F.col("size").alias("__s"), *[F.col(c).alias(f"o{c[1:]}") for c in cells[1:]])
+        same = F.col("block").eqNullSafe(F.col("__b")) & (F.col("class") == F.col("__c")) & (F.col("part") == F.col("__p")) & (F.col("pos") < F.col("b"))
+        equal_sizes = F.split("part", " ", 3)[0] == F.split("part", " ", 3)[1]
+        pairs = keys.join(other, same & (equal_sizes | (F.col("size") != F.col("__s")))).select(F.col("pos").alias("a"), "b", *[c for i in range(k) for c in (f"m{i}", f"o{i}")])
+        pairs = pairs.dropDuplicates(["a", "b"])
+        return DuplicateHandler._by_edges(written(pairs.mapInPandas(_confirmed(k, threshold), "a long, b long, score double"), "fuzzy-edges"))
+
+    @staticmethod
+    def _by_edges(edges: DataFrame) -> DataFrame:
         seeds = _seeds(edges)
         # each that is gathered belongs to the first seed it has an edge to
         taken = edges.join(seeds, edges["a"] == seeds["node"]).groupBy("b").agg(F.min(F.struct("a", "score")).alias("s"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 import sparkscrub as s
 from sparkscrub import queries
 from sparkscrub.functions import text as fx
+from sparkscrub.operators import duplicates
 from sparkscrub.operators.duplicates import row_similarity
 from sparkscrub.operators.missing import carry
 from sparkscrub.plans.order import numbered, ordered
@@ -173,6 +174,40 @@ def test_fuzzy_blocks_of_any_size(spark, piece):
     assert sorted(values(h.transform(other, "first"), "i")) == [i for i in range(20) if i not in {j for g, j, _ in greedy(rows[:20], 2, 0.8) if g != j}]
 
 
+def test_rows_of_a_large_block_meet_by_parts_of_cells(spark, monkeypatch):
+    """Changed, moved, missing and added characters, cells of several lengths, two blocks, nulls: the same groups, and no piece is compared with another."""
+    rng = random.Random(3)
+    rows, bases = [], ["".join(rng.choice("abcdeABCDE12") for _ in range(rng.choice([8, 9]))) for _ in range(50)]
+    for i in range(260):
+        v = rng.choice(bases)
+        if rng.random() < 0.5:
+            at = rng.randrange(len(v))
+            v = v[:at] + rng.choice(["", "7"]) + v[at + rng.randrange(2) :]
+        rows.append(("a" if i % 5 else "b", None if i % 41 == 0 else v, rng.choice(["red", "RED", "green", None])))
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i long, b string, m string, w string").repartition(3)
+    monkeypatch.setattr(s.DuplicateHandler, "_by_pieces", None)
+    for names, threshold in ((["m", "w"], 0.93), (["m"], 0.85)):
+        h = s.DuplicateHandler(order_by=["i"])
+        got = h.find_fuzzy(df, names, threshold, "b", piece_rows=40)
+        ids = {r["__row_id"]: r.i for r in h._ids.collect()}
+        found = {(ids[r.group_id], ids[r.row_id], round(r.score, 9)) for r in got.collect()}
+        assert found == greedy([r[: 1 + len(names)] for r in rows], len(names), threshold)
+        assert len(found) > 50
+
+
+def test_edges_are_settled_in_rounds_and_in_one_task(spark, monkeypatch):
+    rng = random.Random(5)
+    edges = sorted({tuple(sorted(rng.sample(range(80), 2))) for _ in range(200)})
+    want = {}
+    for a, b in edges:
+        if a not in want:
+            want.setdefault(b, a)
+    df = spark.createDataFrame([(a, b, 0.9) for a, b in edges], "a long, b long, score double")
+    for most in (0, 60, 1000):
+        monkeypatch.setattr(duplicates, "TASK_EDGES", most)
+        assert {r.pos: r.seed for r in s.DuplicateHandler._by_edges(df).collect()} == want
+
+
 def test_fuzzy_over_a_whole_table(spark):
     sf = "/root/testdata/sf0.001"
     rows = [("", r.c_name, r.c_mktsegment) for r in spark.read.parquet(f"{sf}/customer.parquet").orderBy("c_custkey").collect()]
