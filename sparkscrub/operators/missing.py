@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from sparkscrub.functions.missing import TEMPORAL, col, is_missing, is_numeric, known, numeric_columns
 from sparkscrub.operators.base import BaseTransformer, FitTransformer, percent, table
-from sparkscrub.plans.order import BUCKET, Ordered, ordered
+from sparkscrub.plans.order import BUCKET, ordered
 from sparkscrub.plans.stats import collect_stats, corrected_skew, medians, missing_counts, modes, value
 
 CARRIED = ("interpolate", "ffill", "bfill")
@@ -27,19 +27,17 @@ class MissingReport:
     fill_value: Any
 
 
-def _before_and_after(name: str, t: T.DataType, o: Ordered, here: Column) -> tuple[DataFrame, dict[str, Column]]:
-    """Per bucket, the last value known before it and the first known after it, with their positions."""
-    c, at = known(name, t), o.key()
-    ends = o.df.groupBy(BUCKET).agg(
-        F.max_by(F.struct(c.alias("v"), here.alias("i")), F.when(c.isNotNull(), at)).alias("last"),
-        F.min_by(F.struct(c.alias("v"), here.alias("i")), F.when(c.isNotNull(), at)).alias("first"),
+def _before_and_after(out: DataFrame) -> DataFrame:
+    """Per bucket, the last value known before it and the first known after it, with their positions as counted from its start."""
+    ends = out.groupBy(BUCKET).agg(
+        F.count(F.lit(1)).alias("size"), F.max_by("__known", F.col("__known.i")).alias("last"), F.min_by("__known", F.col("__known.i")).alias("first"),
     )
     w = Window.orderBy(BUCKET)
-    ends = ends.withColumns({
-        "__prev": F.last("last", True).over(w.rowsBetween(Window.unboundedPreceding, -1)),
-        "__next": F.first("first", True).over(w.rowsBetween(1, Window.unboundedFollowing)),
-    })
-    return ends.select(F.col(BUCKET).alias("__b"), "__prev", "__next"), {"prev": F.col("__prev"), "next": F.col("__next")}
+    ends = ends.withColumn("start", F.sum("size").over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
+    moved = lambda c, by: F.when(F.col(c).isNotNull(), F.struct(F.col(c)["v"].alias("v"), (F.col(c)["i"] + by).alias("i")))
+    ends = ends.withColumns({c: moved(c, F.col("start")) for c in ("last", "first")})
+    ends = ends.withColumns({"__prev": F.expr("lag(last) IGNORE NULLS").over(w), "__next": F.expr("lead(first) IGNORE NULLS").over(w)})
+    return ends.select(F.col(BUCKET).alias("__b"), *[moved(c, -F.col("start")).alias(c) for c in ("__prev", "__next")])
 
 
 def carry(df: DataFrame, name: str, how: str, order_by: list[str] | None = None, partition_by: list[str] | None = None) -> DataFrame:
@@ -47,27 +45,21 @@ def carry(df: DataFrame, name: str, how: str, order_by: list[str] | None = None,
 
     No global sort of all rows into one task: buckets are filled by themselves, and take over what
     lies before and after from one row per bucket. With ``partition_by`` nothing is taken over.
+    Rows are shuffled by bucket, once for both uses where all their columns can be sorted; all that follows keeps to the order in a bucket.
     """
     t = df.schema[name].dataType
     o = ordered(df, order_by, partition_by)
     w = o.window()
-    out = o.df.withColumn("__i", F.row_number().over(w).cast("long"))
-    if not partition_by:
-        n = o.df.groupBy(BUCKET).agg(F.count(F.lit(1)).alias("n"))
-        n = n.select(F.col(BUCKET).alias("__c"), F.coalesce(F.sum("n").over(Window.orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__o"))
-        out = out.join(n, F.col(BUCKET).eqNullSafe(F.col("__c")), "left").withColumn("__i", F.col("__i") + F.col("__o")).drop("__c", "__o")
     c = known(name, t)
-    pair = F.when(c.isNotNull(), F.struct(c.alias("v"), F.col("__i").alias("i")))
-    # what lies ahead is read backwards: a frame that ends with the bucket is gone through again for every row
-    turned = Window.partitionBy(BUCKET).orderBy(F.col("__i").desc())
-    back, ahead = (x.rowsBetween(Window.unboundedPreceding, 0) for x in (w, turned))
-    out = out.withColumns({"__p": F.last(pair, True).over(back), "__n": F.last(pair, True).over(ahead)})
-    if not partition_by:
-        ends, side = _before_and_after(name, t, Ordered(out, o.order, o.helpers), F.col("__i"))
-        out = out.join(ends, F.col(BUCKET).eqNullSafe(F.col("__b")), "left")
-        p, n_ = F.coalesce("__p", side["prev"]), F.coalesce("__n", side["next"])
-    else:
-        p, n_ = F.col("__p"), F.col("__n")
+    out = o.df.withColumn("__i", F.row_number().over(w).cast("long"))
+    out = out.withColumn("__known", F.when(c.isNotNull(), F.struct(c.alias("v"), F.col("__i").alias("i"))))
+    p, n_ = F.col("__p"), F.col("__n")
+    ends = None if partition_by else _before_and_after(out)
+    # what lies ahead is no frame that ends with the bucket: that would be gone through again for every row
+    out = out.withColumns({"__p": F.last("__known", True).over(w.rowsBetween(Window.unboundedPreceding, 0)), "__n": F.expr("lead(__known) IGNORE NULLS").over(w)})
+    if ends is not None:
+        out = out.join(ends, F.col(BUCKET) == F.col("__b"), "left")  # buckets are never null
+        p, n_ = F.coalesce(p, "__prev"), F.coalesce(n_, "__next")
     if how == "ffill":
         filled = F.coalesce(c, p["v"])
     elif how == "bfill":

@@ -37,10 +37,6 @@ class Ordered:
     def window(self):
         return Window.partitionBy(BUCKET).orderBy(*self.order)
 
-    def key(self) -> Column:
-        """One comparable value per row; nulls first, as in an ascending sort."""
-        return F.struct(*self.order)
-
 
 def with_row_id(df: DataFrame) -> DataFrame:
     """``df`` with the ordinal of its rows as read; kept if there already."""
@@ -76,16 +72,16 @@ def ordered(df: DataFrame, order_by: list[str] | None = None, partition_by: list
         rest = [f.name for f in df.schema.fields if f.name not in order_by and _sortable(f.dataType)]
         out, keys, helpers = df, [col(c) for c in [*order_by, *rest]], [BUCKET]
     if partition_by:
-        bucket = F.struct(*[col(c) for c in partition_by])
+        out = out.withColumn(BUCKET, F.struct(*[col(c) for c in partition_by]))
     elif not order_by:
-        bucket = F.shiftright(F.col(ROW), 33)
+        out = out.withColumn(BUCKET, F.shiftright(F.col(ROW), 33))
     else:
-        bucket = _bucket_of(df, order_by[0], keys)
-    return Ordered(out.withColumn(BUCKET, bucket), keys, helpers)
+        out = _with_bucket(df, order_by[0], keys)
+    return Ordered(out, keys, helpers)
 
 
-def _bucket_of(df: DataFrame, name: str, keys: list[Column]) -> Column:
-    """Index of a row's range of the order.
+def _with_bucket(df: DataFrame, name: str, keys: list[Column]) -> DataFrame:
+    """``df`` with the index of a row's range of the order, never null.
 
     Ranges are told by quantiles of the first order column where it is a number or time with enough different
     values; else by a sample of whole keys, tie-breakers included, so that text and constant columns are dealt
@@ -95,20 +91,31 @@ def _bucket_of(df: DataFrame, name: str, keys: list[Column]) -> Column:
     if isinstance(t, (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType)):
         as_number = _number(col(name), t)
         shares = [i / BUCKETS for i in range(1, BUCKETS)]
-        bounds = sorted(set(df.agg(F.percentile_approx(as_number, shares, 1000)).first()[0] or []))
+        bounds = sorted(set(df.agg(F.percentile_approx(as_number, shares, 1000)).first()[0] or []), key=lambda b: (b != b, b))  # NaN last
         if len(bounds) >= BUCKETS // 2:
-            return F.coalesce(F.size(F.filter(F.lit(bounds), lambda b: b <= as_number)), F.lit(-1))
+            return _reached(df, F.lit(bounds), len(bounds), as_number)
     n = df.count()
     if not n:
-        return F.lit(0)
+        return df.withColumn(BUCKET, F.lit(0))
     named = [k.alias(f"k{i}") for i, k in enumerate(keys)]
     some = df.select(*named).sample(min(1.0, KEY_SAMPLE / n), 7)
     rows = some.orderBy(*some.columns).collect()  # about KEY_SAMPLE rows
     cuts = list(dict.fromkeys(tuple(rows[len(rows) * i // KEY_BUCKETS]) for i in range(1, KEY_BUCKETS))) if rows else []
     if not cuts:
-        return F.lit(0)
+        return df.withColumn(BUCKET, F.lit(0))
     lits = F.array(*[F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(cut, some.schema.fields, strict=True)]) for cut in cuts])
-    return F.size(F.filter(lits, lambda b: b <= F.struct(*named)))
+    return _reached(df, lits, len(cuts), F.struct(*named))
+
+
+def _reached(df: DataFrame, bounds: Column, n: int, at: Column) -> DataFrame:
+    """``df`` with the count of ``n`` ascending bounds that are not above a row's place.
+
+    By halving: a look at every bound costs more than sorting the rows. Each step is a projection, so that none is inlined twice.
+    """
+    out, k = df, F.lit(0)
+    for step in (1 << i for i in reversed(range(n.bit_length()))):
+        out, k = out.withColumn(BUCKET, k + F.when(F.get(bounds, k + (step - 1)) <= at, step).otherwise(0)), F.col(BUCKET)
+    return out
 
 
 def _number(c: Column, t: T.DataType) -> Column:

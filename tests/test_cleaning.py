@@ -110,6 +110,34 @@ def test_long_groups_are_gone_through_once(spark, how):
     assert {r.id: r.v for r in out.collect()} == {i: want(i) for i in range(n)}
 
 
+@pytest.mark.parametrize("how", ["ffill", "bfill", "interpolate"])
+def test_carry_shuffles_rows_once_and_halves_bounds(spark, how):
+    """Gaps go over many buckets; rows are not held against each bound, and go through one shuffle that both ways of use share."""
+    n, known = 50_000, (3, 20_000, 49_000)
+    out = carry(spark.range(n).select("id", F.when(F.col("id").isin(*known), F.col("id") * 2.0).alias("v")).repartition(3), "v", how, ["id"])
+    got = {r.id: r.v for r in out.collect()}
+    plan = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert "lambda" not in plan
+    assert len([x for x in plan.splitlines() if "Exchange hashpartitioning(" in x and "ReusedExchange" not in x]) == 1
+    before = lambda i: max((k for k in known if k <= i), default=None)
+    after = lambda i: min((k for k in known if k >= i), default=None)
+    want = {
+        "ffill": lambda i: None if before(i) is None else before(i) * 2.0,
+        "bfill": lambda i: None if after(i) is None else after(i) * 2.0,
+        "interpolate": lambda i: None if i < 3 else min(i, 49_000) * 2.0,
+    }[how]
+    assert got == {i: want(i) if want(i) is None else pytest.approx(want(i)) for i in range(n)}
+
+
+@pytest.mark.parametrize("rows", [0, 1, 2, 300])
+def test_buckets_count_the_bounds_reached(spark, rows):
+    """Any number of bounds, with nulls and NaN among the keys: buckets follow the order, and none is null."""
+    df = spark.range(rows).select("id", F.when(F.col("id") % 50 == 7, None).when(F.col("id") % 50 == 9, float("nan")).otherwise(-F.col("id").cast("double")).alias("x"))
+    for order in (["x"], ["x", "id"]):
+        got = ordered(df, order).df.orderBy(*order, "id").collect()
+        assert len(got) == rows and [r["__bucket"] for r in got] == sorted(r["__bucket"] for r in got)
+
+
 def test_drop_and_fill(spark):
     df = spark.createDataFrame([(1, None, None), (None, "a", None), (None, None, None)], "x long, y string, d date")
     assert s.drop_na(df, how="all", subset=["x", "y"]).count() == 2
