@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 from difflib import SequenceMatcher
-from functools import lru_cache
 from itertools import combinations
 from math import ceil, comb
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,8 +25,10 @@ from sparkscrub.plans.scratch import written
 PIECE_ROWS = 1000
 #: Classes of characters that are counted to bound a similarity from above.
 CLASSES = 64
-#: Parts of a cell by which rows of a large block may meet; different cells of the other columns that are put into classes; similar pairs that one task settles.
-CELL_PARTS, CLASS_ROWS, TASK_EDGES = 100, 2000, 2_000_000
+#: Parts of a cell by which rows of a large block may meet; different cells of the other columns that are put into classes; similar pairs that one task settles, as a stream.
+CELL_PARTS, CLASS_ROWS, TASK_EDGES = 100, 2000, 100_000_000
+#: Rows with a part that are gone through at once; pairs compared at once; longest cells that are compared many at once, ASCII only.
+MEET_ROWS, MEET_PAIRS, MEET_LENGTH = 50_000, 16_384, 100
 
 
 @dataclass
@@ -145,56 +148,189 @@ def _parts(lengths: list[int], least: float) -> dict[int, list[tuple[int, int, i
     return out
 
 
-def _parted(parts: dict[int, list[tuple[int, int, int]]]):
-    """Rows with each part of their key cell."""
+def _parted(parts: dict[int, list[tuple[int, int, int]]], names: list[str]):
+    """Rows (``names``) with a number for each part of their key cell, and whether the part is for cells of one length (0) or for shorter (1) and longer ones (2).
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            at, found = [], []
-            for i, v in enumerate(frame["cell"]):
-                v = v.lower()
-                for lo, hi, size in parts[len(v)]:
-                    new = {f"{lo} {hi} {''.join(x)}" for x in combinations(v, size)}
-                    at += [i] * len(new)
-                    found += new
-            yield frame.iloc[at].assign(size=frame["cell"].str.lower().str.len().iloc[at], part=found).drop(columns="cell")
+    Different parts may get the same number; what meets is compared in full.
+    """
+    base = np.uint64(0x9E3779B97F4A7C15)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cells, team = batch.column("cell").to_pylist(), batch.column("team").to_numpy().astype(np.uint64)
+            lengths = np.array([len(v) for v in cells], int)
+            at, found, side = [np.zeros(0, int)], [np.zeros(0, np.uint64)], [np.zeros(0, np.int8)]
+            for n in np.unique(lengths).tolist():
+                rows = np.flatnonzero(lengths == n)
+                codes = np.frombuffer("".join([cells[i] for i in rows]).encode("ascii"), np.uint8).reshape(len(rows), n).T.astype(np.uint64)
+                for lo, hi, size in parts[n]:
+                    made = np.empty((comb(n, size), len(rows)), np.uint64)
+                    for x, places in enumerate(combinations(range(n), size)):
+                        h = team[rows] * np.uint64(0xD6E8FEB86659FD93) + np.uint64(lo * 65_537 + hi)
+                        for p in places:
+                            h = (h + codes[p] + np.uint64(1)) * base
+                        made[x] = h ^ (h >> np.uint64(29))
+                    made.sort(axis=0)
+                    new = np.ones(made.shape, bool)
+                    new[1:] = made[1:] != made[:-1]
+                    own = np.broadcast_to(rows, made.shape)[new]
+                    at.append(own)
+                    found.append(made[new])
+                    side.append(np.full(len(own), 0 if lo == hi else 1 if n == lo else 2, np.int8))
+            taken = batch.select([c for c in names if c not in ("part", "side")]).take(pa.array(np.concatenate(at)))
+            made = {"part": pa.array(np.concatenate(found).view(np.int64)), "side": pa.array(np.concatenate(side))}
+            yield pa.RecordBatch.from_arrays([made[c] if c in made else taken.column(c) for c in names], names=names)
 
     return run
 
 
-def _confirmed(k: int, threshold: float):
-    """Edges (a, b, score) of those pairs of rows that are similar."""
+def _in_common(a: np.ndarray, la: np.ndarray, b: np.ndarray, lb: np.ndarray) -> np.ndarray:
+    """Characters in the matching blocks of SequenceMatcher, of many pairs at once: the longest block, the earliest of those, then what is left and right of it.
+
+    Cells are columns of ASCII codes, not longer than MEET_LENGTH.
+    """
+    out = np.zeros(len(la), np.int64)
+    p, a0, a1, b0, b1 = np.arange(len(la)), np.zeros_like(la), la, np.zeros_like(lb), lb
+    while len(p):
+        ia, ib = a0 + np.arange((a1 - a0).max())[:, None], b0 + np.arange((b1 - b0).max())[:, None]
+        x = np.where(ia < a1, a[np.minimum(ia, len(a) - 1), p], 254).astype(np.uint8)
+        y = np.where(ib < b1, b[np.minimum(ib, len(b) - 1), p], 255).astype(np.uint8)
+        run = np.zeros((len(y) + 1, len(p)), np.uint8)
+        # of equal runs that end at one place of a, the first of b
+        early = (255 - np.arange(len(y), dtype=np.uint16))[:, None]
+        best, end = np.zeros(len(p), np.uint16), np.zeros(len(p), np.int64)
+        for i in range(len(x)):
+            new = np.zeros_like(run)
+            np.multiply(run[:-1] + np.uint8(1), y == x[i], out=new[1:])
+            run = new
+            top = ((run[1:].astype(np.uint16) << np.uint16(8)) | early).max(axis=0)
+            more = (top >> 8) > (best >> 8)
+            best, end = np.where(more, top, best), np.where(more, i, end)
+        size = (best >> 8).astype(np.int64)
+        ea, eb = a0 + end + 1, b0 + 255 - (best & 255).astype(np.int64) + 1
+        out += np.bincount(p, size, len(out)).astype(np.int64)
+        p, a0, a1, b0, b1 = (np.concatenate(v) for v in ((p, p), (a0, ea), (ea - size, a1), (b0, eb), (eb - size, b1)))
+        some = np.concatenate([size > 0, size > 0]) & (a1 > a0) & (b1 > b0)
+        p, a0, a1, b0, b1 = p[some], a0[some], a1[some], b0[some], b1[some]
+    return out
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ratio = lru_cache(100_000)(string_similarity)
-        for frame in frames:
-            cells = [list(zip(*[[None if pd.isna(v) else v for v in frame[f"{side}{i}"]] for i in range(k)], strict=True)) for side in "mo"]
-            score = np.array([sum(map(ratio, x, y)) / k for x, y in zip(*cells, strict=True)], float)
-            yield frame[["a", "b"]].assign(score=score)[score >= threshold]
+
+class _Cells:
+    """Cells of a column, of which many pairs are compared at once."""
+
+    def __init__(self, column: pa.ChunkedArray):
+        coded = column.combine_chunks().dictionary_encode()
+        self.codes = coded.indices.fill_null(-1).to_numpy(zero_copy_only=False)
+        self.values = [v.lower() for v in coded.dictionary.to_pylist()]
+        self.sizes = np.array([len(v) for v in self.values], int)
+        short = [v.isascii() and len(v) <= MEET_LENGTH for v in self.values]
+        self.short, width = np.array(short, bool), max([len(v) for v, ok in zip(self.values, short, strict=True) if ok], default=0)
+        text = "".join([v.ljust(width) if ok else " " * width for v, ok in zip(self.values, short, strict=True)])
+        self.chars = np.ascontiguousarray(np.frombuffer(text.encode("ascii"), np.uint8).reshape(len(self.values), width).T)
+
+    def ratios(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """``string_similarity`` of the cells of rows x and y."""
+        x, y = self.codes[x], self.codes[y]
+        out = np.where((x == y) & (x >= 0), 1.0, 0.0)
+        other = np.flatnonzero((x != y) & (x >= 0) & (y >= 0))
+        pairs, back = x[other].astype(np.int64) * len(self.values) + y[other], slice(None)
+        if len(self.values) ** 2 < len(other):
+            pairs, back = np.unique(pairs, return_inverse=True)
+        x, y = pairs // max(len(self.values), 1), pairs % max(len(self.values), 1)
+        ratio, both, total = np.zeros(len(pairs)), self.short[x] & self.short[y], self.sizes[x] + self.sizes[y]
+        for i in np.flatnonzero(~both).tolist():
+            ratio[i] = string_similarity(self.values[x[i]], self.values[y[i]])
+        some = np.flatnonzero(both & (self.sizes[x] > 0) & (self.sizes[y] > 0))
+        for i in range(0, len(some), MEET_PAIRS):
+            at = some[i : i + MEET_PAIRS]
+            ratio[at] = 2.0 * _in_common(self.chars[:, x[at]], self.sizes[x[at]], self.chars[:, y[at]], self.sizes[y[at]]) / total[at]
+        ratio[both & (total == 0)] = 1.0
+        out[other] = ratio[back]
+        return out
+
+
+def _met(k: int, threshold: float):
+    """Edges (team, a, b, score) of those rows of one team that have a part in common and are similar; rows come in order of part and pos."""
+
+    def among(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        part, pos, team, side = (rows[c].to_numpy() for c in ("part", "pos", "team", "side"))
+        ends = np.append(np.flatnonzero(part[1:] != part[:-1]) + 1, len(part))
+        later = ends[np.searchsorted(ends, np.arange(len(part)), "right")] - np.arange(len(part)) - 1
+        upto, cells, start = np.cumsum(later), [_Cells(rows[f"m{i}"]) for i in range(k)], 0
+        while start < len(part):
+            before = upto[start - 1] if start else 0
+            stop = max(start + 1, int(np.searchsorted(upto, before + MEET_PAIRS * 8, "right")))
+            n = later[start:stop]
+            x = np.repeat(np.arange(start, stop), n)
+            y = x + 1 + np.arange(len(x)) - np.repeat(upto[start:stop] - n - before, n)
+            start = stop
+            # numbers of parts may be equal by chance
+            ok = (team[x] == team[y]) & (pos[x] != pos[y]) & ((side[x] == 0) | (side[x] != side[y]))
+            x, y = x[ok], y[ok]
+            ratio = [c.ratios(x, y) for c in cells]
+            score = sum(ratio, np.zeros(len(x))) / k
+            good = score >= threshold
+            x, y = x[good], y[good]
+            yield pa.RecordBatch.from_arrays([pa.array(v) for v in (team[x], pos[x], pos[y], score[good])], names=["team", "a", "b", "score"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            held.append(batch)
+            n += batch.num_rows
+            if n >= MEET_ROWS:
+                rows = pa.Table.from_batches(held)
+                # the last part may go on
+                cut = pc.index(rows["part"], rows["part"][n - 1]).as_py()
+                if cut:
+                    yield from among(rows[:cut])
+                held, n = rows[cut:].to_batches(), n - cut
+        if n:
+            yield from among(pa.Table.from_batches(held))
 
     return run
 
 
-def _settled(group: pd.DataFrame) -> pd.DataFrame:
-    """Rows that gather others, by all pairs left."""
-    group, gathered, seeds = group.sort_values("a"), set(), {}
-    for a, b in zip(group["a"].tolist(), group["b"].tolist(), strict=True):
-        if a not in gathered:
-            seeds[a] = True
-            gathered.add(b)
-    return pd.DataFrame({"node": list(seeds)}, dtype="int64")
+def _settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(pos, seed, score) of what is gathered, by edges that come in order: a row that is not gathered when its edges come gathers what is not gathered yet.
+
+    A byte for each row is all that is held.
+    """
+    gathered = np.zeros(0, bool)
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        a, b, score = (batch.column(c).to_numpy() for c in ("a", "b", "score"))
+        if (most := int(b.max())) >= len(gathered):
+            gathered = np.append(gathered, np.zeros(most + 1, bool))
+        starts = np.append(0, np.flatnonzero(a[1:] != a[:-1]) + 1)
+        ends, found = np.append(starts[1:], len(a)), []
+        free = np.flatnonzero(~gathered[a[starts]])
+        for i, j in zip(starts[free].tolist(), ends[free].tolist(), strict=True):
+            if not gathered[a[i]]:
+                to, first = np.unique(b[i:j], return_index=True)
+                found.append(i + first[~gathered[to]])
+                gathered[to] = True
+        at = np.concatenate(found) if found else np.zeros(0, int)
+        yield pa.RecordBatch.from_arrays([pa.array(v[at]) for v in (b, a, score)], names=["pos", "seed", "score"])
+
+
+def _in_order(edges: DataFrame) -> DataFrame:
+    """(pos, seed, score) of rows that are gathered. Edges of a team, or all without teams, are gone through in order by one task."""
+    teams = edges if "team" in edges.columns else edges.withColumn("team", F.lit(0).cast("long"))
+    return teams.repartition("team").sortWithinPartitions("a", "b").select("a", "b", "score").mapInArrow(_settled, "pos long, seed long, score double")
 
 
 def _seeds(edges: DataFrame) -> DataFrame:
     """Rows (node) that gather others when rows are taken in order and each that is not yet gathered gathers the later ones it has edges to.
 
-    In rounds: what has no earlier open neighbour gathers, and what it has edges to is gathered. The last TASK_EDGES pairs are settled in one task.
+    In rounds: what has no earlier open neighbour gathers, and what it has edges to is gathered. The last TASK_EDGES pairs are gone through in order.
     """
-    open_ = written(edges.select("a", "b"), "fuzzy-open")
+    open_ = edges
     seeds = None
     while n := open_.count():
         if n <= TASK_EDGES:
-            last = written(open_.groupBy().applyInPandas(_settled, "node long"), "fuzzy-seeds")
+            last = written(_in_order(open_).select(F.col("seed").alias("node")).distinct(), "fuzzy-seeds")
             return last if seeds is None else seeds.unionByName(last)
         new = written(open_.select(F.col("a").alias("node")).distinct().join(open_.select(F.col("b").alias("node")), "node", "left_anti"), "fuzzy-seeds")
         seeds = new if seeds is None else seeds.unionByName(new)
@@ -279,8 +415,8 @@ class DuplicateHandler(BaseTransformer):
         yet matched, whose mean similarity to it reaches ``threshold``. Rows with equal cells are one for
         that. In a block of more than ``piece_rows`` different rows, rows are compared that share such a part of a cell as similar rows have to
         share. Where such parts are many or exclude little, the first ``piece_rows`` different rows gather first; what families of similar
-        rows leave is compared in pieces, each with each, and who gathers whom is settled in rounds over the similar
-        pairs: the work grows with the square of a block's dissimilar rows, the memory of a task does not. Rows are written with their ordinals first, so that results
+        rows leave is compared in pieces, each with each, and who gathers whom is settled by going through the similar
+        pairs in order: the work grows with the square of a block's dissimilar rows, the memory of a task does not. Rows are written with their ordinals first, so that results
         belong to the rows they were found for.
         """
         self._keys, self._method = None, "fuzzy"
@@ -295,14 +431,16 @@ class DuplicateHandler(BaseTransformer):
         nodes = rows.groupBy(*cells).agg(F.min(F.struct("o", "row_id")).alias("first"), F.count(F.lit(1)).alias("n"))
         nodes = numbered(nodes.select(*cells, "n", F.col("first.o").alias("o"), F.col("first.row_id").alias("first")), [F.col("o"), F.col("first")], "pos").drop("o")
         nodes = written(nodes, "fuzzy-nodes")
-        large = nodes.groupBy(F.col("block").alias("__b")).agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > piece_rows)
+        large = nodes.groupBy(F.col("block").alias("__b")).agg(F.count(F.lit(1)).alias("rows"), F.min("pos").alias("__at")).where(F.col("rows") > piece_rows)
+        large = written(large, "fuzzy-large")
         inside = F.col("block").eqNullSafe(F.col("__b"))
-        by_parts = self._by_parts(nodes.join(large, inside, "left_semi"), cells, threshold, piece_rows)
-        taken, rest = self._by_first(nodes if by_parts is None else nodes.join(large, inside, "left_anti"), cells, threshold, piece_rows)
-        if rest is not None:
-            taken = taken.unionByName(self._by_pieces(rest, cells, threshold, piece_rows))
-        if by_parts is not None:
-            taken = taken.unionByName(by_parts)
+        taken = self._by_parts(nodes.join(large, inside).drop("__b", "rows"), cells, threshold, piece_rows)
+        others = nodes if taken is None else nodes.join(large, inside, "left_anti")
+        if taken is None or not others.isEmpty():
+            first, rest = self._by_first(others, cells, threshold, piece_rows)
+            taken = first if taken is None else taken.unionByName(first)
+            if rest is not None:
+                taken = taken.unionByName(self._by_pieces(rest, cells, threshold, piece_rows))
         taken = written(taken, "fuzzy-taken")
         seeds = taken.where("seed <> pos").select(F.col("seed").alias("node")).distinct()
         taken = taken.where("seed <> pos")
@@ -383,24 +521,24 @@ class DuplicateHandler(BaseTransformer):
             parts = None
         if parts is None:
             return None
-        classes = _classes(known_, rest, k, threshold)
-        named = known_.select("pos", "block", *cells[1:], F.col(key).alias("cell"), classes.alias("class"))
-        fields = [f for f in named.schema.fields if f.name != "cell"]
-        schema = T.StructType([*fields, T.StructField("size", T.LongType()), T.StructField("part", T.StringType())])
-        keys = written(named.mapInPandas(_parted(parts), schema), "fuzzy-parts")
-        met, most = keys.groupBy("block", "class", "part").agg(F.count(F.lit(1)).alias("n")).agg(F.sum(F.col("n") * (F.col("n") - 1) / 2), F.max("n")).first()
+        # rows of different blocks or classes are of different teams
+        team = F.col("__at") * (2 * CLASS_ROWS) + _classes(known_, rest, k, threshold)
+        named = known_.select(team.cast("long").alias("team"), "pos", *cells[1:], F.lower(key).alias("cell"))
+        numbers = named.select("team", "cell").mapInArrow(_parted(parts, ["part"]), "part long").groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+        met, most = numbers.agg(F.sum(F.col("n") * (F.col("n") - 1) / 2), F.max("n")).first()
         n = known_.count()
         if met and (most > piece_rows or met > n * n / 20):
             return None
-        other = keys.select(F.col("pos").alias("b"), F.col("block").alias("__b"), F.col("class").alias("__c"), F.col("part").alias("__p"), F.col("size").alias("__s"), *[F.col(c).alias(f"o{c[1:]}") for c in cells[1:]])
-        same = F.col("block").eqNullSafe(F.col("__b")) & (F.col("class") == F.col("__c")) & (F.col("part") == F.col("__p")) & (F.col("pos") < F.col("b"))
-        equal_sizes = F.split("part", " ", 3)[0] == F.split("part", " ", 3)[1]
-        pairs = keys.join(other, same & (equal_sizes | (F.col("size") != F.col("__s")))).select(F.col("pos").alias("a"), "b", *[c for i in range(k) for c in (f"m{i}", f"o{i}")])
-        pairs = pairs.dropDuplicates(["a", "b"])
-        return DuplicateHandler._by_edges(written(pairs.mapInPandas(_confirmed(k, threshold), "a long, b long, score double"), "fuzzy-edges"))
+        names = ["part", "side", "team", "pos", *cells[1:]]
+        keys = named.mapInArrow(_parted(parts, names), f"part long, side byte, team long, pos long, {', '.join(f'{c} string' for c in cells[1:])}")
+        edges = keys.repartition("part").sortWithinPartitions("part", "pos").mapInArrow(_met(k, threshold), "team long, a long, b long, score double")
+        return _in_order(edges) if (met or 0) <= TASK_EDGES else DuplicateHandler._by_edges(written(edges, "fuzzy-edges"))
 
     @staticmethod
     def _by_edges(edges: DataFrame) -> DataFrame:
+        """(pos, seed, score) of rows that are gathered."""
+        if edges.count() <= TASK_EDGES:
+            return _in_order(edges)
         seeds = _seeds(edges)
         # each that is gathered belongs to the first seed it has an edge to
         taken = edges.join(seeds, edges["a"] == seeds["node"]).groupBy("b").agg(F.min(F.struct("a", "score")).alias("s"))

@@ -3,6 +3,8 @@
 import math
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -223,6 +225,37 @@ def test_rows_of_a_large_block_meet_by_parts_of_cells(spark, monkeypatch):
         assert len(found) > 50
 
 
+def test_cells_are_compared_many_at_once(monkeypatch):
+    """The same ratios as one by one; short ASCII cells are not compared one by one."""
+    rng = random.Random(11)
+    for letters, longest in (("ab", 9), ("ab", duplicates.MEET_LENGTH), ("0123456789X", 18), ("abé", 6), ("ab", 230)):
+        cells = [None, "", *("".join(rng.choice(letters) for _ in range(rng.randrange(longest + 1))) for _ in range(30))]
+        cells += [c and c[2:] + "B" + c[:2] for c in cells]
+        x, y = (v.ravel() for v in np.indices((len(cells), len(cells))))
+        want = [duplicates.string_similarity(cells[i], cells[j]) for i, j in zip(x, y, strict=True)]
+        with monkeypatch.context() as m:
+            if "é" not in letters and longest <= duplicates.MEET_LENGTH - 1:
+                m.setattr(duplicates, "string_similarity", None)
+            assert duplicates._Cells(pa.chunked_array([pa.array(cells, pa.string())])).ratios(x, y).tolist() == want
+
+
+@pytest.mark.parametrize("size", [1, 7, 1000])
+def test_rows_meet_and_are_settled_over_batches(monkeypatch, size):
+    """Parts and rows that gather go on over several batches: the same groups as by the definition; teams do not meet."""
+    monkeypatch.setattr(duplicates, "MEET_ROWS", size)
+    monkeypatch.setattr(duplicates, "MEET_PAIRS", 2)
+    rng = random.Random(size)
+    rows = [(i % 2, "".join(rng.choice("012") for _ in range(rng.choice([6, 6, 7])))) for i in range(200)]
+    frame = pa.table({"team": pa.array([t for t, _ in rows], pa.int64()), "pos": pa.array(range(200), pa.int64()), "m0": [v for _, v in rows], "cell": [v for _, v in rows]})
+    parted = duplicates._parted(duplicates._parts([6, 7], 0.8), ["part", "side", "team", "pos", "m0"])
+    keys = pa.Table.from_batches(parted(iter(frame.to_batches(max_chunksize=30)))).sort_by([("part", "ascending"), ("pos", "ascending")])
+    edges = pa.Table.from_batches(duplicates._met(1, 0.8)(iter(keys.to_batches(max_chunksize=size))))
+    got = pa.Table.from_batches(duplicates._settled(iter(edges.sort_by([("a", "ascending"), ("b", "ascending")]).to_batches(max_chunksize=size))))
+    want = {(a, b, s) for a, b, s in greedy(rows, 1, 0.8) if a != b}
+    found = [(a, b, round(s, 9)) for a, b, s in zip(got["seed"].to_pylist(), got["pos"].to_pylist(), got["score"].to_pylist(), strict=True)]
+    assert set(found) == want and len(found) == len(want) > 50
+
+
 def test_edges_are_settled_in_rounds_and_in_one_task(spark, monkeypatch):
     rng = random.Random(5)
     edges = sorted({tuple(sorted(rng.sample(range(80), 2))) for _ in range(200)})
